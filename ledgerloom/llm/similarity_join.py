@@ -31,6 +31,8 @@ WORDS = 5
 PERCENT = 75
 #: Bytes of text hashed at once in a task.
 SLICE = 4 << 20
+#: Parts of the universe whose counts tell most unlike sets apart before they are compared in full.
+SKETCH = 128
 
 _U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -119,12 +121,13 @@ def bands(percent: int) -> np.ndarray:
 
 
 def layout(band: int, percent: int) -> tuple[int, int]:
-    """(segments, of which the last so many have their one-deletion neighbourhoods indexed)."""
+    """(segments, of which the last so many have their one-deletion neighbourhoods indexed). There are some more than the pigeonhole
+    needs, so that hardly a set has to look up an empty segment, where very many would meet."""
     low = bands(percent)
     top = int(low[band + 1]) - 1
     most = difference(top + min(int(low[band + 2]) - 1, top * 100 // percent), percent)
-    deletable = max(1, most // 16)
-    return most + 1 + deletable, deletable
+    deletable = 1 + most // 16
+    return most + 3 + most // 12 + deletable, deletable
 
 
 def _signatures(sets: list[np.ndarray], band: np.ndarray, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +215,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set."""
+    """doc_id, n_shingles, digest of the set, its sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _slices(batches):
@@ -222,10 +225,16 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
                     "doc_id": pd.array(ids, dtype="Int64"),
                     "n_shingles": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "sketch": [sketch(s) + np.array([len(s)], dtype="<i8").tobytes() for s in sets],
                 }
             )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each of SKETCH parts of the universe (255 for more)."""
+    return np.minimum(np.bincount((elements >> _U(32)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
 def _pack(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, flag: np.ndarray) -> bytes:
@@ -267,15 +276,18 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
             sig, who, flag = sig[order], who[order], flag[order]
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             length = np.diff(np.concatenate([first, [len(sig)]]))
-            several = np.repeat(length > 1, length)
             union = np.bitwise_or.reduceat(flag, first)
+            known = (length > 1) & (union & PROBE > 0)
+            several = np.repeat(known, length)
             rows: list[tuple[int, int, bytes]] = []
             if several.any():
                 m = several
                 rows.append((int(sig[0] % _U(buckets)), 1 + int(names[0] % 1_000_003), _pack(sig[m], names[who[m]], sizes[who[m]], flag[m])))
             # A witness carries all flags of its signature, and 8 so that the bucket does not report it again.
-            mark = np.where(length > 1, union | 8, flag[first]).astype(np.uint8)
-            s, w = sig[first], who[first]
+            alone = ~several
+            alone[first[known]] = True
+            flag[first[known]] = union[known] | 8
+            s, w, mark = sig[alone], who[alone], flag[alone]
             bucket = ((s >> _U(32)) * _U(buckets)) >> _U(32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
@@ -293,7 +305,15 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
             length = np.diff(np.concatenate([first, [len(s)]]))
             f = flag[order]
             looked = np.bitwise_or.reduceat(f, first) & PROBE
-            order = order[np.repeat((length > 1) & (looked > 0), length) & (f & 8 == 0)]
+            # A set stays if one of those that look up here has a size that it can link with.
+            z = size[order].astype(np.int64)
+            seeks = f & PROBE > 0
+            least = np.minimum.reduceat(np.where(seeks, z, 1 << 40), first)
+            most = np.maximum.reduceat(np.where(seeks, z, 0), first)
+            witness = np.bitwise_or.reduceat(f, first) & 8 > 0  # of several sets, whose sizes are not told here
+            least[witness], most[witness] = 0, 1 << 40
+            fits = (100 * np.repeat(most, length) >= percent * z) & (100 * z >= percent * np.repeat(least, length))
+            order = order[np.repeat((length > 1) & (looked > 0), length) & fits & (f & 8 == 0)]
             sig, doc, size, flag = sig[order], doc[order], size[order], flag[order]
         return pd.DataFrame({"sig": sig.view(np.int64), "doc_id": doc, "size": size, "flags": flag.astype(np.int32)})
 
@@ -304,6 +324,25 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
     )
 
 
+def _joined(pairs: DataFrame, by_id: DataFrame, column: str) -> DataFrame:
+    left, right = by_id.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), by_id.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link: the differences of their counts sum to no more than the sets may differ in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(-1, SKETCH + 8) for c in "xy")
+                sizes = sum(np.ascontiguousarray(m[:, SKETCH:]).view("<i8")[:, 0] for m in (x, y))
+                apart = np.abs(x[:, :SKETCH].astype(np.int64) - y[:, :SKETCH]).sum(axis=1)
+                yield batch.loc[apart <= sizes * (100 - percent) // (100 + percent), ["a", "b"]]
+
+    return _joined(pairs, sketches, "sketch").mapInPandas(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, by comparing all of both."""
 
@@ -318,8 +357,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return _joined(pairs, sets, "elements").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -349,7 +387,7 @@ def similar_documents(
     width: int = WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    star_rounds: int = 2,
+    star_rounds: int = 1,
     broadcast_rows: int = 1_000_000,
     signatures_each: int = 2_000_000,
 ) -> DataFrame:
@@ -365,7 +403,7 @@ def similar_documents(
     rows = cut(shingle_classes(named, width))
     grouped = rows.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classed = cut(
-        rows.join(grouped, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("class_id") == F.col("doc_id")).alias("first"))
+        rows.join(grouped, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("class_id") == F.col("doc_id")).alias("first"), "sketch")
     )
     total, shingles = classed.filter("first").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     if not total:
@@ -385,7 +423,7 @@ def similar_documents(
         for ids, texts in _slices(batches):
             yield pd.DataFrame({"doc_id": ids, "elements": [s.tobytes() for s in shingle_sets(texts, width)]})
 
-    sets = cut(only(hot, "left_semi").mapInPandas(packed, "doc_id long, elements binary").dropDuplicates(["doc_id"]))
+    sketches = classed.filter("first").select("doc_id", "sketch").join(hot.select("doc_id"), "doc_id", "left_semi")
     met = cut(met.join(hot, "doc_id").withColumn("comp", F.col("doc_id")))
 
     def admitted(pairs: DataFrame) -> DataFrame:
@@ -411,7 +449,10 @@ def similar_documents(
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        found = cut(verified(pairs, sets, percent))
+        likely = cut(plausible(pairs, sketches, percent))
+        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))
+        sets = cut(only(ids, "left_semi").mapInPandas(packed, "doc_id long, elements binary"))
+        found = cut(verified(likely, sets, percent))
         compared = pairs if compared is None else compared.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(links)
