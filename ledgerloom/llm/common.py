@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import compress, repeat
+from operator import is_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,24 @@ class Recent(dict):
     def has(self, key) -> bool:
         return key in self or key in self.old
 
+    def missing(self, lists) -> list:
+        """The distinct members of the lists that are not known."""
+        get, nothing, new = self.get, repeat(None), set()
+        for words in lists:
+            new.update(compress(words, map(is_, map(get, words), nothing)))
+        return [w for w in new if w not in self.old]
+
+    def make(self, key):
+        raise KeyError(key)
+
+    def has(self, key) -> bool:
+        return key in self or key in self.old
+
+    def missing(self, lists) -> list:
+        """The distinct members of the lists that are not known."""
+        old = self.old
+        return [w for w in set().union(*lists) if w not in self and w not in old]
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)

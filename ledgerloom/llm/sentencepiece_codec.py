@@ -124,10 +124,10 @@ class Lattice:
             out.append(np.array(found, dtype="<i4").tobytes())
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encode these words: their segments, those of one length together, then put in a row."""
         split = {w: self.model.segments(w) for w in words}
-        new = {x for segments in split.values() for x in segments if not self.segments.has(x)}
+        new = self.segments.missing(split.values())
         groups: dict[int, list[str]] = {}
         for w in new:
             groups.setdefault(len(w), []).append(w)
@@ -144,7 +144,7 @@ class Lattice:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         model, known = self.model, self.known
         split = [model.words(model.normalised(t)) for t in texts]
-        self.learn({w for words in split for w in words if not known.has(w)})
+        self.learn(known.missing(split))
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<i4") for words in split]
         known.trim()
         self.segments.trim()

@@ -10,7 +10,9 @@ over all parts. Readers map the files into memory.
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,17 +52,47 @@ class LibraryIds:
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.stretch = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-        self.odd = re.compile(f"[{_WHITE}] |^ | $|^$")
+        self.runs = [c + " " for c in map(chr, range(0x3001)) if re.match(f"[{_WHITE}]", c)]
         self.known = Recent(KEPT_WORDS)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and self.cuts else None
 
     def _stretches(self, text: str) -> list[str]:
-        if self.odd.search(text):
+        # A single space after anything but white space starts a stretch; so do other kinds and runs, for which the pattern is asked.
+        if text[0] == " " or text[-1] == " " or any(x in text for x in self.runs):
             return self.stretch.findall(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _parts(self, word: str) -> list[str]:
+        """A new stretch in parts that are met more often: at further white space, and between a letter and closing marks."""
+        out = []
+        for x in self.stretch.findall(word) if "\n" in word else [word]:
+            core = x.rstrip(".,;:!?")
+            out += [core, x[len(core) :]] if core != x and core[-1:].isalpha() else [x]
+        return out
+
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = "H" if self.dtype == "<u2" else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], each: int = 256) -> None:
+        """Words without line breaks are asked for in lines: one text is faster than many, and the line break's own id tells them apart."""
+        known = self.known
+        in_lines = [] if self.line is None else [w for w in words if "\n" not in w]
+        if in_lines:
+            groups = [in_lines[i : i + each] for i in range(0, len(in_lines), each)]
+            width = np.dtype(self.dtype).itemsize
+            for group, e in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=self.dtype)
+                ends = (np.flatnonzero(ids == self.line) * width).tolist()
+                if len(ends) == len(group) - 1:
+                    raw = ids.tobytes()
+                    known.update({w: raw[a:b] for w, a, b in zip(group, [0, *(x + width for x in ends)], [*ends, len(raw)], strict=True)})
+                else:
+                    known.update(zip(group, self._ask(group), strict=True))
+        rest = words if self.line is None else [w for w in words if "\n" in w]
+        known.update(zip(rest, self._ask(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if not self.cuts or any(s in t for s in self.special)]
@@ -70,8 +102,18 @@ class LibraryIds:
         skip = set(whole)
         split = {i: self._stretches(t) for i, t in enumerate(texts) if i not in skip and t}
         known = self.known
-        new = list({w for words in split.values() for w in words if not known.has(w)})
-        known.update(zip(new, self._ask(new), strict=True))
+        composed: dict[str, list[str]] = {}
+        asked: set[str] = set()
+        for w in known.missing(split.values()):
+            if w[-1].isalpha() and "\n" not in w:
+                asked.add(w)
+            else:
+                composed[w] = self._parts(w)
+                asked.update(x for x in composed[w] if not known.has(x))
+        self._learn(list(asked))
+        find = known.__getitem__
+        for w, parts in composed.items():
+            known[w] = b"".join(map(find, parts))
         for i, words in split.items():
             out[i] = b"".join(map(known.__getitem__, words))
         known.trim()
@@ -128,6 +170,7 @@ def write_token_files(
     width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # the tables hold many small objects and no cycles
         library, part, number = _library(data.value, dtype), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         found: list[bytes] = []
