@@ -101,7 +101,7 @@ def key_bucket(key: Column, buckets: int) -> Column:
     return F.conv(F.concat(F.lit("0"), F.substring(key, 1, digits)), 16, 10).cast("long") if digits else F.lit(0).cast("long")
 
 
-def buckets_for(rows: int, rows_each: int = 200_000) -> int:
+def buckets_for(rows: int, rows_each: int = 20_000) -> int:
     """A power of 16, so that a bucket of hash-random keys holds about rows_each rows at most."""
     n = 1
     while n * rows_each < rows:

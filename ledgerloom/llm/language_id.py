@@ -131,7 +131,7 @@ def training_samples(docs: DataFrame, *, chars: int = SAMPLE_CHARS, docs_each: i
     # A fixed share of the hash values: about twice docs_each documents, of which the first are taken.
     few = (
         rows.withColumn("key", seeded_key("lang-1", "doc_id"))
-        .join(sizes.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of"))
+        .join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang")
         .filter(place * F.col("n") < 2.0 * docs_each)
     )
     order = Window.partitionBy("lang").orderBy("key", "doc_id", "text")

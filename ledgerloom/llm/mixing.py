@@ -61,7 +61,7 @@ def mix_plan(
     source_col: str = "source",
     seed: str = "mix-1",
     max_epochs: int = MAX_EPOCHS,
-    rows_each: int = 200_000,
+    rows_each: int = 20_000,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, epochs, source.
 

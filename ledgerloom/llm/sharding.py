@@ -25,7 +25,7 @@ def interleaved_shards(
     text_col: str = "text",
     source_col: str = "source",
     seed: str = "shard-1",
-    rows_each: int = 200_000,
+    rows_each: int = 20_000,
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, source.
 
