@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.amounts import let
 from ..functions.money import scale_by
 from ..functions.reference import CADENCES, annual_factor, cadence_ranges
 
@@ -17,28 +18,30 @@ MIN_FIT_TENTHS = 6
 MONTHLY_SHARE = "0.083333"
 
 
-def cadence_of_gap(gap: Column) -> Column:
-    """The nearest cadence whose window holds the gap, or null."""
-    out = F.lit(None).cast("string")
+def cadence_number_of_gap(gap: Column) -> Column:
+    """The place among CADENCES of the nearest one whose window holds the gap, or null."""
+    number = {name: i for i, (name, *_) in enumerate(CADENCES)}
+    out = F.lit(None).cast("int")
     for name, low, high in cadence_ranges():
-        out = F.when(gap.between(low, high), name).otherwise(out)
+        out = F.when(gap.between(low, high), number[name]).otherwise(out)
     return out
 
 
-def _of_cadence(cadence: Column, values: list) -> Column:
-    out = F.lit(None)
-    for (name, *_), value in zip(CADENCES, values, strict=True):
-        out = F.when(cadence == name, F.lit(value)).otherwise(out)
-    return out
+def _of_number(number: Column, values: list) -> Column:
+    return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), number)
+
+
+def _number(cadence: Column) -> Column:
+    return (F.array_position(F.array(*[F.lit(n) for n, *_ in CADENCES]), cadence) - 1).cast("int")
 
 
 def cadence_days(cadence: Column) -> Column:
-    return _of_cadence(cadence, [days for _, days, _, _ in CADENCES])
+    return _of_number(_number(cadence), [days for _, days, _, _ in CADENCES])
 
 
 def cadence_factor(cadence: Column) -> Column:
     """Occurrences a year, decimal(9,4)."""
-    return _of_cadence(cadence, [annual_factor(days) for _, days, _, _ in CADENCES]).cast("decimal(9,4)")
+    return _of_number(_number(cadence), [F.lit(annual_factor(days)).cast("decimal(9,4)") for _, days, _, _ in CADENCES])
 
 
 def periods_of_gap(gap: Column, days: Column, tolerance: Column) -> Column:
@@ -73,55 +76,58 @@ def daily_charges(tx: DataFrame) -> DataFrame:
 def detect_recurring(tx: DataFrame, *, min_occurrences: int = 3, min_confidence: float = 0.4) -> DataFrame:
     """A row per recurring merchant: ledger_id, merchant_key, cadence, charges, missed, matched, gaps, confidence, typical_minor,
     currency, first_seen, last_seen, next_expected, annual_minor, monthly_minor, history (posted_date, amount_minor, ...)."""
-    charges = (
-        daily_charges(tx)
+    by_merchant = Window.partitionBy("ledger_id", "merchant_key").orderBy("posted_date")
+    days = daily_charges(tx).withColumns({"gap": F.datediff("posted_date", F.lag("posted_date").over(by_merchant)), "first_day": F.first("posted_date").over(by_merchant)})
+    # How many gaps each cadence explains and how many charges that takes as missed: plain sums, for all cadences at once.
+    periods = {f"p{i}": periods_of_gap(F.col("gap"), F.lit(d), F.lit(t)) for i, (_, d, t, _) in enumerate(CADENCES)}
+    merchants = (
+        days.withColumns(periods)
         .groupBy("ledger_id", "merchant_key")
-        .agg(F.sort_array(F.collect_list(F.struct("posted_date", "amount_minor", "currency", "transaction_id"))).alias("history"))
-        .filter(F.size("history") >= max(min_occurrences, 2))
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("charges"),
+            F.array_sort(F.collect_list("gap")).alias("gaps"),
+            F.bool_and(same_calendar_position(F.col("first_day"), F.col("posted_date"))).alias("steady"),
+            F.sort_array(F.collect_list(F.struct("posted_date", "amount_minor", "currency", "transaction_id"))).alias("history"),
+            F.array_sort(F.collect_list("amount_minor")).alias("amounts"),
+            F.array(*[F.count(p) for p in periods]).alias("fits"),
+            F.array(*[F.coalesce(F.sum(F.col(p) - 1), F.lit(0)) for p in periods]).alias("skips"),
+        )
+        .filter(F.col("charges") >= max(min_occurrences, 2))
     )
+    majority = F.filter(F.transform("fits", lambda n, i: F.struct(n.alias("n"), (-i).alias("i"))), lambda x: x["n"] > F.floor(F.size("gaps") / 2))
+    guess = F.coalesce(let(upper_median(F.col("gaps")), cadence_number_of_gap), (-F.array_max(majority)["i"]).cast("int"))
+    four_weekly, monthly = 2, 3
+    number = let(guess, lambda g: F.when(g.isin(four_weekly, monthly), F.when(F.col("steady"), monthly).otherwise(four_weekly)).otherwise(g))
     day = lambda i: F.col("history")[i]["posted_date"]
-    shaped = charges.withColumns(
-        {
-            "gaps": F.transform(F.sequence(F.lit(1), F.size("history") - 1), lambda i: F.datediff(day(i), day(i - 1))),
-            "amounts": F.array_sort(F.transform("history", lambda x: x["amount_minor"])),
-        }
-    ).withColumn("gap_median", upper_median(F.array_sort("gaps")))
-
-    fits = [
-        F.struct(F.size(F.filter("gaps", lambda g, d=days, t=tolerance: periods_of_gap(g, F.lit(d), F.lit(t)).isNotNull())).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("cadence"))
-        for k, (name, days, tolerance, _) in enumerate(CADENCES)
-    ]
-    majority = F.array_max(F.filter(F.array(*fits), lambda x: x["n"] > F.floor(F.size("gaps") / 2)))["cadence"]
-    guessed = shaped.withColumn("guess", F.coalesce(cadence_of_gap(F.col("gap_median")), majority)).filter("guess is not null")
-    steady = F.forall("history", lambda x: same_calendar_position(day(0), x["posted_date"]))
-    cadence = F.when(F.col("guess").isin("FOUR_WEEKLY", "MONTHLY"), F.when(steady, "MONTHLY").otherwise("FOUR_WEEKLY")).otherwise(F.col("guess"))
-    tolerance = _of_cadence(F.col("cadence"), [t for _, _, t, _ in CADENCES])
     placed = (
-        guessed.withColumn("cadence", cadence)
-        .withColumns({"_days": cadence_days(F.col("cadence")), "_tolerance": tolerance})
-        .withColumn("periods", F.filter(F.transform("gaps", lambda g: periods_of_gap(g, F.col("_days"), F.col("_tolerance"))), lambda p: p.isNotNull()))
+        merchants.withColumn("number", number)
         .withColumns(
             {
                 "n_gaps": F.size("gaps"),
-                "charges": F.size("history"),
-                "matched": F.size("periods"),
-                "missed": F.aggregate("periods", F.lit(0), lambda a, p: a + p - 1),
+                "matched": F.get("fits", F.col("number")).cast("int"),
+                "missed": F.get("skips", F.col("number")).cast("int"),
+                "cadence": _of_number(F.col("number"), [n for n, *_ in CADENCES]),
+                "_days": _of_number(F.col("number"), [d for _, d, _, _ in CADENCES]),
             }
         )
         .filter(F.col("matched") * 10 >= F.col("n_gaps") * MIN_FIT_TENTHS)
     )
 
-    absolute = F.array_sort(F.transform("history", lambda x: F.abs(x["amount_minor"]).cast("double")))
-    spread = F.aggregate(F.transform("history", lambda x: F.abs(F.abs(x["amount_minor"]).cast("double") - F.col("_median"))), F.lit(0.0), lambda a, x: a + x)
-    stability = F.when((F.col("charges") < 2) | (F.col("_median") == 0), 0.5).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - spread / F.col("charges") / F.col("_median")))
+    absolute = F.transform("history", lambda x: F.abs(x["amount_minor"]).cast("double"))
+
+    def stability(values: Column) -> Column:
+        def around(median: Column) -> Column:
+            spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(x - median))
+            return F.when((F.col("charges") < 2) | (median == 0), 0.5).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - spread / F.col("charges") / median))
+
+        return let(upper_median(F.array_sort(values)), around)
+
     volume = F.when(F.col("charges") >= 12, 1.0).when(F.col("charges") >= 6, 0.9).when(F.col("charges") >= 4, 0.8).otherwise(0.7)
     skip = F.lit(1.0) - F.least(F.col("missed") / (F.col("n_gaps") + 1), F.lit(0.5))
     thin = F.when((F.col("cadence") == "ANNUAL") & (F.col("charges") < 3), 0.7).otherwise(1.0)
-    blend = (F.col("matched") / F.col("n_gaps")) * 0.5 + volume * 0.2 + F.col("_stability") * 0.2 + skip * 0.1
+    blend = (F.col("matched") / F.col("n_gaps")) * 0.5 + volume * 0.2 + let(absolute, stability) * 0.2 + skip * 0.1
     scored = (
-        placed.withColumn("_median", upper_median(absolute))
-        .withColumn("_stability", stability)
-        .withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), blend * thin)))
+        placed.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), blend * thin)))
         .filter(F.col("confidence") >= min_confidence)
         .withColumn("typical_minor", upper_median(F.col("amounts")))
         .withColumn("annual_minor", scale_by(F.abs("typical_minor"), cadence_factor(F.col("cadence"))))
