@@ -115,12 +115,12 @@ def price_changes(subs: DataFrame, *, threshold: Decimal = Decimal("0.02")) -> D
     """The last lasting step of each subscription's price, if there is one: rises and cuts."""
     limit = int(threshold * 10_000) * 2 - 1
     rows = subs.filter(F.size("amount_history") >= 3).withColumn("_runs", amount_runs(F.col("amount_history"), threshold)).filter(F.size("_runs") >= 2)
-    rows = rows.withColumns({"_now": F.element_at("_runs", -1), "_then": F.element_at("_runs", -2), "_n": F.size("_runs")})
+    rows = rows.withColumns({"_now": F.try_element_at("_runs", F.lit(-1)), "_then": F.try_element_at("_runs", F.lit(-2)), "_n": F.size("_runs")})
     delta = F.col("_now.rep") - F.col("_then.rep")
     base = F.greatest(F.col("_then.rep"), F.lit(1))
     lasting = (F.col("_now.n") >= 2) | (F.col("_n") == 2)
     relative = F.round(F.abs(delta).cast("decimal(18,0)") / base.cast("decimal(18,0)"), 4)
-    changed = F.when(F.size("charge_dates") >= F.size("amount_history"), F.element_at("charge_dates", F.size("amount_history") - F.col("_now.n") + 1))
+    changed = F.when(F.size("charge_dates") >= F.size("amount_history"), F.try_element_at("charge_dates", F.size("amount_history") - F.col("_now.n") + 1))
     return rows.filter(lasting & (delta != 0) & (F.abs(delta) * 20_000 >= base * limit)).select(
         "ledger_id",
         "merchant_key",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.reference import CATALOGUE
 
 AS_OF = "2023-06-30"
-NAMES = sorted(m for names in CATALOGUE.values() for m in names.split(", "))
+NAMES = [m for names in CATALOGUE.values() for m in names.split(", ")]
 
 
 def rhythm_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def noise_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("USD").alias("currency"),
         descriptor.alias("raw_description"),
         F.when(key % 3 == 0, F.concat(F.lit("C"), key % 7)).alias("category_id"),
-        F.concat(F.lit("B"), key % 4).alias("batch_id"),
+        F.concat(F.lit("B"), (key / 12).cast("long") % 4).alias("batch_id"),
         key.cast("long").alias("source_pos"),
         F.when(key % 5 != 0, F.concat(F.lit("F"), (key / 2).cast("long"))).alias("institution_transaction_id"),
         F.lit(False).alias("is_pending"),
@@ -133,5 +133,5 @@ NOISE_SQL = """
              WHEN 9 THEN (1000000 + o_orderkey)::VARCHAR
              WHEN 10 THEN 'CUSTOMER ' || o_custkey || ' LLC NEW YORK NY'
              ELSE '#### ####' END AS raw_description,
-        CASE WHEN o_orderkey % 3 = 0 THEN 'C' || (o_orderkey % 7) END AS category_id, 'B' || (o_orderkey % 4) AS batch_id, o_orderkey::BIGINT AS source_pos,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'C' || (o_orderkey % 7) END AS category_id, 'B' || (o_orderkey // 12 % 4) AS batch_id, o_orderkey::BIGINT AS source_pos,
         CASE WHEN o_orderkey % 5 <> 0 THEN 'F' || (o_orderkey // 2) END AS institution_transaction_id FROM orders)"""
