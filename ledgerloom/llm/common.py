@@ -25,6 +25,11 @@ class Recent(dict):
         value = self[key] = self.old[key] if key in self.old else self.make(key)
         return value
 
+    def with_gaps(self, words: list) -> tuple[list, list[int]]:
+        """The words' values, None where one is not known or not used lately, and the places of those."""
+        values = list(map(self.get, words))
+        return values, list(compress(range(len(values)), map(is_, values, repeat(None))))
+
     def make(self, key):
         raise KeyError(key)
 

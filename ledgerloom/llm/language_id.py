@@ -23,7 +23,7 @@ from .common import Recent, cut, seeded_key
 #: The bound of the training sample: so many characters and documents of each language.
 SAMPLE_CHARS = 50_000
 SAMPLE_DOCS = 400
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -144,8 +144,12 @@ class Lattice:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         model, known = self.model, self.known
         split = [model.words(model.normalised(t)) for t in texts]
-        self.learn(known.missing(split))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<i4") for words in split]
+        found = [known.with_gaps(words) for words in split]
+        self.learn([w for w in {words[i] for words, (_, gaps) in zip(split, found, strict=True) for i in gaps} if w not in known.old])
+        for words, (values, gaps) in zip(split, found, strict=True):
+            for i in gaps:
+                values[i] = known[words[i]]
+        out = [np.frombuffer(b"".join(values), dtype="<i4") for values, _ in found]
         known.trim()
         self.segments.trim()
         return out

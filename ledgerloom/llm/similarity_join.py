@@ -30,7 +30,7 @@ from .common import cut
 WORDS = 5
 PERCENT = 75
 #: Bytes of text hashed at once in a task.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Parts of the universe whose counts tell most unlike sets apart before they are compared in full.
 SKETCH = 128
 

@@ -104,7 +104,10 @@ class LibraryIds:
         known = self.known
         composed: dict[str, list[str]] = {}
         asked: set[str] = set()
-        for w in known.missing(split.values()):
+        found = {i: known.with_gaps(words) for i, words in split.items()}
+        for w in {split[i][k] for i, (_, gaps) in found.items() for k in gaps}:
+            if w in known.old:
+                continue
             if w[-1].isalpha() and "\n" not in w:
                 asked.add(w)
             else:
@@ -114,8 +117,11 @@ class LibraryIds:
         find = known.__getitem__
         for w, parts in composed.items():
             known[w] = b"".join(map(find, parts))
-        for i, words in split.items():
-            out[i] = b"".join(map(known.__getitem__, words))
+        for i, (values, gaps) in found.items():
+            words = split[i]
+            for k in gaps:
+                values[k] = known[words[k]]
+            out[i] = b"".join(values)
         known.trim()
         return out
 
