@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -32,11 +32,11 @@ PERCENT = 75
 #: Bytes of text hashed at once in a task.
 SLICE = 2 << 20
 #: Parts of the universe whose counts tell most unlike sets apart before they are compared in full.
-SKETCH = 128
+SKETCH = 256
 
 _U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-PROBE, DELETED, INDEXED = 1, 2, 4
+PROBE, DELETED, INDEXED, WITNESS, DOUBLED = 1, 2, 4, 8, 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,14 +120,22 @@ def bands(percent: int) -> np.ndarray:
     return np.array(low, dtype=np.int64)
 
 
-def layout(band: int, percent: int) -> tuple[int, int]:
-    """(segments, of which the last so many have their one-deletion neighbourhoods indexed). There are some more than the pigeonhole
-    needs, so that hardly a set has to look up an empty segment, where very many would meet."""
+def spare(most: int) -> int:
+    """How many segments a set looks up beyond what the pigeonhole needs, so that it can leave out as many of its most crowded ones."""
+    return 2 + most // 8
+
+
+@lru_cache(maxsize=1024)
+def layout(band: int, percent: int) -> tuple[int, int, int]:
+    """(segments, of which the last so many have their one-deletion neighbourhoods indexed, spare ones among those looked up).
+
+    There are more segments than the tolerances ask for, so that hardly a set has to look up an empty one, where very many would meet.
+    """
     low = bands(percent)
     top = int(low[band + 1]) - 1
     most = difference(top + min(int(low[band + 2]) - 1, top * 100 // percent), percent)
     deletable = 1 + most // 16
-    return most + 3 + most // 12 + deletable, deletable
+    return most + 3 + spare(most) + most // 12 + deletable, deletable, spare(most)
 
 
 def _signatures(sets: list[np.ndarray], band: np.ndarray, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,6 +146,7 @@ def _signatures(sets: list[np.ndarray], band: np.ndarray, own: bool, percent: in
         shape = {b: layout(b, percent) for b in set(band.tolist())}
         segments = np.array([shape[b][0] for b in band.tolist()], dtype=np.int64)
         deletable = np.array([shape[b][1] for b in band.tolist()], dtype=np.int64)
+        extra = np.array([1 + shape[b][2] for b in band.tolist()], dtype=np.int64)
         base = np.concatenate([[0], np.cumsum(segments)])
         owner = np.repeat(np.arange(len(sets)), sizes)
         h = np.concatenate(sets) if len(sets) else np.empty(0, dtype=np.uint64)
@@ -155,7 +164,7 @@ def _signatures(sets: list[np.ndarray], band: np.ndarray, own: bool, percent: in
 
         # Tolerances: how much each set needs, and the segments in the order of their cost.
         partner = sizes if own else np.minimum(sizes, low[band + 1] - 1)
-        need = ((sizes + partner) * (100 - percent) // (100 + percent)) + 1
+        need = ((sizes + partner) * (100 - percent) // (100 + percent)) + extra
         order = np.lexsort((-count, slot_owner))
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order)) - base[slot_owner[order]]
@@ -173,11 +182,11 @@ def _signatures(sets: list[np.ndarray], band: np.ndarray, own: bool, percent: in
         keep = np.ones(len(total), dtype=bool) if own else chosen
         sig = [_mix(total[keep] + slot_salt[keep])]
         who = [slot_owner[keep]]
-        flag = [(chosen[keep] * PROBE + (INDEXED if own else 0)).astype(np.uint8)]
+        flag = [(chosen[keep] * PROBE + double[keep] * DOUBLED + (INDEXED if own else 0)).astype(np.uint8)]
         deleted = can_delete[slot] if own else double[slot]
         sig.append(_mix(total[slot[deleted]] - element[deleted] + slot_salt[slot[deleted]]))
         who.append(owner[deleted])
-        flag.append((double[slot[deleted]] * PROBE + DELETED + (INDEXED if own else 0)).astype(np.uint8))
+        flag.append((double[slot[deleted]] * (PROBE + DOUBLED) + DELETED + (INDEXED if own else 0)).astype(np.uint8))
     return np.concatenate(sig), np.concatenate(who), np.concatenate(flag)
 
 
@@ -257,7 +266,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
-    """sig, doc_id, size, flags: the signatures that two sets or more have, one of which looks up. texts: a row per class.
+    """sig, doc_id, size, flags, spare: the signatures that two sets or more have, one of which looks up. texts: a row per class.
 
     A task packs its signatures by ranges of their values. A signature that it finds several times is
     known to meet, and goes past the buckets but for one witness, so a bucket holds at most one entry
@@ -283,10 +292,10 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
             if several.any():
                 m = several
                 rows.append((int(sig[0] % _U(buckets)), 1 + int(names[0] % 1_000_003), _pack(sig[m], names[who[m]], sizes[who[m]], flag[m])))
-            # A witness carries all flags of its signature, and 8 so that the bucket does not report it again.
+            # A witness carries all flags of its signature, and WITNESS so that the bucket does not report it again.
             alone = ~several
             alone[first[known]] = True
-            flag[first[known]] = union[known] | 8
+            flag[first[known]] = union[known] | WITNESS
             s, w, mark = sig[alone], who[alone], flag[alone]
             bucket = ((s >> _U(32)) * _U(buckets)) >> _U(32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -310,39 +319,101 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
             seeks = f & PROBE > 0
             least = np.minimum.reduceat(np.where(seeks, z, 1 << 40), first)
             most = np.maximum.reduceat(np.where(seeks, z, 0), first)
-            witness = np.bitwise_or.reduceat(f, first) & 8 > 0  # of several sets, whose sizes are not told here
+            witness = np.bitwise_or.reduceat(f, first) & WITNESS > 0  # of several sets, whose sizes are not told here
             least[witness], most[witness] = 0, 1 << 40
             fits = (100 * np.repeat(most, length) >= percent * z) & (100 * z >= percent * np.repeat(least, length))
-            order = order[np.repeat((length > 1) & (looked > 0), length) & fits & (f & 8 == 0)]
+            order = order[np.repeat((length > 1) & (looked > 0), length) & fits & (f & WITNESS == 0)]
             sig, doc, size, flag = sig[order], doc[order], size[order], flag[order]
-        return pd.DataFrame({"sig": sig.view(np.int64), "doc_id": doc, "size": size, "flags": flag.astype(np.int32)})
+        band = np.searchsorted(bands(percent), size, side="right") - 1 - (flag & INDEXED == 0)
+        need = {b: layout(b, percent)[2] for b in set(band.tolist())}
+        least = np.array([need[b] for b in band.tolist()], dtype=np.int32)
+        return pd.DataFrame({"sig": sig.view(np.int64), "doc_id": doc, "size": size, "flags": flag.astype(np.int32), "spare": least})
 
     return (
         texts.mapInPandas(emit, "bucket int, lane int, blob binary")
         .groupBy("bucket", "lane")
-        .applyInPandas(meet, "sig long, doc_id long, size int, flags int")
+        .applyInPandas(meet, "sig long, doc_id long, size int, flags int, spare int")
     )
 
 
+def allocated(met: DataFrame) -> DataFrame:
+    """Tolerances by cost: each set gives up looking up its most crowded segments, as many as are spare in its layout (those of
+    tolerance 1 stay). What nobody looks up any more is no meeting."""
+    own, seeks = F.col("flags").bitwiseAND(INDEXED) > 0, F.col("flags").bitwiseAND(PROBE + DOUBLED) == PROBE
+    crowd = met.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"))
+    order = Window.partitionBy("doc_id", own).orderBy(seeks.desc(), F.desc("crowd"), "sig")  # a set's own signatures: no hot key
+    left_out = seeks & (F.row_number().over(order) <= F.col("spare"))
+    left = met.join(crowd, "sig").withColumn("flags", F.when(left_out, F.col("flags") - PROBE).otherwise(F.col("flags"))).drop("crowd")
+    left = cut(left)
+    sought = left.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_or("flags").alias("any")).filter((F.col("lo") != F.col("hi")) & (F.col("any").bitwiseAND(PROBE) > 0))
+    return left.join(sought.select("sig"), "sig", "left_semi")
+
+
 def _joined(pairs: DataFrame, by_id: DataFrame, column: str) -> DataFrame:
     left, right = by_id.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), by_id.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
+def _sketches(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, sizes) of packed sketches."""
+    m = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, SKETCH + 8)
+    return m[:, :SKETCH].astype(np.int16), np.ascontiguousarray(m[:, SKETCH:]).view("<i8")[:, 0]
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may link: the differences of their counts sum to no more than the sets may differ in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(-1, SKETCH + 8) for c in "xy")
-                sizes = sum(np.ascontiguousarray(m[:, SKETCH:]).view("<i8")[:, 0] for m in (x, y))
-                apart = np.abs(x[:, :SKETCH].astype(np.int64) - y[:, :SKETCH]).sum(axis=1)
-                yield batch.loc[apart <= sizes * (100 - percent) // (100 + percent), ["a", "b"]]
+                (x, n), (y, m) = _sketches(batch["x"]), _sketches(batch["y"])
+                apart = np.abs(x - y).sum(axis=1)
+                yield batch.loc[apart <= (n + m) * (100 - percent) // (100 + percent), ["a", "b"]]
 
     return _joined(pairs, sketches, "sketch").mapInPandas(run, "a long, b long")
 
 
+def plausible_meetings(met: DataFrame, sketches: DataFrame, percent: int, groups: int) -> DataFrame:
+    """The pairs (a, b), a < b, of different components that meet and may link, as `plausible` has it.
+
+    The signatures are dealt into groups, each with the sketches of its sets once; in a group the sets of a meeting are compared
+    block by block, and what cannot link never leaves it. A group finds a pair once, however often it meets.
+    """
+    dealt = met.withColumn("g", F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("int")).select("g", "sig", "doc_id", "comp", "flags")
+    known = dealt.select("g", "doc_id").distinct().join(sketches, "doc_id").select(F.col("g").alias("h"), F.col("doc_id").alias("id"), "sketch")
+
+    def compare(key: tuple, rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(sets["id"].to_numpy(), return_index=True)
+        counts, sizes = _sketches(sets["sketch"].iloc[at])
+        rows = rows.sort_values("sig")
+        doc = np.searchsorted(ids, rows["doc_id"].to_numpy())
+        comp, flag, sig = rows["comp"].to_numpy(), rows["flags"].to_numpy(), rows["sig"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
+        seen: set[int] = set()
+        out: list[np.ndarray] = []
+        n = len(ids)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sig)], strict=True):
+            everyone = np.arange(a, b)
+            for i in everyone[flag[a:b] & PROBE > 0].tolist():
+                other = everyone[(comp[a:b] != comp[i]) & (flag[a:b] & INDEXED > 0)]
+                if flag[i] & DELETED:
+                    other = other[flag[other] & DELETED == 0]
+                x, y = doc[i], doc[other]
+                codes = np.minimum(x, y) * n + np.maximum(x, y)
+                fresh = np.array([c not in seen for c in codes.tolist()], dtype=bool)
+                codes, y = codes[fresh], y[fresh]
+                seen.update(codes.tolist())
+                fits = np.abs(counts[y] - counts[x]).sum(axis=1) <= (sizes[y] + sizes[x]) * (100 - percent) // (100 + percent)
+                out.append(codes[fits])
+            if len(seen) > 5_000_000:
+                seen.clear()
+        codes = np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
+        return pd.DataFrame({"a": ids[codes // max(n, 1)], "b": ids[codes % max(n, 1)]})
+
+    found = dealt.groupBy("g").cogroup(known.groupBy("h")).applyInPandas(compare, "a long, b long")
+    return found.distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, by comparing all of both."""
 
@@ -417,7 +488,10 @@ def similar_documents(
     rest = cut(classed.filter("not coalesce(first, false)").select("doc_id"))
     # A set has about as many signatures as two thirds of its elements.
     met = cut(meetings(only(rest, "left_anti").filter("doc_id is not null"), max(8, int(shingles * 0.75) // signatures_each + 1), width, percent))
-    hot = cut(met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight")))
+    met = cut(allocated(met))
+    # A set's weight is the number of its meetings with others: it is highest in the middle of a group of copies.
+    crowd = met.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("crowd"))
+    hot = cut(met.join(crowd, "sig").groupBy("doc_id").agg(F.sum("crowd").alias("weight")))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _slices(batches):
@@ -439,25 +513,24 @@ def similar_documents(
         if k < star_rounds:
             hubs = open_sigs.select("sig", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("a_size"), F.col("hub.comp").alias("a_comp"))
             pairs = met.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), "comp").join(hubs, "sig").filter("comp <> a_comp")
+            taken = cut(hubs.select(F.col("a").alias("hub")).distinct())
+            likely = cut(plausible(admitted(pairs), sketches, percent))
         else:
             left = met.join(open_sigs.select("sig"), "sig", "left_semi")
-            other = left.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp"), F.col("flags").alias("b_flags"))
-            left = left.filter(F.col("flags").bitwiseAND(PROBE) > 0).select("sig", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"), F.col("flags").alias("a_flags"))
-            apart = (F.col("a_flags").bitwiseAND(DELETED) == 0) | (F.col("b_flags").bitwiseAND(DELETED) == 0)
-            pairs = left.join(other, "sig").filter((F.col("a_comp") != F.col("b_comp")) & (F.col("b_flags").bitwiseAND(INDEXED) > 0) & apart)
-        pairs = admitted(pairs)
+            likely = cut(plausible_meetings(left, sketches, percent, max(4, met.count() // 50_000)))
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        likely = cut(plausible(pairs, sketches, percent))
+            likely = cut(likely.join(compared, ["a", "b"], "left_anti"))
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))
         sets = cut(only(ids, "left_semi").mapInPandas(packed, "doc_id long, elements binary"))
         found = cut(verified(likely, sets, percent))
-        compared = pairs if compared is None else compared.union(pairs)
+        compared = likely if compared is None else compared.union(likely)
         links = found if links is None else links.union(found)
         labels = components(links)
         if k < star_rounds:
-            met = cut(met.drop("comp").join(labels, met["doc_id"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "doc_id")).drop("node", "label"))
+            # A hub has been compared with all that it meets: the next one has its turn.
+            met = met.drop("comp").join(labels, met["doc_id"] == labels["node"], "left").join(taken, met["doc_id"] == taken["hub"], "left")
+            met = met.withColumns({"comp": F.coalesce("label", "doc_id"), "weight": F.when(F.col("hub").isNull(), F.col("weight")).otherwise(F.lit(-1))})
+            met = cut(met.drop("node", "label", "hub"))
     return classed.join(labels, classed["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
 
 
