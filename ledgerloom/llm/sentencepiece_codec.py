@@ -150,6 +150,9 @@ class Lattice:
             for i in gaps:
                 values[i] = known[words[i]]
         out = [np.frombuffer(b"".join(values), dtype="<i4") for values, _ in found]
+        if not model.byte_fallback:  # neighbouring unknown characters are one token, also across words
+            unknown = [x == model.unk_id for x in out]
+            out = [x[~np.concatenate([[False], u[1:] & u[:-1]])] if len(x) else x for x, u in zip(out, unknown, strict=True)]
         known.trim()
         self.segments.trim()
         return out

@@ -158,6 +158,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     ids_each: int = 64_000_000,
+    texts_each: int = 500,
 ) -> DataFrame:
     """Encode every whole text, append end_id, write the files below folder, and return the manifest.
 
@@ -194,8 +195,8 @@ def write_token_files(
             return row
 
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                piece = batch.iloc[i : i + 500]
+            for i in range(0, len(batch), texts_each):
+                piece = batch.iloc[i : i + texts_each]
                 texts = [t if isinstance(t, str) else "" for t in piece["text"]]
                 ids.append(piece["doc_id"].to_numpy(dtype=np.int64))
                 new = [x + end for x in library.encode(texts)]

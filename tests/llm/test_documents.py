@@ -51,7 +51,7 @@ def classes(items):
             if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
-    return sorted((i, len(sets[i]), root(i)) for i in ids)
+    return sorted(((i, len(sets[i]), root(i)) for i in ids), key=repr)
 
 
 def near_copies():
@@ -124,7 +124,7 @@ def test_exact_dedup_against_dictionary(spark, docs):
     groups = defaultdict(list)
     for i, t in items:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
-    want = sorted((i, min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g)
+    want = sorted(((i, min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g), key=repr)
     for limit in (0, 10**6):
         got = exact_dedup.exact_duplicates(table(spark, [(i, t, None, None) for i, t in items]), broadcast_rows=limit, chunk=1000)
         assert rows(got) == want
@@ -200,7 +200,7 @@ def test_shards_are_even_and_mixed(spark):
     for x in by_shard.values():
         assert all(abs(Counter(r["source"] for r in x)[s] - n / 8) < 2 for s, n in total.items())
     again = sharding.interleaved_shards(table(spark, items).repartition(7), 8, rows_each=20)
-    assert rows(again, "doc_id", "shard", "slot") == sorted((r["doc_id"], r["shard"], r["slot"]) for r in got)
+    assert rows(again, "doc_id", "shard", "slot") == sorted(((r["doc_id"], r["shard"], r["slot"]) for r in got), key=repr)
 
 
 def test_shards_of_small_and_repeated_tables(spark):
