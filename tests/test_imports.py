@@ -73,7 +73,7 @@ def test_many_batches_equal_one_after_another(spark):
             order.append((r["batch_id"], r["source_pos"]))
             hashes.add(r["dedup_hash"])
             fitids.add(r["institution_transaction_id"])
-    assert rows(imports.import_many(held(spark), everything), "batch_id", "source_pos") == sorted(order)
+    assert rows(imports.import_many(held(spark), everything), "batch_id", "source_pos") == sorted(order, key=repr)
 
 
 def test_undo_and_edits(spark):
