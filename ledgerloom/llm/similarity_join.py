@@ -459,6 +459,7 @@ def similar_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     star_rounds: int = 1,
+    star_from: int = 16,
     broadcast_rows: int = 1_000_000,
     signatures_each: int = 2_000_000,
 ) -> DataFrame:
@@ -508,10 +509,11 @@ def similar_documents(
     links, compared = None, None
     for k in range(star_rounds + 1):
         open_sigs = met.groupBy("sig").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", -F.col("doc_id"), "size", "comp")).alias("hub")
+            F.count(F.lit(1)).alias("crowd"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", -F.col("doc_id"), "size", "comp")).alias("hub")
         ).filter("lo <> hi")
         if k < star_rounds:
-            hubs = open_sigs.select("sig", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("a_size"), F.col("hub.comp").alias("a_comp"))
+            # Smaller meetings are left to the comparison across components: a few pairs each.
+            hubs = open_sigs.filter(F.col("crowd") >= star_from).select("sig", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("a_size"), F.col("hub.comp").alias("a_comp"))
             pairs = met.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), "comp").join(hubs, "sig").filter("comp <> a_comp")
             taken = cut(hubs.select(F.col("a").alias("hub")).distinct())
             likely = cut(plausible(admitted(pairs), sketches, percent))
