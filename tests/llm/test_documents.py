@@ -75,7 +75,7 @@ def test_similarity_join_against_all_pairs(spark):
     items = list(enumerate(near_copies()))
     df = table(spark, [(i, t, None, None) for i, t in items])
     for rounds in (0, 1):
-        got = similarity_join.similar_documents(df, star_rounds=rounds, broadcast_rows=5, signatures_each=2000)
+        got = similarity_join.similar_documents(df, star_rounds=rounds, broadcast_rows=5, signatures_each=2000, star_from=2)
         assert rows(got, "doc_id", "n_shingles", "component_id") == classes(items)
     stay = {c for _, _, c in classes(items)}
     assert {r["doc_id"] for r in similarity_join.one_of_each(df).collect()} == stay
