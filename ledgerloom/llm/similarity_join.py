@@ -344,9 +344,8 @@ def allocated(met: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", own).orderBy(seeks.desc(), F.desc("crowd"), "sig")  # a set's own signatures: no hot key
     left_out = seeks & (F.row_number().over(order) <= F.col("spare"))
     left = met.join(crowd, "sig").withColumn("flags", F.when(left_out, F.col("flags") - PROBE).otherwise(F.col("flags"))).drop("crowd")
-    left = cut(left)
     sought = left.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_or("flags").alias("any")).filter((F.col("lo") != F.col("hi")) & (F.col("any").bitwiseAND(PROBE) > 0))
-    return left.join(sought.select("sig"), "sig", "left_semi")
+    return left.join(sought.select("sig"), "sig", "left_semi").select("sig", "doc_id", "size", "flags")
 
 
 def _joined(pairs: DataFrame, by_id: DataFrame, column: str) -> DataFrame:
@@ -499,7 +498,7 @@ def similar_documents(
             yield pd.DataFrame({"doc_id": ids, "elements": [s.tobytes() for s in shingle_sets(texts, width)]})
 
     sketches = classed.filter("first").select("doc_id", "sketch").join(hot.select("doc_id"), "doc_id", "left_semi")
-    met = cut(met.join(hot, "doc_id").withColumn("comp", F.col("doc_id")))
+    met = met.withColumn("comp", F.col("doc_id"))
 
     def admitted(pairs: DataFrame) -> DataFrame:
         """(a, b), a < b, of sizes that can link, once each."""
@@ -508,13 +507,13 @@ def similar_documents(
 
     links, compared = None, None
     for k in range(star_rounds + 1):
-        open_sigs = met.groupBy("sig").agg(
-            F.count(F.lit(1)).alias("crowd"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", -F.col("doc_id"), "size", "comp")).alias("hub")
-        ).filter("lo <> hi")
+        open_sigs = met.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         if k < star_rounds:
             # Smaller meetings are left to the comparison across components: a few pairs each.
-            hubs = open_sigs.filter(F.col("crowd") >= star_from).select("sig", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("a_size"), F.col("hub.comp").alias("a_comp"))
-            pairs = met.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), "comp").join(hubs, "sig").filter("comp <> a_comp")
+            crowded = met.join(open_sigs.filter(F.col("crowd") >= star_from).select("sig"), "sig", "left_semi").join(hot, "doc_id")
+            best = crowded.groupBy("sig").agg(F.max(F.struct("weight", -F.col("doc_id"), "size", "comp")).alias("hub"))
+            hubs = best.select("sig", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("a_size"), F.col("hub.comp").alias("a_comp"))
+            pairs = crowded.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), "comp").join(hubs, "sig").filter("comp <> a_comp")
             taken = cut(hubs.select(F.col("a").alias("hub")).distinct())
             likely = cut(plausible(admitted(pairs), sketches, percent))
         else:
@@ -529,10 +528,10 @@ def similar_documents(
         links = found if links is None else links.union(found)
         labels = components(links)
         if k < star_rounds:
-            # A hub has been compared with all that it meets: the next one has its turn.
-            met = met.drop("comp").join(labels, met["doc_id"] == labels["node"], "left").join(taken, met["doc_id"] == taken["hub"], "left")
-            met = met.withColumns({"comp": F.coalesce("label", "doc_id"), "weight": F.when(F.col("hub").isNull(), F.col("weight")).otherwise(F.lit(-1))})
-            met = cut(met.drop("node", "label", "hub"))
+            # A hub has been compared with all that it meets: the next round has others.
+            hot = hot.join(taken, hot["doc_id"] == taken["hub"], "left_anti")
+            met = met.drop("comp").join(labels, met["doc_id"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "doc_id"))
+            met = cut(met.select("sig", "doc_id", "size", "flags", "comp"))
     return classed.join(labels, classed["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
 
 
