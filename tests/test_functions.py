@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 from decimal import Decimal
 
@@ -107,6 +108,16 @@ def test_merchant_keys_and_names(spark):
     assert [r[0] for r in names.select(merchants.merchant_display_name(F.col("raw"))).collect()] == ["Blue Bottle Coffee", "BP Fuel", "Bank of the West"]
 
 
+def test_every_city_of_the_reference_goes_before_a_state(spark):
+    # Count and hash were taken from the text of UsCityNames.kt, not from CITIES.
+    assert len(reference.CITIES) == 412
+    assert hashlib.sha256("\n".join(sorted(reference.CITIES)).encode()).hexdigest() == "0c7d76d800b0c893174ab559cfef7718395a6b6c31e528d03532635ccd70e032"
+    named = {"AKRON": "", "ANN ARBOR": "", "ATLANTIC CITY": "", "NORTH LAS VEGAS": "", "WEST VALLEY CITY": "", "PORT ST LUCIE": "", "WINSTON": "", "CLEVELAND": " CLEVELAND"}
+    items = [(f"SAFEWAY #12 {city} OH", "SAFEWAY" + rest) for city, rest in (dict.fromkeys(reference.CITIES, "") | named).items()]
+    df = spark.createDataFrame(items + [("AKRON OH", "AKRON"), ("SAFEWAY AKRON", "SAFEWAY AKRON")], "raw string, want string")
+    assert rows(df.withColumn("got", merchants.normalise_merchant(F.col("raw"))).filter("not (got <=> want)")) == []
+
+
 def test_cadence_ranges():
     assert reference.cadence_ranges() == [
         ("WEEKLY", 5, 9),
