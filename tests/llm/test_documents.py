@@ -266,6 +266,22 @@ def test_site_lines(spark):
     assert narrow.columns == table(spark, items).columns and line_dedup.clean_documents(table(spark, [])).count() == 0
 
 
+def test_a_large_group_of_copies_keeps_its_text(spark):
+    copy = "\n".join(f"the copied line {w} of a text that came often" for w in ("one", "two", "three"))
+    items = [(i, f"menu\n{copy}", None, "a") for i in range(10)] + [(10 + i, f"menu\nown {i}", None, "a") for i in range(20)]
+    items += [(40, "menu", None, "a"), (41, " menu \n\nmenu", None, "a")]
+    cleaned = line_dedup.clean_documents(table(spark, items))
+    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    # A third of the source are copies: their own lines stay, the menu goes; a text of nothing but frequent lines stays.
+    assert {got[i] for i in range(10)} == {copy} and got[10] == "own 0" and (got[40], got[41]) == ("menu", " menu \n\nmenu")
+    left = [r["doc_id"] for r in similarity_join.one_of_each(cleaned).collect() if r["text"] == copy]
+    assert left == [0]
+    # Copies with a line missing or in another place are not the same text, and all of their lines are frequent.
+    parts = [f"line {w} of many near copies" for w in "abcdef"]
+    near = [(i, "\n".join(parts[i % 6 :] + parts[: i % 6 - 1]), None, "a") for i in range(12)] + [(20 + i, f"own text {i}", None, "a") for i in range(24)]
+    assert rows(line_dedup.clean_documents(table(spark, near)), "doc_id", "text") == rows(table(spark, near), "doc_id", "text")
+
+
 def test_pages(spark):
     html = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><li><a href='/x'>menu</a></li></nav><!-- ad --><p>Own <b>{}</b> text</p></body></html>"
     pages = spark.createDataFrame([(i, f"https://u@Site.example:80/{i}", html.replace("{}", str(i))) for i in range(4)] + [(9, None, None), (10, "nonsense", "")], "page_id long, url string, html string")
