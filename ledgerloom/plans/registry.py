@@ -264,6 +264,27 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _import(spark, sf_dir)[1].summary
 
 
+def _in_order_sql(batches: int = 4) -> str:
+    """Each batch into what the batches before it left."""
+    steps = ["led0 AS MATERIALIZED (SELECT * FROM h2 WHERE false)"]
+    for n in range(batches):
+        steps.append(
+            f"""new{n} AS MATERIALIZED (SELECT * FROM h2 b WHERE batch_id = 'B{n}' AND NOT EXISTS (SELECT 1 FROM led{n} l WHERE l.ledger_id = b.ledger_id AND l.dedup_hash = b.dedup_hash)
+            AND NOT EXISTS (SELECT 1 FROM led{n} l WHERE l.ledger_id = b.ledger_id AND l.account_id = b.account_id AND l.institution_transaction_id = b.institution_transaction_id)
+            QUALIFY institution_transaction_id IS NULL OR row_number() OVER (PARTITION BY ledger_id, account_id, institution_transaction_id ORDER BY source_pos) = 1)"""
+        )
+        steps.append(f"led{n + 1} AS MATERIALIZED (SELECT * FROM led{n} UNION ALL SELECT * FROM new{n})")
+    return f"WITH {_HASHED}, {', '.join(steps)} SELECT id AS order_id, batch_id, merchant_key, dedup_hash FROM led{batches}"
+
+
+@query(_in_order_sql())
+def import_all_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four batches, one after another, into an empty ledger."""
+    parsed = _parsed(spark, sf_dir).withColumns({"order_id": F.col("id"), "batch_seq": F.substring("batch_id", 2, 9).cast("int")})
+    empty = imports.enrich(parsed.filter(F.lit(False)))
+    return imports.import_many(empty, parsed).select("order_id", "batch_id", "merchant_key", "dedup_hash")
+
+
 @query(f"WITH {NOISE_SQL} SELECT batch_id AS import_batch_id, count(*) AS transactions, sum(amount_minor)::BIGINT AS amount_minor FROM noise WHERE batch_id <> 'B2' GROUP BY batch_id")
 def undo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = noise_ledger(spark, sf_dir).withColumnRenamed("batch_id", "import_batch_id")

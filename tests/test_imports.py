@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
+from ledgerloom.functions.merchants import with_merchant_key
 from ledgerloom.operators import imports, ledger
+from ledgerloom.plans import registry
 from ledgerloom.sources import schemas, statements
 from ledgerloom.streaming.imports import run_import_stream, statement_stream
 
@@ -76,6 +78,19 @@ def test_many_batches_equal_one_after_another(spark):
     assert rows(imports.import_many(held(spark), everything), "batch_id", "source_pos") == sorted(order, key=repr)
 
 
+def test_registered_import_of_all_batches(spark):
+    data = "/root/testdata/sf0.001"
+    parsed = imports.assign_hashes(with_merchant_key(registry._parsed(spark, data))).collect()
+    seen, want = set(), []
+    for r in sorted(parsed, key=lambda r: (r["batch_id"], r["source_pos"])):
+        keys = {(r["ledger_id"], r["dedup_hash"])} | ({(r["ledger_id"], r["account_id"], r["institution_transaction_id"])} if r["institution_transaction_id"] else set())
+        if not keys & seen:
+            seen |= keys
+            want.append((r["id"], r["batch_id"]))
+    assert {b for _, b in want} == {"B0", "B1", "B2", "B3"} and len(want) < len(parsed)
+    assert rows(registry.QUERIES["import_all_batches"](spark, data), "order_id", "batch_id") == sorted(want, key=repr)
+
+
 def test_undo_and_edits(spark):
     tx = held(spark, [("A", -1, None), ("B", -2, None)]).unionByName(imports.enrich(parsed(spark, [("C", -3, None)])).select(*imports.LEDGER_COLUMNS))
     batches = spark.createDataFrame([("b0", "A"), ("b1", "A")], "id string, account_id string")
