@@ -36,19 +36,6 @@ class Recent(dict):
     def has(self, key) -> bool:
         return key in self or key in self.old
 
-    def missing(self, lists) -> list:
-        """The distinct members of the lists that are not known."""
-        get, nothing, new = self.get, repeat(None), set()
-        for words in lists:
-            new.update(compress(words, map(is_, map(get, words), nothing)))
-        return [w for w in new if w not in self.old]
-
-    def make(self, key):
-        raise KeyError(key)
-
-    def has(self, key) -> bool:
-        return key in self or key in self.old
-
     def missing(self, lists) -> list:
         """The distinct members of the lists that are not known."""
         old = self.old
@@ -84,6 +71,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name = f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

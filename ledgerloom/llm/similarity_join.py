@@ -9,9 +9,10 @@ and for e_i = 1 also their one-deletion neighbourhoods. The set that looks up ch
 of many elements first, as they are the rarest; the few segments whose deletions are indexed get
 tolerance 1 where others would be empty or hold a single element.
 
-Equal sets are made one class first. What meets in a segment is compared in full: first with the most
-connected set of each meeting, and when those links have made components, whatever meets across
-components. Links inside a component are not enumerated, so large groups of copies cost a star each.
+Equal sets are made one class first. Signatures under which the same sets meet are one meeting. What meets
+is compared by counts, then word for word: first with the most connected set of each crowded meeting, and
+when those links have made components, whatever meets across components. Links inside a component are not
+enumerated, so large groups of copies cost a star each.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WORDS = 5
 PERCENT = 75
@@ -33,6 +34,8 @@ PERCENT = 75
 SLICE = 2 << 20
 #: Parts of the universe whose counts tell most unlike sets apart before they are compared in full.
 SKETCH = 256
+#: Sets of a meeting that are compared in one piece; larger meetings are compared block by block.
+BLOCK = 1024
 
 _U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -246,31 +249,67 @@ def sketch(elements: np.ndarray) -> bytes:
     return np.minimum(np.bincount((elements >> _U(32)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _pack(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, flag: np.ndarray) -> bytes:
-    """Documents once, then each signature with the number of its document."""
-    names, back = np.unique(doc, return_inverse=True)
-    sizes = np.zeros(len(names), dtype=np.int32)
-    sizes[back] = size
-    return np.array([len(names), len(sig)], dtype=np.int64).tobytes() + names.tobytes() + sizes.tobytes() + sig.tobytes() + back.astype(np.uint16).tobytes() + flag.tobytes()
+#: A set that meets others: its id, its size, and what its signature is there for.
+_MEMBER = np.dtype([("doc", "<i8"), ("size", "<i4"), ("flag", "u1")])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, dtype=np.int64, count=2).tolist()
-    at = 16
-    out = []
-    for dtype, k in ((np.int64, n), (np.int32, n), (np.uint64, m), (np.uint16, m), (np.uint8, m)):
-        out.append(np.frombuffer(blob, dtype=dtype, count=k, offset=at))
-        at += out[-1].nbytes
-    names, sizes, sig, back, flag = out
-    return sig, names[back], sizes[back], flag
+def _pack(sig: np.ndarray, kind: type, who: np.ndarray, flag: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The signatures in the order of their sets and flags: sets and flags are told once for each run of them."""
+    order = np.lexsort((flag, who))
+    sig, who, flag = sig[order], who[order], flag[order]
+    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (flag[1:] != flag[:-1])]))
+    run = np.empty(len(first), dtype=_MEMBER)
+    run["doc"], run["size"], run["flag"] = names[who[first]], sizes[who[first]], flag[first]
+    length = np.diff(np.append(first, len(sig))).astype("<u4")
+    return np.array([len(run), len(sig)], dtype="<i8").tobytes() + run.tobytes() + length.tobytes() + sig.astype(kind).tobytes()
+
+
+def _unpack(blob: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, a member for each)."""
+    runs, n = np.frombuffer(blob, dtype="<i8", count=2).tolist()
+    run = np.frombuffer(blob, dtype=_MEMBER, count=runs, offset=16)
+    at = 16 + run.nbytes
+    length = np.frombuffer(blob, dtype="<u4", count=runs, offset=at)
+    return np.frombuffer(blob, dtype=kind, count=n, offset=at + length.nbytes), np.repeat(run, length)
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, dtype=np.int64)
+
+
+def _lists(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the members by signature and id, each once with all its flags; where each signature's start; two hashes of each list)."""
+    order = np.lexsort((member["doc"], sig))
+    sig, member = sig[order], member[order]
+    each = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (member["doc"][1:] != member["doc"][:-1])]))
+    # A chance match of two of a set's own signatures must not hide one that is whole.
+    flags = np.bitwise_or.reduceat(member["flag"], each) & ~np.uint8(DELETED) | np.bitwise_and.reduceat(member["flag"], each) & DELETED
+    sig, member = sig[each], member[each]
+    member["flag"] = flags
+    first = _first(sig)
+    with np.errstate(over="ignore"):
+        x = _mix(member["doc"].view(np.ndarray).astype(np.uint64) * _U(256) + member["flag"])
+        return member, first, _mix(np.add.reduceat(x, first)), _mix(np.add.reduceat(_mix(x ^ _U(_ODD[0])), first) + _U(1))
+
+
+def _few_members(batches: Iterator[pd.DataFrame], most: int = 500_000) -> Iterator[pd.DataFrame]:
+    """The rows in batches of no more than so many members, or of one row."""
+    for batch in batches:
+        upto = np.cumsum(batch["members"].map(len).to_numpy() // _MEMBER.itemsize)
+        while len(batch):
+            k = max(1, int(np.searchsorted(upto, most, side="right")))
+            yield batch.iloc[:k]
+            batch, upto = batch.iloc[k:], upto[k:] - upto[k - 1]
 
 
 def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
-    """sig, doc_id, size, flags, spare: the signatures that two sets or more have, one of which looks up. texts: a row per class.
+    """list, doc_id, size, flags, spare, times, crowd: the lists of two sets or more that share a signature, one of which looks up,
+    each list once with the number of its signatures. texts: a row per class.
 
-    A task packs its signatures by ranges of their values. A signature that it finds several times is
-    known to meet, and goes past the buckets but for one witness, so a bucket holds at most one entry
-    of it from each slice of the texts.
+    A task packs its signatures by ranges of their values: 32 bits of each, as the range tells more of it (a chance match is a
+    meeting in vain). A signature that a task finds several times is known to meet, and goes past the buckets but for one
+    witness, so a bucket holds at most one entry of it from each slice of the texts.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,76 +320,117 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
             names, sets = np.array([i for i, _ in keep], dtype=np.int64), [s for _, s in keep]
             sizes = np.array([len(s) for s in sets], dtype=np.int32)
             sig, who, flag = signatures(sets, percent)
+            bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)
+            sig = bucket << _U(32) | sig & _U(0xFFFFFFFF)
             order = np.argsort(sig)
             sig, who, flag = sig[order], who[order], flag[order]
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            length = np.diff(np.concatenate([first, [len(sig)]]))
+            first = _first(sig)
+            length = np.diff(np.append(first, len(sig)))
             union = np.bitwise_or.reduceat(flag, first)
             known = (length > 1) & (union & PROBE > 0)
             several = np.repeat(known, length)
             rows: list[tuple[int, int, bytes]] = []
             if several.any():
-                m = several
-                rows.append((int(sig[0] % _U(buckets)), 1 + int(names[0] % 1_000_003), _pack(sig[m], names[who[m]], sizes[who[m]], flag[m])))
+                rows.append((int(sig[0] % _U(buckets)), 1 + int(names[0] % 1_000_003), _pack(sig[several], np.uint64, who[several], flag[several], names, sizes)))
             # A witness carries all flags of its signature, and WITNESS so that the bucket does not report it again.
             alone = ~several
             alone[first[known]] = True
             flag[first[known]] = union[known] | WITNESS
             s, w, mark = sig[alone], who[alone], flag[alone]
-            bucket = ((s >> _U(32)) * _U(buckets)) >> _U(32)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            edges = np.searchsorted(s, np.arange(buckets + 1).astype(np.uint64) << _U(32))
             for b in range(buckets):
                 x = slice(edges[b], edges[b + 1])
                 if edges[b] < edges[b + 1]:
-                    rows.append((b, 0, _pack(s[x], names[w[x]], sizes[w[x]], mark[x])))
+                    rows.append((b, 0, _pack(s[x], np.uint32, w[x], mark[x], names, sizes)))
             yield pd.DataFrame(rows, columns=["bucket", "lane", "blob"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, doc, size, flag = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"]), strict=True))
-        if pdf["lane"].iloc[0] == 0:
+        """Lists that are whole by two hashes; parts of a list (of a signature that some task finds several times) by signature."""
+        lane = int(pdf["lane"].iloc[0])
+        sig, member = (np.concatenate(x) for x in zip(*(_unpack(b, np.uint64 if lane else np.uint32) for b in pdf["blob"]), strict=True))
+        partial = np.ones(len(sig), dtype=bool)
+        if not lane:
+            sig = sig.astype(np.uint64) | _U(int(pdf["bucket"].iloc[0])) << _U(32)
             order = np.argsort(sig)
-            s = sig[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            length = np.diff(np.concatenate([first, [len(s)]]))
-            f = flag[order]
-            looked = np.bitwise_or.reduceat(f, first) & PROBE
+            s, f, z = sig[order], member["flag"][order], member["size"][order].astype(np.int64)
+            first = _first(s)
+            length = np.diff(np.append(first, len(s)))
+            union = np.bitwise_or.reduceat(f, first)
             # A set stays if one of those that look up here has a size that it can link with.
-            z = size[order].astype(np.int64)
             seeks = f & PROBE > 0
             least = np.minimum.reduceat(np.where(seeks, z, 1 << 40), first)
             most = np.maximum.reduceat(np.where(seeks, z, 0), first)
-            witness = np.bitwise_or.reduceat(f, first) & WITNESS > 0  # of several sets, whose sizes are not told here
+            witness = union & WITNESS > 0  # of several sets, whose sizes are not told here
             least[witness], most[witness] = 0, 1 << 40
             fits = (100 * np.repeat(most, length) >= percent * z) & (100 * z >= percent * np.repeat(least, length))
-            order = order[np.repeat((length > 1) & (looked > 0), length) & fits & (f & WITNESS == 0)]
-            sig, doc, size, flag = sig[order], doc[order], size[order], flag[order]
-        band = np.searchsorted(bands(percent), size, side="right") - 1 - (flag & INDEXED == 0)
-        need = {b: layout(b, percent)[2] for b in set(band.tolist())}
-        least = np.array([need[b] for b in band.tolist()], dtype=np.int32)
-        return pd.DataFrame({"sig": sig.view(np.int64), "doc_id": doc, "size": size, "flags": flag.astype(np.int32), "spare": least})
-
-    return (
+            stays = np.repeat((length > 1) & (union & PROBE > 0), length) & fits & (f & WITNESS == 0)
+            order, partial = order[stays], np.repeat(witness, length)[stays]
+            sig, member = sig[order], member[order]
+        found = []
+        for part in (False, True):
+            if not (mine := partial == part).any():
+                continue
+            s = sig[mine]
+            members, first, one, two = _lists(s, member[mine])
+            n = np.diff(np.append(first, len(members)))
+            times = np.ones(len(n), dtype=np.int64)
+            at = np.flatnonzero(n > 0)
+            if part:
+                # All parts of a list have its signature, and each a name of its own: that of the group it comes from.
+                one, two = np.unique(s), np.full(len(n), lane << 32 | int(pdf["bucket"].iloc[0]) if lane else 0, dtype=np.uint64)
+            else:
+                _, at, times = np.unique(one, return_index=True, return_counts=True)
+                at, times = at[n[at] > 1], times[n[at] > 1]
+            raw, w = members.tobytes(), _MEMBER.itemsize
+            blobs = [raw[a:b] for a, b in zip((first[at] * w).tolist(), ((first[at] + n[at]) * w).tolist(), strict=True)]
+            found.append(pd.DataFrame({"part": part, "one": one[at].view(np.int64), "two": two[at].view(np.int64), "times": times, "members": blobs}))
+        return pd.concat(found) if found else pd.DataFrame({"part": pd.array([], dtype=bool), "one": pd.array([], dtype="int64"), "two": pd.array([], dtype="int64"), "times": pd.array([], dtype="int64"), "members": []})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _few_members(batches):
+            n = batch["members"].map(len).to_numpy() // _MEMBER.itemsize
+            m = np.frombuffer(b"".join(batch["members"]), dtype=_MEMBER)
+            band = np.searchsorted(bands(percent), m["size"], side="right") - 1 - (m["flag"] & INDEXED == 0)
+            some, back = np.unique(band, return_inverse=True)
+            yield pd.DataFrame(
+                {
+                    "part": np.repeat(batch["part"].to_numpy(), n),
+                    "list": np.repeat(batch["one"].to_numpy(), n),
+                    "doc_id": m["doc"],
+                    "size": m["size"],
+                    "flags": m["flag"].astype(np.int32),
+                    "spare": np.array([layout(b, percent)[2] for b in some.tolist()], dtype=np.int32)[back],
+                    "times": np.repeat(batch["times"].to_numpy(), n),
+                    "crowd": np.repeat(n, n),
+                }
+            )
+
+    rows = (
         texts.mapInPandas(emit, "bucket int, lane int, blob binary")
         .groupBy("bucket", "lane")
-        .applyInPandas(meet, "sig long, doc_id long, size int, flags int, spare int")
+        .applyInPandas(meet, "part boolean, one long, two long, times long, members binary")
+        .groupBy("part", "one", "two")
+        .agg(F.sum("times").alias("times"), F.first("members").alias("members"))
+        .mapInPandas(spread, "part boolean, list long, doc_id long, size int, flags int, spare int, times long, crowd long")
     )
+    rows = cut(rows)
+    # The parts of a list meet by their signature; of equal lists one stays, here too.
+    parts = rows.filter("part").drop("times", "crowd")
+    members = F.bit_xor(F.xxhash64("doc_id", "flags")).alias("x"), F.bit_xor(F.xxhash64("flags", "doc_id")).alias("y")
+    whole = parts.groupBy("list").agg(*members, F.bit_or("flags").alias("any"), F.count(F.lit(1)).alias("crowd"))
+    whole = whole.filter((F.col("crowd") > 1) & (F.col("any").bitwiseAND(PROBE) > 0)).groupBy("x", "y", "crowd").agg(F.min("list").alias("list"), F.count(F.lit(1)).alias("times"))
+    return rows.filter("not part").drop("part").unionByName(parts.join(whole.select("list", "times", "crowd"), "list").drop("part"))
 
 
 def allocated(met: DataFrame) -> DataFrame:
     """Tolerances by cost: each set gives up looking up its most crowded segments, as many as are spare in its layout (those of
     tolerance 1 stay). What nobody looks up any more is no meeting."""
     own, seeks = F.col("flags").bitwiseAND(INDEXED) > 0, F.col("flags").bitwiseAND(PROBE + DOUBLED) == PROBE
-    crowd = met.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"))
-    order = Window.partitionBy("doc_id", own).orderBy(seeks.desc(), F.desc("crowd"), "sig")  # a set's own signatures: no hot key
-    left_out = seeks & (F.row_number().over(order) <= F.col("spare"))
-    left = met.join(crowd, "sig").withColumn("flags", F.when(left_out, F.col("flags") - PROBE).otherwise(F.col("flags"))).drop("crowd")
-    sought = left.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_or("flags").alias("any")).filter((F.col("lo") != F.col("hi")) & (F.col("any").bitwiseAND(PROBE) > 0))
-    return left.join(sought.select("sig"), "sig", "left_semi").select("sig", "doc_id", "size", "flags")
-
-
-def _joined(pairs: DataFrame, by_id: DataFrame, column: str) -> DataFrame:
-    left, right = by_id.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), by_id.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    order = Window.partitionBy("doc_id", own).orderBy(seeks.desc(), F.desc("crowd"), "list")  # a set's own signatures: no hot key
+    left_out = seeks & (F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= F.col("spare"))
+    left = met.withColumn("flags", F.when(left_out, F.col("flags") - PROBE).otherwise(F.col("flags"))).select("list", "doc_id", "size", "flags")
+    sought = left.groupBy("list").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_or("flags").alias("any")).filter((F.col("lo") != F.col("hi")) & (F.col("any").bitwiseAND(PROBE) > 0))
+    return left.join(sought.select("list"), "list", "left_semi")
 
 
 def _sketches(blobs) -> tuple[np.ndarray, np.ndarray]:
@@ -369,65 +449,106 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 apart = np.abs(x - y).sum(axis=1)
                 yield batch.loc[apart <= (n + m) * (100 - percent) // (100 + percent), ["a", "b"]]
 
-    return _joined(pairs, sketches, "sketch").mapInPandas(run, "a long, b long")
+    left, right = (sketches.select(F.col("doc_id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def plausible_meetings(met: DataFrame, sketches: DataFrame, percent: int, groups: int) -> DataFrame:
-    """The pairs (a, b), a < b, of different components that meet and may link, as `plausible` has it.
+def plausible_meetings(met: DataFrame, lists: DataFrame, sketches: DataFrame, percent: int, groups: int, within: bool) -> DataFrame:
+    """The pairs (a, b), a < b, that meet and may link, as `plausible` has it; of different components, unless `within`.
 
-    The signatures are dealt into groups, each with the sketches of its sets once; in a group the sets of a meeting are compared
-    block by block, and what cannot link never leaves it. A group finds a pair once, however often it meets.
+    lists: list, crowd, least (id). The lists are dealt into groups, those of the same least id together, so that a set's sketch
+    goes to few groups; a list of more than BLOCK sets is cut into blocks, and each pair of blocks is a group of its own.
     """
-    dealt = met.withColumn("g", F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("int")).select("g", "sig", "doc_id", "comp", "flags")
-    known = dealt.select("g", "doc_id").distinct().join(sketches, "doc_id").select(F.col("g").alias("h"), F.col("doc_id").alias("id"), "sketch")
+    known = met.join(lists, "list").withColumn("cuts", F.ceil(F.col("crowd") / F.lit(BLOCK)).cast("int"))
+    few = known.filter("cuts = 1").select(
+        F.pmod(F.xxhash64(F.when(F.col("crowd") < 64, F.col("least")).otherwise(F.col("list"))), F.lit(groups)).alias("g"), "list", "doc_id", "comp", "flags", F.lit(-1).alias("part")
+    )
+    many = known.filter("cuts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("cell", F.struct(F.least("part", "other"), F.greatest("part", "other")))
+    cells = many.select((-1 - F.abs(F.xxhash64("list", "cell") % F.lit(1 << 60))).alias("g"), "list", "doc_id", "comp", "flags", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")).alias("part"))
+    dealt = few.union(cells)
+    needed = dealt.select("g", "doc_id").distinct().join(sketches, "doc_id").select(F.col("g").alias("h"), F.col("doc_id").alias("id"), "sketch")
 
     def compare(key: tuple, rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(sets["id"].to_numpy(), return_index=True)
         counts, sizes = _sketches(sets["sketch"].iloc[at])
-        rows = rows.sort_values("sig")
+        rows = rows.sort_values("list")
         doc = np.searchsorted(ids, rows["doc_id"].to_numpy())
-        comp, flag, sig = rows["comp"].to_numpy(), rows["flags"].to_numpy(), rows["sig"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
-        seen: set[int] = set()
-        out: list[np.ndarray] = []
-        n = len(ids)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sig)], strict=True):
-            everyone = np.arange(a, b)
-            for i in everyone[flag[a:b] & PROBE > 0].tolist():
-                other = everyone[(comp[a:b] != comp[i]) & (flag[a:b] & INDEXED > 0)]
-                if flag[i] & DELETED:
-                    other = other[flag[other] & DELETED == 0]
-                x, y = doc[i], doc[other]
-                codes = np.minimum(x, y) * n + np.maximum(x, y)
-                fresh = np.array([c not in seen for c in codes.tolist()], dtype=bool)
-                codes, y = codes[fresh], y[fresh]
-                seen.update(codes.tolist())
-                fits = np.abs(counts[y] - counts[x]).sum(axis=1) <= (sizes[y] + sizes[x]) * (100 - percent) // (100 + percent)
-                out.append(codes[fits])
-            if len(seen) > 5_000_000:
-                seen.clear()
-        codes = np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
+        comp, flag, part = rows["comp"].to_numpy(), rows["flags"].to_numpy(), rows["part"].to_numpy()
+        first = _first(rows["list"].to_numpy())
+        done, fresh, waiting, out, n = np.empty(0, dtype=np.int64), [], 0, [], len(ids)
+
+        def test() -> None:
+            nonlocal done, fresh, waiting
+            codes = np.setdiff1d(np.concatenate([*fresh, np.empty(0, dtype=np.int64)]), done)
+            for k in range(0, len(codes), 20_000):
+                c = codes[k : k + 20_000]
+                x, y = c // n, c % n
+                fits = np.abs(counts[x] - counts[y]).sum(axis=1) <= (sizes[x] + sizes[y]) * (100 - percent) // (100 + percent)
+                out.append(c[fits])
+            done = np.union1d(done, codes) if len(done) < 8_000_000 else codes  # what is forgotten is compared again
+            fresh, waiting = [], 0
+
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+            d, f, c, p = doc[a:b], flag[a:b], comp[a:b], part[a:b]
+            i = np.flatnonzero(f & PROBE)
+            j = np.flatnonzero(f & INDEXED)
+            pair = d[i][:, None] != d[j] if within else c[i][:, None] != c[j]
+            pair &= (f[i] & DELETED == 0)[:, None] | (f[j] & DELETED == 0)
+            pair &= (p[i][:, None] != p[j]) | (p[i] < 0)[:, None]
+            x, y = np.nonzero(pair)
+            x, y = d[i[x]], d[j[y]]
+            fresh.append(np.minimum(x, y) * n + np.maximum(x, y))
+            waiting += len(x)
+            if waiting > 2_000_000:
+                test()
+        test()
+        codes = np.unique(np.concatenate(out)) if out else done[:0]
         return pd.DataFrame({"a": ids[codes // max(n, 1)], "b": ids[codes % max(n, 1)]})
 
-    found = dealt.groupBy("g").cogroup(known.groupBy("h")).applyInPandas(compare, "a long, b long")
-    return found.distinct()
+    return dealt.groupBy("g").cogroup(needed.groupBy("h")).applyInPandas(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by comparing all of both."""
+def exact_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
+    """Each text's shingles as sorted numbers, equal for equal shingles of these texts and for no others: no hashes. Texts of fewer
+    words than the width have a number of their own."""
+    split = [t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else [] for t in texts]
+    numbers: dict[bytes, int] = {}
+    words = np.array([numbers.setdefault(w, len(numbers)) for s in split for w in s], dtype=np.int64)
+    border = np.cumsum([0, *map(len, split)])
+    runs = words
+    for k in range(1, width):
+        runs = np.unique(runs[: max(0, len(words) - k)] * max(1, len(numbers)) + words[k:], return_inverse=True)[1]
+    return [np.unique(runs[a : b - width + 1]) if b - a >= width else np.array([-1 - i][: b - a], dtype=np.int64) for i, (a, b) in enumerate(zip(border[:-1].tolist(), border[1:].tolist(), strict=True))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int(np.count_nonzero(y[at] == x))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
 
-    return _joined(pairs, sets, "elements").mapInPandas(run, "a long, b long")
+def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int, broadcast_rows: int, words_each: int = 400_000, partners: int = 256) -> DataFrame:
+    """The pairs (a, b) whose sets link, by comparing all shingles of both, words for words.
+
+    Of a pair, the one of more partners is `hub`. Pairs are dealt by hub (by parts of its partners, if they are many), so that
+    a hub's text goes to a group once. sizes: doc_id, n_shingles; texts: doc_id, text.
+    """
+    degree = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree")).join(sizes, "doc_id")
+    left, right = (degree.select(F.col("doc_id").alias(i), F.struct("degree", (-F.col("doc_id")).alias("id"), "n_shingles").alias(f"{i}_")) for i in "ab")
+    sided = pairs.join(left, "a").join(right, "b").select("a", "b", F.greatest("a_", "b_").alias("hub"), F.least("a_", "b_").alias("other"))
+    weight = sided.agg(F.sum("other.n_shingles")).first()[0] or 0
+    salt = F.pmod(F.xxhash64("other.id"), F.ceil(F.col("hub.degree") / F.lit(partners)))
+    dealt = cut(sided.select(F.pmod(F.xxhash64("hub.id", salt), F.lit(max(4, weight // words_each + 1))).alias("g"), "a", "b"))
+    needed = dealt.select("g", F.col("a").alias("doc_id")).union(dealt.select("g", "b")).distinct()
+    needed = F.broadcast(needed) if needed.count() <= broadcast_rows else needed
+    sets = texts.join(needed, "doc_id").select(F.col("g").alias("h"), F.col("doc_id").alias("id"), "text")
+
+    def compare(key: tuple, rows: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.drop_duplicates("id")
+        found = dict(zip(texts["id"].tolist(), exact_sets(texts["text"].tolist(), width), strict=True))
+        keep = []
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+            x, y = found[a], found[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        return rows.loc[keep, ["a", "b"]]
+
+    return dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -450,6 +571,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _classes(named: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class_id, first: whether the row stands for its class; the sketches by doc_id)."""
+    rows = cut(shingle_classes(named, width))
+    narrow = rows.select("doc_id", "n_shingles", "digest")
+    grouped = narrow.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    classed = narrow.join(grouped, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(False)).alias("first"))
+    return cut(classed), rows.select("doc_id", "sketch")
+
+
+def _linked(named: DataFrame, classed: DataFrame, sketches: DataFrame, *, width: int, percent: int, within: bool, star_from: int, broadcast_rows: int, signatures_each: int, rows_each: int) -> DataFrame:
+    """a, b, a < b: links between classes; all of them if `within`, else so many that they make the same components."""
+    shingles = classed.filter("first").agg(F.sum("n_shingles")).first()[0]
+    rest = classed.filter("not first").select("doc_id").distinct()
+    texts = named.filter("doc_id is not null").join(F.broadcast(rest) if rest.count() <= broadcast_rows else rest, "doc_id", "left_anti")
+    # A set has about as many signatures as two thirds of its elements.
+    met = cut(allocated(meetings(texts, max(8, int(shingles * 0.75) // signatures_each + 1), width, percent)).withColumn("comp", F.col("doc_id")))
+    groups = max(4, met.count() // rows_each)
+    # A set's weight is the number of its meetings with others: it is highest in the middle of a group of copies.
+    lists = cut(met.groupBy("list").agg(F.count(F.lit(1)).alias("crowd"), F.min("doc_id").alias("least")))
+    hot = cut(met.join(lists, "list").groupBy("doc_id").agg(F.sum(F.col("crowd") - 1).alias("weight")))
+    sketches = cut(sketches.join(hot.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sizes = met.select("doc_id", F.col("size").cast("long").alias("n_shingles")).distinct()
+
+    def check(likely: DataFrame) -> DataFrame:
+        return cut(verified(likely, sizes, texts, width, percent, broadcast_rows))
+
+    if within:
+        return check(cut(plausible_meetings(met, lists, sketches, percent, groups, True)))
+    # Crowded meetings: first with the most connected set of each.
+    crowded = met.join(lists.filter(F.col("crowd") >= star_from).select("list"), "list", "left_semi").join(hot, "doc_id")
+    best = crowded.groupBy("list").agg(F.max(F.struct("weight", -F.col("doc_id"), "size")).alias("hub"))
+    hubs = best.select("list", (-F.col("hub.col2")).alias("h"), F.col("hub.size").alias("h_size"))
+    fits = (F.col("doc_id") != F.col("h")) & (F.least("size", "h_size") * 100 >= F.greatest("size", "h_size") * percent)
+    stars = crowded.join(hubs, "list").filter(fits).select(F.least("doc_id", "h").alias("a"), F.greatest("doc_id", "h").alias("b")).distinct()
+    stars = cut(plausible(stars, sketches, percent))
+    links = check(stars)
+    labels = components(links)
+    # Then whatever meets across the components.
+    known = met.drop("comp").join(labels, F.col("doc_id") == F.col("node"), "left").select("list", "doc_id", "flags", F.coalesce("label", "doc_id").alias("comp"))
+    several = lists.join(known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("list"), "list", "left_semi")
+    across = cut(plausible_meetings(known, several, sketches, percent, groups, False).join(stars, ["a", "b"], "left_anti"))
+    return links.union(check(across))
+
+
 def similar_documents(
     docs: DataFrame,
     *,
@@ -457,10 +622,10 @@ def similar_documents(
     width: int = WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    star_rounds: int = 1,
     star_from: int = 16,
     broadcast_rows: int = 1_000_000,
     signatures_each: int = 2_000_000,
+    rows_each: int = 50_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least id of the same set), component_id (least id reachable by links).
 
@@ -471,75 +636,36 @@ def similar_documents(
     within a component is enumerated without need, but no link between components is missed.
     """
     named = _named(docs, id_col, text_col)
-    rows = cut(shingle_classes(named, width))
-    grouped = rows.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classed = cut(
-        rows.join(grouped, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("class_id") == F.col("doc_id")).alias("first"), "sketch")
-    )
-    total, shingles = classed.filter("first").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    if not total:
+    classed, sketches = _classes(named, width)
+    if classed.filter("first").isEmpty():
         return classed.select("doc_id", "n_shingles", "class_id", F.col("class_id").alias("component_id"))
+    links = _linked(named, classed, sketches, width=width, percent=percent, within=False, star_from=star_from, broadcast_rows=broadcast_rows, signatures_each=signatures_each, rows_each=rows_each)
+    labels = components(links)
+    return classed.join(labels, classed["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
 
-    def only(ids: DataFrame, how: str) -> DataFrame:
-        """The texts of these ids; the ids are broadcast if they are few."""
-        ids = ids.select("doc_id").distinct()
-        return named.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", how)
 
-    rest = cut(classed.filter("not coalesce(first, false)").select("doc_id"))
-    # A set has about as many signatures as two thirds of its elements.
-    met = cut(meetings(only(rest, "left_anti").filter("doc_id is not null"), max(8, int(shingles * 0.75) // signatures_each + 1), width, percent))
-    met = cut(allocated(met))
-    # A set's weight is the number of its meetings with others: it is highest in the middle of a group of copies.
-    crowd = met.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("crowd"))
-    hot = cut(met.join(crowd, "sig").groupBy("doc_id").agg(F.sum("crowd").alias("weight")))
+def similar_links(docs: DataFrame, *, percent: int = PERCENT, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, signatures_each: int = 2_000_000, rows_each: int = 50_000) -> DataFrame:
+    """a, b, a < b: every link between classes of documents (by the least id of each), as similar_documents has links and classes.
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _slices(batches):
-            yield pd.DataFrame({"doc_id": ids, "elements": [s.tobytes() for s in shingle_sets(texts, width)]})
-
-    sketches = classed.filter("first").select("doc_id", "sketch").join(hot.select("doc_id"), "doc_id", "left_semi")
-    met = met.withColumn("comp", F.col("doc_id"))
-
-    def admitted(pairs: DataFrame) -> DataFrame:
-        """(a, b), a < b, of sizes that can link, once each."""
-        fits = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-        return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    links, compared = None, None
-    for k in range(star_rounds + 1):
-        open_sigs = met.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        if k < star_rounds:
-            # Smaller meetings are left to the comparison across components: a few pairs each.
-            crowded = met.join(open_sigs.filter(F.col("crowd") >= star_from).select("sig"), "sig", "left_semi").join(hot, "doc_id")
-            best = crowded.groupBy("sig").agg(F.max(F.struct("weight", -F.col("doc_id"), "size", "comp")).alias("hub"))
-            hubs = best.select("sig", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("a_size"), F.col("hub.comp").alias("a_comp"))
-            pairs = crowded.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), "comp").join(hubs, "sig").filter("comp <> a_comp")
-            taken = cut(hubs.select(F.col("a").alias("hub")).distinct())
-            likely = cut(plausible(admitted(pairs), sketches, percent))
-        else:
-            left = met.join(open_sigs.select("sig"), "sig", "left_semi")
-            likely = cut(plausible_meetings(left, sketches, percent, max(4, met.count() // 50_000)))
-        if compared is not None:
-            likely = cut(likely.join(compared, ["a", "b"], "left_anti"))
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))
-        sets = cut(only(ids, "left_semi").mapInPandas(packed, "doc_id long, elements binary"))
-        found = cut(verified(likely, sets, percent))
-        compared = likely if compared is None else compared.union(likely)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if k < star_rounds:
-            # A hub has been compared with all that it meets: the next round has others.
-            hot = hot.join(taken, hot["doc_id"] == taken["hub"], "left_anti")
-            met = met.drop("comp").join(labels, met["doc_id"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "doc_id"))
-            met = cut(met.select("sig", "doc_id", "size", "flags", "comp"))
-    return classed.join(labels, classed["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
+    Their number grows with the square of a group of near copies that all differ; copies of one set are one class.
+    """
+    named = _named(docs, id_col, text_col)
+    classed, sketches = _classes(named, width)
+    if classed.filter("first").isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    return _linked(named, classed, sketches, width=width, percent=percent, within=True, star_from=0, broadcast_rows=broadcast_rows, signatures_each=signatures_each, rows_each=rows_each)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each component kept, that of least id, with their columns. Documents without words or id all stay."""
+    """The documents with one of each component kept, that of least id, with their columns, whatever those are called.
+
+    Documents without words or id all stay. Repeated rows of the id that stays all stay. Nulls, ties and
+    empty tables are as in similar_documents.
+    """
     found = similar_documents(docs, id_col=id_col, text_col=text_col, **options)
-    going = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_going")).distinct()
-    return docs.join(going, F.col(id_col).cast("long") == F.col("_going"), "left_anti")
+    name = fresh("going", docs)
+    going = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(going, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
-__all__ = ["components", "one_of_each", "shingle_sets", "signatures", "similar_documents"]
+__all__ = ["components", "exact_sets", "one_of_each", "shingle_sets", "signatures", "similar_documents", "similar_links"]

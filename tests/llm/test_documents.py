@@ -54,6 +54,15 @@ def classes(items):
     return sorted(((i, len(sets[i]), root(i)) for i in ids), key=repr)
 
 
+def links(items):
+    least = {}
+    for i, t in sorted(items):
+        if s := frozenset(shingles(t)):
+            least.setdefault(s, i)
+    common = lambda a, b: len(a & b)
+    return sorted(((i, j) for a, i in least.items() for b, j in least.items() if i < j and 100 * common(a, b) >= 75 * len(a | b)), key=repr)
+
+
 def near_copies():
     rng, out = random.Random(11), []
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -71,12 +80,14 @@ def near_copies():
     return out + [None, "", " \n ", "one", "ONE", "one two", "İ i", "one two three four five"] * 2
 
 
-def test_similarity_join_against_all_pairs(spark):
+def test_similarity_join_against_all_pairs(spark, monkeypatch):
     items = list(enumerate(near_copies()))
     df = table(spark, [(i, t, None, None) for i, t in items])
-    for rounds in (0, 1):
-        got = similarity_join.similar_documents(df, star_rounds=rounds, broadcast_rows=5, signatures_each=2000, star_from=2)
+    for star_from, block in ((2, 1024), (10**9, 7)):
+        monkeypatch.setattr(similarity_join, "BLOCK", block)
+        got = similarity_join.similar_documents(df, broadcast_rows=5, signatures_each=2000, star_from=star_from)
         assert rows(got, "doc_id", "n_shingles", "component_id") == classes(items)
+    assert rows(similarity_join.similar_links(df, signatures_each=2000)) == links(items)
     stay = {c for _, _, c in classes(items)}
     assert {r["doc_id"] for r in similarity_join.one_of_each(df).collect()} == stay
 
