@@ -102,6 +102,11 @@ def key_bucket(key: Column, buckets: int) -> Column:
     return F.conv(F.concat(F.lit("0"), F.substring(key, 1, digits)), 16, 10).cast("long") if digits else F.lit(0).cast("long")
 
 
+def pieces_for(rows: int, rows_each: int = 100_000) -> int:
+    """Partitions for a narrow table of so many rows: a small one in many pieces costs more in files and tasks than in work."""
+    return max(1, -(-rows // rows_each))
+
+
 def buckets_for(rows: int, rows_each: int = 20_000) -> int:
     """A power of 16, so that a bucket of hash-random keys holds about rows_each rows at most."""
     n = 1

@@ -26,14 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, pieces_for
 
 WORDS = 5
 PERCENT = 75
 #: Bytes of text hashed at once in a task.
 SLICE = 2 << 20
-#: Parts of the universe whose counts tell most unlike sets apart before they are compared in full.
-SKETCH = 256
+#: A set's sketch has a bit for each of 2**level parts of the universe, two parts or more for an element, within these levels.
+LEVELS = 9, 24
 #: Sets of a meeting that are compared in one piece; larger meetings are compared block by block.
 BLOCK = 1024
 
@@ -237,7 +237,7 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
                     "doc_id": pd.array(ids, dtype="Int64"),
                     "n_shingles": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "sketch": [sketch(s) + np.array([len(s)], dtype="<i8").tobytes() for s in sets],
+                    "sketch": [sketch(s) for s in sets],
                 }
             )
 
@@ -245,8 +245,50 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall into each of SKETCH parts of the universe (255 for more)."""
-    return np.minimum(np.bincount((elements >> _U(32)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """The set's size, and for each part of the universe whether an odd number of elements falls into it.
+
+    Two sets differ in at least as many elements as their sketches in bits. A sketch of half as many
+    parts is one half of the bits over the other.
+    """
+    n = len(elements)
+    parts = 1 << min(max((2 * n - 1).bit_length(), LEVELS[0]), LEVELS[1])
+    odd = np.bincount((elements >> _U(32)).astype(np.int64) & parts - 1, minlength=parts) & 1
+    return np.array([n], dtype="<i8").tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+class Sketches:
+    """Sketches side by side, each also folded to the lengths of the shorter ones."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.sizes = np.array([np.frombuffer(b, dtype="<i8", count=1)[0] for b in blobs], dtype=np.int64)
+        self.width = np.array([len(b) - 8 for b in blobs], dtype=np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        who, bits = np.empty(0, dtype=np.int64), np.empty((0, 0), dtype=np.uint64)
+        width = int(self.width.max(initial=0))
+        while width >= int(self.width.min(initial=1 << 62)):
+            mine = np.flatnonzero(self.width == width)
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:] if half else np.empty((0, width // 8), dtype=np.uint64)
+            own = np.frombuffer(b"".join(blobs[i][8:] for i in mine.tolist()), dtype=np.uint64).reshape(len(mine), width // 8)
+            who, bits = np.concatenate([who, mine]), np.concatenate([bits, own])
+            place = np.full(len(blobs), -1, dtype=np.int64)
+            place[who] = np.arange(len(who))
+            self.tables[width] = place, bits
+            width //= 2
+
+    def may_link(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets x[i] and y[i] can be similar enough."""
+        most = (self.sizes[x] + self.sizes[y]) * (100 - percent) // (100 + percent)
+        fits = np.abs(self.sizes[x] - self.sizes[y]) <= most
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width[fits]).tolist():
+            place, bits = self.tables[w]
+            rows = np.flatnonzero(fits & (width == w))
+            each = max(1, (8 << 20) // w)
+            for i in range(0, len(rows), each):
+                r = rows[i : i + each]
+                fits[r] = np.bitwise_count(bits[place[x[r]]] ^ bits[place[y[r]]]).sum(axis=1, dtype=np.int64) <= most[r]
+        return fits
 
 
 #: A set that meets others: its id, its size, and what its signature is there for.
@@ -433,21 +475,15 @@ def allocated(met: DataFrame) -> DataFrame:
     return left.join(sought.select("list"), "list", "left_semi")
 
 
-def _sketches(blobs) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, sizes) of packed sketches."""
-    m = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, SKETCH + 8)
-    return m[:, :SKETCH].astype(np.int16), np.ascontiguousarray(m[:, SKETCH:]).view("<i8")[:, 0]
-
-
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may link: the differences of their counts sum to no more than the sets may differ in."""
+    """The pairs (a, b) that may link: their sketches differ in no more bits than the sets may in elements."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                (x, n), (y, m) = _sketches(batch["x"]), _sketches(batch["y"])
-                apart = np.abs(x - y).sum(axis=1)
-                yield batch.loc[apart <= (n + m) * (100 - percent) // (100 + percent), ["a", "b"]]
+            for i in range(0, len(batch), 1000):
+                few = batch.iloc[i : i + 1000]
+                n = np.arange(len(few))
+                yield few.loc[Sketches([*few["x"], *few["y"]]).may_link(n, n + len(few), percent), ["a", "b"]]
 
     left, right = (sketches.select(F.col("doc_id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
@@ -471,7 +507,7 @@ def plausible_meetings(met: DataFrame, lists: DataFrame, sketches: DataFrame, pe
 
     def compare(key: tuple, rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(sets["id"].to_numpy(), return_index=True)
-        counts, sizes = _sketches(sets["sketch"].iloc[at])
+        sketched = Sketches(sets["sketch"].iloc[at].tolist())
         rows = rows.sort_values("list")
         doc = np.searchsorted(ids, rows["doc_id"].to_numpy())
         comp, flag, part = rows["comp"].to_numpy(), rows["flags"].to_numpy(), rows["part"].to_numpy()
@@ -481,11 +517,7 @@ def plausible_meetings(met: DataFrame, lists: DataFrame, sketches: DataFrame, pe
         def test() -> None:
             nonlocal done, fresh, waiting
             codes = np.setdiff1d(np.concatenate([*fresh, np.empty(0, dtype=np.int64)]), done)
-            for k in range(0, len(codes), 20_000):
-                c = codes[k : k + 20_000]
-                x, y = c // n, c % n
-                fits = np.abs(counts[x] - counts[y]).sum(axis=1) <= (sizes[x] + sizes[y]) * (100 - percent) // (100 + percent)
-                out.append(c[fits])
+            out.append(codes[sketched.may_link(codes // max(n, 1), codes % max(n, 1), percent)])
             done = np.union1d(done, codes) if len(done) < 8_000_000 else codes  # what is forgotten is compared again
             fresh, waiting = [], 0
 
@@ -533,7 +565,8 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
     sided = pairs.join(left, "a").join(right, "b").select("a", "b", F.greatest("a_", "b_").alias("hub"), F.least("a_", "b_").alias("other"))
     weight = sided.agg(F.sum("other.n_shingles")).first()[0] or 0
     salt = F.pmod(F.xxhash64("other.id"), F.ceil(F.col("hub.degree") / F.lit(partners)))
-    dealt = cut(sided.select(F.pmod(F.xxhash64("hub.id", salt), F.lit(max(4, weight // words_each + 1))).alias("g"), "a", "b"))
+    pieces = pieces_for(pairs.count())
+    dealt = cut(sided.select(F.pmod(F.xxhash64("hub.id", salt), F.lit(max(4, weight // words_each + 1))).alias("g"), "a", "b").coalesce(pieces))
     needed = dealt.select("g", F.col("a").alias("doc_id")).union(dealt.select("g", "b")).distinct()
     needed = F.broadcast(needed) if needed.count() <= broadcast_rows else needed
     sets = texts.join(needed, "doc_id").select(F.col("g").alias("h"), F.col("doc_id").alias("id"), "text")
@@ -555,16 +588,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that each node of the edges (a, b) is connected with.
 
     Each round every node takes the least label around it, then the label of its label, until nothing
-    changes; state is cut in the shared folder after every round.
+    changes; state is cut in the shared folder after every round, in as many pieces as its size asks for.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges = cut(edges.select("a", "b"))
+    pieces = pieces_for(2 * edges.count())
+    both = cut(edges.union(edges.select("b", "a")).distinct().coalesce(pieces))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(pieces))
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         nearest = labels.join(around, labels["node"] == around["n"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        nearest = cut(nearest)
+        nearest = cut(nearest.coalesce(pieces))
         jump = nearest.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = cut(nearest.join(jump, F.col("label") == F.col("at"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
+        new = cut(nearest.join(jump, F.col("label") == F.col("at"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was").coalesce(pieces))
         changed = new.filter("label <> was").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
@@ -587,31 +622,32 @@ def _linked(named: DataFrame, classed: DataFrame, sketches: DataFrame, *, width:
     texts = named.filter("doc_id is not null").join(F.broadcast(rest) if rest.count() <= broadcast_rows else rest, "doc_id", "left_anti")
     # A set has about as many signatures as two thirds of its elements.
     met = cut(allocated(meetings(texts, max(8, int(shingles * 0.75) // signatures_each + 1), width, percent)).withColumn("comp", F.col("doc_id")))
-    groups = max(4, met.count() // rows_each)
+    members = met.count()
+    groups, pieces = max(4, members // rows_each), pieces_for(members)
     # A set's weight is the number of its meetings with others: it is highest in the middle of a group of copies.
-    lists = cut(met.groupBy("list").agg(F.count(F.lit(1)).alias("crowd"), F.min("doc_id").alias("least")))
-    hot = cut(met.join(lists, "list").groupBy("doc_id").agg(F.sum(F.col("crowd") - 1).alias("weight")))
-    sketches = cut(sketches.join(hot.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    lists = cut(met.groupBy("list").agg(F.count(F.lit(1)).alias("crowd"), F.min("doc_id").alias("least")).coalesce(pieces))
+    hot = cut(met.join(lists, "list").groupBy("doc_id").agg(F.sum(F.col("crowd") - 1).alias("weight")).coalesce(pieces))
+    sketches = cut(sketches.join(hot.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).coalesce(pieces))
     sizes = met.select("doc_id", F.col("size").cast("long").alias("n_shingles")).distinct()
 
     def check(likely: DataFrame) -> DataFrame:
-        return cut(verified(likely, sizes, texts, width, percent, broadcast_rows))
+        return cut(verified(likely, sizes, texts, width, percent, broadcast_rows).coalesce(pieces))
 
     if within:
-        return check(cut(plausible_meetings(met, lists, sketches, percent, groups, True)))
+        return check(cut(plausible_meetings(met, lists, sketches, percent, groups, True).coalesce(pieces)))
     # Crowded meetings: first with the most connected set of each.
     crowded = met.join(lists.filter(F.col("crowd") >= star_from).select("list"), "list", "left_semi").join(hot, "doc_id")
     best = crowded.groupBy("list").agg(F.max(F.struct("weight", -F.col("doc_id"), "size")).alias("hub"))
     hubs = best.select("list", (-F.col("hub.col2")).alias("h"), F.col("hub.size").alias("h_size"))
     fits = (F.col("doc_id") != F.col("h")) & (F.least("size", "h_size") * 100 >= F.greatest("size", "h_size") * percent)
     stars = crowded.join(hubs, "list").filter(fits).select(F.least("doc_id", "h").alias("a"), F.greatest("doc_id", "h").alias("b")).distinct()
-    stars = cut(plausible(stars, sketches, percent))
+    stars = cut(plausible(stars, sketches, percent).coalesce(pieces))
     links = check(stars)
     labels = components(links)
     # Then whatever meets across the components.
     known = met.drop("comp").join(labels, F.col("doc_id") == F.col("node"), "left").select("list", "doc_id", "flags", F.coalesce("label", "doc_id").alias("comp"))
     several = lists.join(known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("list"), "list", "left_semi")
-    across = cut(plausible_meetings(known, several, sketches, percent, groups, False).join(stars, ["a", "b"], "left_anti"))
+    across = cut(plausible_meetings(known, several, sketches, percent, groups, False).join(stars, ["a", "b"], "left_anti").coalesce(pieces))
     return links.union(check(across))
 
 
@@ -625,7 +661,7 @@ def similar_documents(
     star_from: int = 16,
     broadcast_rows: int = 1_000_000,
     signatures_each: int = 2_000_000,
-    rows_each: int = 50_000,
+    rows_each: int = 10_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least id of the same set), component_id (least id reachable by links).
 
@@ -644,7 +680,7 @@ def similar_documents(
     return classed.join(labels, classed["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
 
 
-def similar_links(docs: DataFrame, *, percent: int = PERCENT, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, signatures_each: int = 2_000_000, rows_each: int = 50_000) -> DataFrame:
+def similar_links(docs: DataFrame, *, percent: int = PERCENT, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, signatures_each: int = 2_000_000, rows_each: int = 10_000) -> DataFrame:
     """a, b, a < b: every link between classes of documents (by the least id of each), as similar_documents has links and classes.
 
     Their number grows with the square of a group of near copies that all differ; copies of one set are one class.
