@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,23 +26,27 @@ from pyspark.sql import functions as F
 
 from .common import Recent
 from .pieces import shipped
+from .word_tables import TEXTS, laid_out, slices, split_at
 
 KEPT_WORDS = 300_000
-#: White space by the Unicode property, as the tokenizer's pattern has it.
-_WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
+CUT = "\x00"
+#: White space by the Unicode property, as the tokenizer's pattern has it, without what regular expressions of Arrow call so.
+_RARE = "\x0b\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where texts are cut, as patterns and what is put in their place.
+_CUTS = [(r"([^\s])(\s)", rf"\1{CUT}\2"), (r"(\pL)([.,;:!?])", rf"\1{CUT}\2"), (rf"{CUT}\n([^\s{CUT}])", rf"{CUT}\n{CUT}\1".replace(r"\n", "\n"))]
 
 
 class LibraryIds:
     """The tokenizers library, asked once for each distinct stretch of text.
 
     Where the file's pre-tokenizer is the byte-level one with its own pattern and nothing is put in
-    front, no token reaches from a character that is not white space over one that is, so a text is
-    encoded in stretches that start at such places. Other files' texts are encoded whole.
+    front, no token reaches from a character that is not white space over one that is, from a letter
+    over a closing mark, or from a lone line break over what follows: texts are encoded in stretches
+    between such places. Texts with rarer white space, and other files' texts, are encoded whole.
     """
 
     def __init__(self, data: bytes, dtype: str):
         import json
-        import re
 
         from tokenizers import Tokenizer
 
@@ -51,27 +57,10 @@ class LibraryIds:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.stretch = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-        self.runs = [c + " " for c in map(chr, range(0x3001)) if re.match(f"[{_WHITE}]", c)]
         self.known = Recent(KEPT_WORDS)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 and self.cuts else None
 
-    def _stretches(self, text: str) -> list[str]:
-        # A single space after anything but white space starts a stretch; so do other kinds and runs, for which the pattern is asked.
-        if text[0] == " " or text[-1] == " " or any(x in text for x in self.runs):
-            return self.stretch.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _parts(self, word: str) -> list[str]:
-        """A new stretch in parts that are met more often: at further white space, and between a letter and closing marks."""
-        out = []
-        for x in self.stretch.findall(word) if "\n" in word else [word]:
-            core = x.rstrip(".,;:!?")
-            out += [core, x[len(core) :]] if core != x and core[-1:].isalpha() else [x]
-        return out
-
     def _ask(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype == "<u2" else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -94,35 +83,32 @@ class LibraryIds:
         rest = words if self.line is None else [w for w in words if "\n" in w]
         known.update(zip(rest, self._ask(rest), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.cuts or any(s in t for s in self.special)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, x in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        skip = set(whole)
-        split = {i: self._stretches(t) for i, t in enumerate(texts) if i not in skip and t}
+    def _values(self, words: list[str]) -> list[bytes]:
+        """The ids of these distinct stretches; the library is asked for those that are not known."""
         known = self.known
-        composed: dict[str, list[str]] = {}
-        asked: set[str] = set()
-        found = {i: known.with_gaps(words) for i, words in split.items()}
-        for w in {split[i][k] for i, (_, gaps) in found.items() for k in gaps}:
-            if w in known.old:
-                continue
-            if w[-1].isalpha() and "\n" not in w:
-                asked.add(w)
-            else:
-                composed[w] = self._parts(w)
-                asked.update(x for x in composed[w] if not known.has(x))
-        self._learn(list(asked))
-        find = known.__getitem__
-        for w, parts in composed.items():
-            known[w] = b"".join(map(find, parts))
-        for i, (values, gaps) in found.items():
-            words = split[i]
-            for k in gaps:
-                values[k] = known[words[k]]
-            out[i] = b"".join(values)
+        values, gaps = known.with_gaps(words)
+        self._learn([words[k] for k in gaps if words[k] not in known.old])
+        for k in gaps:
+            values[k] = known[words[k]]
         known.trim()
+        return values
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Its stretches are numbered, and each distinct one of these texts is looked up once."""
+        found = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(found, f"[{CUT}{_RARE}]").to_pylist()
+        whole = [i for i, t in enumerate(texts) if not self.cuts or odd[i] or any(s in t for s in self.special)]
+        out: list[np.ndarray] = [np.empty(0, dtype=self.dtype)] * len(texts)
+        for i, x in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
+            out[i] = np.frombuffer(x, dtype=self.dtype)
+        rest = np.delete(np.arange(len(texts)), whole).tolist()
+        if rest:
+            found = found.take(rest)
+            for pattern, into in _CUTS:
+                found = pc.replace_substring_regex(found, pattern, into)
+            offsets, numbers, words = split_at(found, CUT)
+            for i, ids in zip(rest, laid_out(self._values(words), self.dtype, numbers, offsets), strict=True):
+                out[i] = ids
         return out
 
 
@@ -158,7 +144,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     ids_each: int = 64_000_000,
-    texts_each: int = 500,
+    texts_each: int = TEXTS,
 ) -> DataFrame:
     """Encode every whole text, append end_id, write the files below folder, and return the manifest.
 
@@ -195,11 +181,10 @@ def write_token_files(
             return row
 
         for batch in batches:
-            for i in range(0, len(batch), texts_each):
-                piece = batch.iloc[i : i + texts_each]
-                texts = [t if isinstance(t, str) else "" for t in piece["text"]]
-                ids.append(piece["doc_id"].to_numpy(dtype=np.int64))
-                new = [x + end for x in library.encode(texts)]
+            every = [t if isinstance(t, str) else "" for t in batch["text"]]
+            for part_of in slices(every, texts_each):
+                ids.append(batch["doc_id"].to_numpy(dtype=np.int64)[part_of])
+                new = [x.tobytes() + end for x in library.encode(every[part_of])]
                 found.extend(new)
                 held += sum(map(len, new)) // width
                 if held >= ids_each:

@@ -100,7 +100,7 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/files"
     library = Tokenizer.from_file(path)
     texts = docs.filter("doc_id <> 3").repartition(5)
-    token_files.write_token_files(texts, path, folder, end_id=0, ids_each=500, texts_each=50)
+    token_files.write_token_files(texts, path, folder, end_id=0, ids_each=500, texts_each=500)
     got = sorted(token_files.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r["doc_id"])
     start = 0
     for r, want in zip(got, sorted(texts.collect(), key=lambda r: r["doc_id"]), strict=True):
