@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from itertools import compress, repeat
@@ -48,12 +49,15 @@ class Recent(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a fresh one of our own only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a fresh one of our own if all
+    tasks run in this process; on a cluster that would be a folder of one machine, so it is an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if folder is None:
         folder = sc.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: A prime of 127 bits, so that fingerprints of different texts practically never meet.
 PRIME = (1 << 127) - 577
@@ -104,9 +104,14 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are kept, with their columns."""
-    found = exact_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    """The documents that are kept, with their columns, whatever their names.
+
+    Nulls, empty texts, ties and empty tables are as in exact_duplicates. Rows of one id stay or go
+    together: they go if any of them is not kept, which cannot be where they are equal.
+    """
+    name = fresh("dropped", docs)
+    found = exact_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 __all__ = ["CHUNK", "PRIME", "combine", "deduplicated", "exact_duplicates", "fingerprint", "fingerprint_of", "fingerprints"]

@@ -1,39 +1,62 @@
 """Operator 5, language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text answers where the longest match of a text ends.
-A text is parsed greedily into phrases, each the longest stretch that the language's sample holds (or a
-single character that it does not); a phrase costs the bits that point into the sample. The language
-with the fewest bits wins. Phrases end with the word (its border is a character of it), so a word's
-phrases are computed once and a text's are the sum over its words.
+For each language a suffix automaton of labelled text answers how far the longest match goes. A text's
+letters, in lower case, with one space for whatever stands between words, are parsed greedily in one run
+into phrases: each the longest stretch that the language's sample holds, over word borders too, or a single
+character that it does not hold. A phrase costs the bits that point into the sample; a character that the
+sample lacks costs those of the largest sample, so that no sample wins by being small. The language of the
+fewest bits wins.
+
+The automata are dense tables (state x character), through which many texts advance together.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-import re
-from collections.abc import Iterator
+import sys
+from collections import Counter
+from collections.abc import Collection, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, cut, seeded_key
+from .common import cut, fresh, seeded_key
+from .word_tables import slices
 
 #: The bound of the training sample: so many characters and documents of each language.
 SAMPLE_CHARS = 50_000
 SAMPLE_DOCS = 400
-KEPT_WORDS = 200_000
+#: A language's most frequent characters that its automaton knows; rarer ones are literals to it.
+ALPHABET = 254
+#: Texts that are worth a step together; the last and longest ones go on one by one.
+FEW = 48
+#: A prediction must save this share of the second-best parse's bits for a document to be in a known language.
+LEAST_SCORE = 0.02
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+
+
+def normalised(text: str | None) -> np.ndarray:
+    """The code points of the text's words in lower case between single spaces; nothing if it has no letter."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = _letters()[codes]
+    if not inside.any():
+        return codes[:0]
+    codes = np.concatenate([[32], np.where(inside, codes, 32), [32]]).astype(np.uint32)
+    return codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
 
 
 class SuffixAutomaton:
-    """All stretches of one text; edges[state << 21 | character] is the state after the character."""
+    """All stretches of one text: moves[state] has the state after each character."""
 
     def __init__(self, text: str):
         moves: list[dict[str, int]] = [{}]
@@ -61,56 +84,88 @@ class SuffixAutomaton:
                         moves[at][c] = twin
                         at = link[at]
             last = new
-        self.edges = {s << 21 | ord(c): to for s, m in enumerate(moves) for c, to in m.items()}
-        self.size = len(text)
+        self.moves, self.size = moves, len(text)
 
-    def phrases(self, text: str) -> int:
-        """The number of phrases of the greedy parse of the text."""
-        edges, state, n = self.edges, 0, 0
-        for c in text:
-            code = ord(c)
-            to = edges.get(state << 21 | code)
-            if to is None:
-                n += state != 0
-                to = edges.get(code)
-                if to is None:  # a phrase of its own
-                    n, to = n + 1, 0
-            state = to
-        return n + (state != 0)
+
+class ParseTable:
+    """A language's automaton as one table. An entry is twice the place of the next state's row, plus one where a phrase starts:
+    at the root, where no longer match goes on, and at a character that the sample lacks, which leads to the root."""
+
+    def __init__(self, text: str):
+        automaton = SuffixAutomaton(text)
+        known = sorted(c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
+        self.size, self.width = automaton.size, len(known) + 1
+        number = {c: i for i, c in enumerate(known)}
+        #: The number of each code point; the last one for those that are not known.
+        self.numbers = np.full(sys.maxunicode + 1, len(known), dtype=np.uint8)
+        self.numbers[[ord(c) for c in known]] = np.arange(len(known))
+        start = np.ones(self.width, dtype=np.int64)
+        for c, to in automaton.moves[0].items():
+            if c in number:
+                start[number[c]] = to * self.width * 2 + 1
+        table = np.tile(start, (len(automaton.moves), 1))
+        edges = np.array([(s, number[c], to) for s, m in enumerate(automaton.moves) if s for c, to in m.items() if c in number], dtype=np.int64).reshape(-1, 3)
+        table[edges[:, 0], edges[:, 1]] = edges[:, 2] * self.width * 2
+        self.table = table.reshape(-1).astype(np.int32 if table.size < 1 << 30 else np.int64)
+
+    def phrases(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases, of which characters that are not known) of the texts codes[starts[i] : starts[i] + lengths[i]], longest first."""
+        symbols, table, n = self.numbers[codes], self.table, len(starts)
+        unknown = np.concatenate([[0], np.cumsum(symbols == self.width - 1)])
+        literals = unknown[starts + lengths] - unknown[starts]
+        entry, count, at, one = np.zeros(n, dtype=table.dtype), np.zeros(n, dtype=np.int64), starts.copy(), np.empty(n, dtype=table.dtype)
+        active = n - np.searchsorted(lengths[::-1], np.arange(int(lengths.max(initial=0))), side="right")
+        step = 0
+        for m in active.tolist():
+            if m < FEW:
+                break
+            e, p = entry[:m], at[:m]
+            place = (e >> 1) + symbols.take(p)
+            table.take(place, out=e, mode="clip")
+            np.bitwise_and(e, 1, out=one[:m])
+            count[:m] += one[:m]
+            p += 1
+            step += 1
+        flat = memoryview(table)
+        for i in range(int(np.count_nonzero(lengths > step))):
+            e, more = int(entry[i]), 0
+            for s in symbols[starts[i] + step : starts[i] + lengths[i]].tobytes():
+                e = flat[(e >> 1) + s]
+                more += e & 1
+            count[i] += more
+        return count, literals
 
 
 class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        self.automata = [SuffixAutomaton(samples[k]) for k in self.langs]
-        #: Bits of a phrase, by language.
-        self.bits = [math.log2(max(2, a.size)) for a in self.automata]
-        self.known = _Packed(self)
-
-    def packed(self, word: str) -> int:
-        """The phrases of " word " in all languages, 40 bits each."""
-        out = 0
-        for a in reversed(self.automata):
-            out = out << 40 | a.phrases(f" {word} ")
-        return out
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the score is the share of the second-best parse's bits that the best one saves."""
-        found = words(text) if isinstance(text, str) else []
-        if not self.langs or not any(c.isalpha() for w in found for c in w):
-            return UNKNOWN, 0.0
-        total = sum(map(self.known.__getitem__, found))
-        self.known.trim()
-        costs = sorted(((total >> 40 * i & (1 << 40) - 1) * b, k) for i, (k, b) in enumerate(zip(self.langs, self.bits, strict=True)))
-        if len(costs) == 1:
-            return costs[0][1], 1.0
-        return costs[0][1], 1.0 - costs[0][0] / costs[1][0]
-
-
-class _Packed(Recent):
-    def __init__(self, parser: CrossParser):
-        super().__init__(KEPT_WORDS)
-        self.make = parser.packed
+        self.tables = [ParseTable(samples[k]) for k in self.langs]
+        #: Bits of a phrase, by language; of a character that a sample lacks.
+        self.bits = np.array([math.log2(max(2, t.size)) for t in self.tables])
+        self.literal = float(self.bits.max(initial=1.0))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(languages, scores): the score is the share of the second-best parse's bits that the best one saves."""
+        codes = [normalised(t) for t in texts]
+        lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        every = np.concatenate([*codes, np.empty(0, dtype=np.uint32)])
+        cost = np.zeros((len(texts), len(self.tables)))
+        for k, table in enumerate(self.tables):
+            count, literals = table.phrases(every, starts[order], lengths[order])
+            cost[order, k] = (count - literals) * self.bits[k] + literals * self.literal
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        best = cost.argmin(axis=1)
+        if len(self.langs) == 1:
+            score = np.ones(len(texts))
+        else:
+            two = np.partition(cost, 1, axis=1)[:, :2]
+            score = 1.0 - two[:, 0] / np.where(two[:, 1] > 0, two[:, 1], 1.0)
+        none = lengths == 0
+        score[none] = 0.0
+        return [UNKNOWN if x else self.langs[b] for b, x in zip(best.tolist(), none.tolist(), strict=True)], score
 
 
 def held_out(doc_id: Column) -> Column:
@@ -151,35 +206,54 @@ def training_samples(docs: DataFrame, *, chars: int = SAMPLE_CHARS, docs_each: i
 _PARSERS: dict[int, CrossParser] = {}
 
 
-def identify_languages(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score.
-
-    Whole texts are parsed. lang_pred is `und`, score 0, for a null text, one without letters, and if
-    there are no samples. With one language its score is 1. Of equal costs the language first by name
-    wins, score 0. Equal rows stay rows of their own; an empty table gives no rows; other columns are
-    not read. The samples (bounded by training_samples) are broadcast.
-    """
-    shipped = docs.sparkSession.sparkContext.broadcast(samples)
+def predicted(text: Column, samples: dict[str, str], spark) -> Column:
+    """A struct of lang and score for each whole text."""
+    shipped = spark.sparkContext.broadcast(samples)
     key = hash(tuple(sorted(samples.items())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang string, score double")
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _PARSERS:
             _PARSERS.clear()
             _PARSERS[key] = CrossParser(shipped.value)
-        parser = _PARSERS[key]
-        gc.disable()  # the tables hold millions of small objects and no cycles
+        gc.disable()  # no cycles
         for batch in batches:
-            found = [parser.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "held_out": batch["held"].to_numpy(), "lang_pred": [k for k, _ in found], "score": [s for _, s in found]})
+            texts = [t if isinstance(t, str) else None for t in batch]
+            found = [_PARSERS[key].predict(texts[part]) for part in slices([t or "" for t in texts])]
+            yield pd.DataFrame({"lang": [x for langs, _ in found for x in langs], "score": np.concatenate([*(scores for _, scores in found), np.empty(0)])})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    )
+    return parse(text)
 
 
-def in_known_language(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which a language is known, with their columns; those of `und` go."""
-    found = identify_languages(docs, samples, id_col=id_col, text_col=text_col).filter(F.col("lang_pred") == UNKNOWN)
-    going = cut(found.select(F.col("doc_id").alias("_going")).distinct())
-    return docs.join(going, F.col(id_col).eqNullSafe(F.col("_going")), "left_anti")
+def identify_languages(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    Whole texts are parsed. lang_pred is `und`, score 0, for a null text, one without letters, and if
+    there are no samples. With one language its score is 1. Of equal costs the language first by name
+    wins, score 0. Equal rows stay rows of their own; an empty table gives no rows; other columns are
+    not read. The samples (bounded by training_samples) are broadcast.
+    """
+    found = docs.select(F.col(id_col).alias("doc_id"), predicted(F.col(text_col), samples, docs.sparkSession).alias("found"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def in_known_language(
+    docs: DataFrame,
+    samples: dict[str, str],
+    *,
+    languages: Collection[str] | None = None,
+    least_score: float = LEAST_SCORE,
+    text_col: str = "text",
+    lang_col: str | None = "lang",
+) -> DataFrame:
+    """The documents whose predicted language is one of `languages` (of the samples', if None) with at least that score.
+
+    All columns stay as they are, whatever their names, but a null lang_col (if one is named) takes the prediction.
+    `und` goes: null texts, texts without letters, and all documents if there are no samples. Every
+    row is judged by its own text, so repeated rows stay or go together; an empty table gives no rows.
+    """
+    name = fresh("found", docs)
+    found = docs.withColumn(name, predicted(F.col(text_col), samples, docs.sparkSession))
+    wanted = F.col(f"{name}.lang") != UNKNOWN if languages is None else F.col(f"{name}.lang").isin(*languages)
+    kept = found.filter(wanted & (F.col(f"{name}.score") >= least_score))
+    return kept.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"{name}.lang")).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

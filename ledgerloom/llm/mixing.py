@@ -72,14 +72,20 @@ def mix_plan(
     a source of its own. Equal rows are documents of their own. An empty table gives no rows. Columns
     but the three named ones are not read.
     """
-    rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source")).withColumn(
-            "_key", seeded_key(seed, "source", "doc_id")
-        )
+    return _placed(docs, weights, id_col, text_col, source_col, seed, max_epochs, rows_each, []).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), "epochs", "source"
     )
+
+
+def _placed(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str, source_col: str, seed: str, max_epochs: int, rows_each: int, more: list[Column]) -> DataFrame:
+    """The plan with further columns of docs, which go along to where a row gets its epochs."""
+    keyed = docs.select(
+        F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), *more
+    ).withColumn("_key", seeded_key(seed, "source", "doc_id"))
+    rows = cut(keyed.select("doc_id", "size", "source", "_key"))
     buckets = buckets_for(rows.count(), rows_each)
-    rows = rows.withColumn("_bucket", key_bucket(F.col("_key"), buckets))
-    per_bucket = cut(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")))
+    bucket = key_bucket(F.col("_key"), buckets)
+    per_bucket = cut(rows.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("_sum")))
     targets = source_targets(per_bucket.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs)
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -87,8 +93,9 @@ def mix_plan(
         .select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_start")
         .join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t")))
     )
+    rows = (keyed if more else rows).withColumn("_bucket", bucket)
     running = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
+    return (
         rows.withColumn("_upto", F.sum("size").over(running))
         .join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("_middle", F.col("_start") + F.col("_upto") - F.col("size") / 2)
@@ -96,18 +103,23 @@ def mix_plan(
         .withColumn("epochs", F.col("_passes") + (F.col("_middle") <= F.col("target") - F.col("_passes") * F.col("source_size")).cast("int"))
         .withColumn("epochs", F.least(F.col("epochs"), F.lit(max_epochs)))
     )
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), "epochs", "source")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every document as often as its epochs say, with the columns of docs.
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = "mix-1",
+    max_epochs: int = MAX_EPOCHS,
+    rows_each: int = 20_000,
+) -> DataFrame:
+    """The mix itself: every row of docs as often as the epochs of mix_plan say, with all its columns, whatever their names.
 
-    Rows that share one id are told apart by nothing but their place, so each id's rows all follow
-    the smallest epochs that the id was given.
+    Each row has epochs of its own, those that repeat an id too. Nulls, empty texts, ties and empty tables are as in mix_plan.
     """
-    plan = mix_plan(docs, weights, id_col=id_col, source_col=source_col, **options).groupBy("doc_id").agg(F.min("epochs").alias("_epochs"))
-    return (
-        docs.join(plan.filter("_epochs > 0"), docs[id_col].eqNullSafe(plan["doc_id"]))
-        .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_epochs"))).alias("_epoch"))
-        .select(*docs.columns)
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    placed = _placed(docs, weights, id_col, text_col, source_col, seed, max_epochs, rows_each, [row])
+    return placed.filter("epochs > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("_epoch")).select("_row.*")

@@ -79,6 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# One byte of a CRC-32, in two steps of four bits. The remainders of the four-bit numbers.
+_NIBBLES = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+_HALF = f"xor(xor(a, b) >> 4, ({_NIBBLES})[(xor(a, b) & 15) + 1])"
+_CRC_STEP = f"xor({_HALF} >> 4, ({_NIBBLES})[({_HALF} & 15) + 1])"
+
 ORACLES: dict[str, str] = {
     "op3_topk_search": """
         WITH v AS (
@@ -104,6 +109,19 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.least, s.doc_id) AS component_id
         FROM sets s LEFT JOIN (SELECT node, min(seen) AS least FROM reach GROUP BY node) m ON m.node = s.doc_id""",
+    "op6_sharding": f"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size,
+                md5(concat_ws(':', 'shard-1', coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+        c AS (
+            SELECT doc_id, source, size, key, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT)), lambda a, b: {_CRC_STEP})) AS text_crc32 FROM d),
+        f AS (
+            SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM c),
+        p AS (SELECT *, row_number() OVER (ORDER BY fraction, key, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM f)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // total)::INTEGER AS shard,
+            (place - (place * 8 // total * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source
+        FROM p""",
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
@@ -122,7 +140,7 @@ ORACLES: dict[str, str] = {
         frequent AS (
             SELECT u.host, list(u.line) AS bad
             FROM (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY ALL) u
-            JOIN hosts h ON h.host IS NOT DISTINCT FROM u.host WHERE n >= 3 AND n > 0.1 * pages GROUP BY u.host)
+            JOIN hosts h ON h.host IS NOT DISTINCT FROM u.host WHERE n >= 2 AND n > 0.1 * pages GROUP BY u.host)
         SELECT page_id, l.host, len(lines)::BIGINT AS n_lines, (len(lines) - len(k))::BIGINT AS n_dropped, coalesce(array_to_string(k, chr(10)), '') AS text
         FROM (SELECT l.*, list_filter(lines, lambda x: NOT list_contains(coalesce(f.bad, []), x)) AS k
               FROM l LEFT JOIN frequent f ON f.host IS NOT DISTINCT FROM l.host) l"""

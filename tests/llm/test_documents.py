@@ -153,24 +153,63 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
 # -- language ID -------------------------------------------------------------------------------
 
 
-def phrases(sample, word):
-    n, i = 0, 0
-    while i < len(word):
+def parsed(sample, text):
+    """(phrases, of which characters that the sample lacks) of the greedy parse, by searching the sample."""
+    n = unknown = i = 0
+    while i < len(text):
         k = 1
-        while i + k < len(word) and word[i : i + k + 1] in sample:
+        unknown += text[i] not in sample
+        while i + k < len(text) and text[i : i + k + 1] in sample:
             k += 1
         n, i = n + 1, i + k
-    return n
+    return n, unknown
 
 
-def test_automaton_against_search():
+def letters(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return f" {' '.join(words)} " if words else ""
+
+
+def language(samples, text):
+    """(language, score) by brute force."""
+    t = letters(text)
+    if not t:
+        return "und", 0.0
+    bits = {k: math.log2(max(2, len(x))) for k, x in samples.items()}
+    costs = sorted(((n - u) * bits[k] + u * max(bits.values()), k) for k, x in samples.items() for n, u in [parsed(x, t)])
+    return costs[0][1], (1.0 - costs[0][0] / costs[1][0] if len(costs) > 1 else 1.0)
+
+
+def test_parse_against_search(monkeypatch):
     rng = random.Random(3)
-    for _ in range(50):
-        sample = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 60)))
-        a = language_id.SuffixAutomaton(sample)
-        for _ in range(20):
-            text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 15)))
-            assert a.phrases(text) == phrases(sample, text)
+    for few in (1, 1000):
+        monkeypatch.setattr(language_id, "FEW", few)
+        for _ in range(40):
+            samples = {k: "".join(rng.choice(a) for _ in range(rng.randint(1, 60))) for k, a in (("x", "ab "), ("y", "abc "), ("z", "éb "))}
+            texts = ["".join(rng.choice("abcdé. 1") for _ in range(rng.randint(0, 25))) for _ in range(20)] + [None]
+            langs, scores = language_id.CrossParser(samples).predict(texts)
+            for t, lang, score in zip(texts, langs, scores.tolist(), strict=True):
+                want = language(samples, t)
+                assert lang == want[0] and math.isclose(score, want[1], abs_tol=1e-12)
+    # A phrase runs over the borders of words.
+    sample = letters("der kleine hund geht in das haus")
+    codes = language_id.normalised("Der kleine -- Hund geht")
+    count, literals = language_id.ParseTable(sample).phrases(codes, np.array([0]), np.array([len(codes)]))
+    assert (count[0], literals[0]) == (1, 0)
+
+
+def test_a_small_sample_wins_nothing_by_being_small(spark, docs):
+    samples = language_id.training_samples(docs) | {"tiny": " ok ", "few": " guten tag "}
+    assert language_id.identify_languages(docs, samples).filter("lang_pred in ('tiny', 'few')").count() == 0
+
+
+def test_predictions_against_brute_force(spark, docs):
+    samples = {k: x[:3000] for k, x in language_id.training_samples(docs).items()}
+    short = docs.filter("length(text) < 3000")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(short, samples).collect()}
+    for r in short.collect():
+        want = language(samples, r["text"])
+        assert got[r["doc_id"]][0] == want[0] and math.isclose(got[r["doc_id"]][1], want[1], abs_tol=1e-9)
 
 
 def test_held_out_accuracy_and_rejection(spark):
@@ -183,7 +222,14 @@ def test_held_out_accuracy_and_rejection(spark):
     assert len(held) > 150 and sum(held) / len(held) > 0.95
     odd = table(spark, [(1, None, None, None), (2, "", None, None), (3, "12 _ 3.5 !", None, None), (4, "the and of " * 5000, None, None), (None, "der die und", None, None)])
     assert rows(language_id.identify_languages(odd, samples), "doc_id", "lang_pred") == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "de")], key=repr)
-    assert rows(language_id.in_known_language(odd, samples), "doc_id") == [(4,), (None,)]
+    known = language_id.in_known_language(odd, samples)
+    assert known.columns == odd.columns and rows(known, "doc_id", "lang") == [(4, "en"), (None, "de")]
+    # The prediction decides, and a score that is too low rejects.
+    mixed = table(spark, [(1, "the and of " * 20, "xx", None), (2, "der die und " * 20, None, None)])
+    assert rows(language_id.in_known_language(mixed, samples, languages=["de"]), "doc_id", "lang") == [(2, "de")]
+    assert language_id.in_known_language(mixed, samples, least_score=1.1).count() == 0
+    assert rows(language_id.in_known_language(mixed.union(mixed), samples), "doc_id", "lang") == [(1, "xx")] * 2 + [(2, "de")] * 2
+    assert language_id.in_known_language(table(spark, []), samples).count() == 0
     assert rows(language_id.identify_languages(odd, {}), "lang_pred") == [("und",)] * 5
     assert language_id.training_samples(table(spark, [])) == {}
 
@@ -258,6 +304,23 @@ def test_targets_and_taken_words(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["epochs"] for r in got if r["epochs"]})
 
 
+def test_clashing_names_and_repeated_rows(spark):
+    """Columns of the names that the operators use inside, and rows that share an id."""
+    odd = ["_going", "_dropped", "_epochs", "_epoch", "_row", "_found", "_host", "_kept", "comp", "list", "epochs", "_bucket"]
+    df = table(spark, [(1, "a b c d e f", None, "s")] * 3 + [(2, "a b c d e f", None, "s"), (3, None, None, None)])
+    df = df.select("*", *[F.lit("x").alias(c) for c in odd])
+    kept = similarity_join.one_of_each(df)
+    assert kept.columns == df.columns and rows(kept, "doc_id") == [(1,)] * 3 + [(3,)]
+    kept = exact_dedup.deduplicated(df)
+    assert kept.columns == df.columns and rows(kept, "doc_id") == [(1,)] * 3 + [(3,)]
+    assert language_id.in_known_language(df, {"en": " a b c d e f "}).columns == df.columns
+    assert line_dedup.clean_documents(df).columns == df.columns
+    mixed, plan = mixing.mixed_documents(df), Counter()
+    for r in mixing.mix_plan(df).collect():
+        plan[r["doc_id"]] += r["epochs"]
+    assert mixed.columns == df.columns and Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: n for k, n in plan.items() if n})
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_plan(table(spark, [])).count() == 0
     blank = mixing.mix_plan(table(spark, [(1, None, None, None), (1, None, None, None), (None, " ", None, "s")])).collect()
@@ -270,7 +333,7 @@ def test_mixing_edges(spark):
 def test_site_lines(spark):
     items = [(i, f"menu\nown {i}\n\n menu \nfooter {i % 2}", None, "a") for i in range(10)] + [(20 + i, "menu\nx", None, None) for i in range(2)] + [(30, None, None, "a")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(table(spark, items), ratio=0.6).collect()}
-    # menu is on 10 of 11 pages of a, each footer on 5; two pages of the null host are too few.
+    # menu is on 10 of 11 pages of a, each footer on 5; all lines of the null host's two pages repeat, so they stay as they are.
     assert got[3] == "own 3\n\nfooter 1" and got[20] == "menu\nx" and got[30] is None and len(got) == 13
     narrow = line_dedup.clean_documents(table(spark, items), ratio=0.4, broadcast_keys=0)
     assert {r["text"] for r in narrow.filter("doc_id < 2").collect()} == {"own 0\n", "own 1\n"}
