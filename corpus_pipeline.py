@@ -15,26 +15,39 @@ from ledgerloom.llm.common import documents, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the others keep their rows as they are."""
+    """Documents whose predicted language is doubtful, or that have no letter or no text, go; a null lang takes the prediction.
+
+    Repeated rows are judged one by one; extra columns stay; an empty table stays empty.
+    """
     return language_id.in_known_language(docs, language_id.training_samples(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go from the texts."""
+    """Lines on more than a tenth of a source's documents go from the texts; null texts stay null, and no document goes.
+
+    Copies count once, repeated rows among them; a null source is one of its own; extra columns stay.
+    """
     return line_dedup.clean_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of least id.
+
+    Documents without words, text or id all stay, and so do all rows of an id that stays; extra columns stay.
+    """
     return similarity_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the proportion 1 : 2 : 3, repeating; a document is in as many rows as epochs take it."""
+    """Sources in the proportion 1 : 2 : 3, repeating; a document is in as many rows as epochs take it.
+
+    Each row of a repeated id has its own epochs; null texts count no words; null is a source of its own; extra columns stay.
+    """
     return mixing.mixed_documents(docs, weights=(1, 2, 3))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, round_trip for every row; a null or empty text has no tokens. Repeated rows stay."""
     found = sentencepiece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_tokens", "token_ids", "round_trip")
 
