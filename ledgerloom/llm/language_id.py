@@ -32,6 +32,8 @@ SAMPLE_CHARS = 50_000
 SAMPLE_DOCS = 400
 #: A language's most frequent characters that its automaton knows; rarer ones are literals to it.
 ALPHABET = 254
+#: Characters of texts that are parsed together in a task.
+TOGETHER = 3_000_000
 #: Texts that are worth a step together; the last and longest ones go on one by one.
 FEW = 48
 #: A prediction must save this share of the second-best parse's bits for a document to be in a known language.
@@ -111,7 +113,7 @@ class ParseTable:
     def phrases(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases, of which characters that are not known) of the texts codes[starts[i] : starts[i] + lengths[i]], longest first."""
         symbols, table, n = self.numbers[codes], self.table, len(starts)
-        unknown = np.concatenate([[0], np.cumsum(symbols == self.width - 1)])
+        unknown = np.concatenate([[0], np.cumsum(symbols == self.width - 1, dtype=np.int32 if len(symbols) < 1 << 31 else np.int64)])
         literals = unknown[starts + lengths] - unknown[starts]
         entry, count, at, one = np.zeros(n, dtype=table.dtype), np.zeros(n, dtype=np.int64), starts.copy(), np.empty(n, dtype=table.dtype)
         active = n - np.searchsorted(lengths[::-1], np.arange(int(lengths.max(initial=0))), side="right")
@@ -151,6 +153,7 @@ class CrossParser:
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         every = np.concatenate([*codes, np.empty(0, dtype=np.uint32)])
+        del codes
         cost = np.zeros((len(texts), len(self.tables)))
         for k, table in enumerate(self.tables):
             count, literals = table.phrases(every, starts[order], lengths[order])
@@ -219,7 +222,7 @@ def predicted(text: Column, samples: dict[str, str], spark) -> Column:
         gc.disable()  # no cycles
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
-            found = [_PARSERS[key].predict(texts[part]) for part in slices([t or "" for t in texts])]
+            found = [_PARSERS[key].predict(texts[part]) for part in slices([t or "" for t in texts], TOGETHER)]
             yield pd.DataFrame({"lang": [x for langs, _ in found for x in langs], "score": np.concatenate([*(scores for _, scores in found), np.empty(0)])})
 
     return parse(text)

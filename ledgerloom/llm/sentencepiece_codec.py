@@ -28,9 +28,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of one length that are worth a batch.
 FEW = 24
 #: Pairs of pieces whose answer a Python process keeps (a power of two).
-KEPT_PAIRS = 1 << 22
+KEPT_PAIRS = 1 << 21
 #: Distinct words whose ids a Python process keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of texts whose words are looked up together in a task.
-TEXTS = 8_000_000
+TEXTS = 2_000_000
 
 
 def slices(texts: list[str], most: int = TEXTS) -> Iterator[slice]:
