@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from itertools import compress, repeat
 from operator import is_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,17 @@ class Recent(dict):
             self.clear()
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """The model of this key, made once in a Python process, which lets go of the one before, of another operator or file."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a fresh one of our own if all
     tasks run in this process; on a cluster that would be a folder of one machine, so it is an error."""

@@ -12,7 +12,6 @@ The automata are dense tables (state x character), through which many texts adva
 
 from __future__ import annotations
 
-import gc
 import math
 import sys
 from collections import Counter
@@ -24,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, seeded_key
-from .word_tables import slices
+from .common import cut, fresh, held, seeded_key
+from .word_tables import give_back, slices
 
 #: The bound of the training sample: so many characters and documents of each language.
 SAMPLE_CHARS = 50_000
@@ -206,9 +205,6 @@ def training_samples(docs: DataFrame, *, chars: int = SAMPLE_CHARS, docs_each: i
     return {r["lang"]: f" {r['text'][:chars]} " for r in taken.collect()}
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def predicted(text: Column, samples: dict[str, str], spark) -> Column:
     """A struct of lang and score for each whole text."""
     shipped = spark.sparkContext.broadcast(samples)
@@ -216,14 +212,12 @@ def predicted(text: Column, samples: dict[str, str], spark) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = CrossParser(shipped.value)
-        gc.disable()  # no cycles
+        parser = held(("cross-parser", key), lambda: CrossParser(shipped.value))
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
-            found = [_PARSERS[key].predict(texts[part]) for part in slices([t or "" for t in texts], TOGETHER)]
+            found = [parser.predict(texts[part]) for part in slices([t or "" for t in texts], TOGETHER)]
             yield pd.DataFrame({"lang": [x for langs, _ in found for x in langs], "score": np.concatenate([*(scores for _, scores in found), np.empty(0)])})
+            give_back()
 
     return parse(text)
 

@@ -11,7 +11,7 @@ there is nothing to advance together.
 
 from __future__ import annotations
 
-import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, held
 from .pieces import EDGE, PieceModel, load, shipped
-from .word_tables import TEXTS, laid_out, slices, split_at
+from .word_tables import TEXTS, give_back, laid_out, slices, split_at
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of one length that are worth a batch.
@@ -239,14 +239,8 @@ class Lattice:
         return out
 
 
-_LATTICES: dict[int, Lattice] = {}
-
-
 def lattice(data: bytes) -> Lattice:
-    model = load(data)
-    if id(model) not in _LATTICES:
-        _LATTICES[id(model)] = Lattice(model)
-    return _LATTICES[id(model)]
+    return held(("lattice", hashlib.sha256(data).digest()), lambda: Lattice(load(data)))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", texts_each: int = TEXTS) -> DataFrame:
@@ -262,7 +256,6 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = lattice(data.value)
-        gc.disable()  # the tables hold millions of small objects and no cycles
         for batch in batches:
             every = [t if isinstance(t, str) else None for t in batch["text"]]
             for part in slices([t or "" for t in every], texts_each):
@@ -278,6 +271,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
                         "round_trip": [d == (t or "") for d, t in zip(decoded, texts, strict=True)],
                     }
                 )
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(

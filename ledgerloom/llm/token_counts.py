@@ -14,13 +14,14 @@ word have a map of the states that can precede them; the maps are composed by a
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, held
 from .pieces import EDGE, PieceModel, load, shipped
 
 #: Longer words are cut into chunks of so many characters.
@@ -160,14 +161,8 @@ class Counts(Recent):
         return n
 
 
-_COUNTS: dict[int, Counts] = {}
-
-
 def counts(data: bytes) -> Counts:
-    model = load(data)
-    if id(model) not in _COUNTS:
-        _COUNTS[id(model)] = Counts(Transducer(model))
-    return _COUNTS[id(model)]
+    return held(("counts", hashlib.sha256(data).digest()), lambda: Counts(Transducer(load(data))))
 
 
 def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

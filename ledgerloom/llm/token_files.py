@@ -10,7 +10,6 @@ over all parts. Readers map the files into memory.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, held
 from .pieces import shipped
-from .word_tables import TEXTS, laid_out, slices, split_at
+from .word_tables import TEXTS, give_back, laid_out, slices, split_at
 
 KEPT_WORDS = 300_000
 CUT = "\x00"
@@ -112,14 +111,8 @@ class LibraryIds:
         return out
 
 
-_LIBRARY: dict[tuple[int, str], LibraryIds] = {}
-
-
 def _library(data: bytes, dtype: str) -> LibraryIds:
-    key = hash(data), dtype
-    if key not in _LIBRARY:
-        _LIBRARY[key] = LibraryIds(data, dtype)
-    return _LIBRARY[key]
+    return held(("library", hash(data), dtype), lambda: LibraryIds(data, dtype))
 
 
 def _put(folder: str, name: str, chunks: list[bytes]) -> None:
@@ -163,21 +156,20 @@ def write_token_files(
     width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # the tables hold many small objects and no cycles
         library, part, number = _library(data.value, dtype), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         found: list[bytes] = []
-        held = 0
+        held_ids = 0
 
         def flush() -> pd.DataFrame:
-            nonlocal ids, found, held, number
+            nonlocal ids, found, held_ids, number
             name = f"part-{part:06d}-{number:04d}"
             doc_ids = np.concatenate(ids)
             offsets = np.concatenate([[0], np.cumsum([len(x) // width for x in found])]).astype("<i8")
             _put(folder, f"{name}.bin", found)
             _put(folder, f"{name}.idx", [np.array([len(doc_ids)], dtype="<i8").tobytes(), offsets.tobytes(), doc_ids.astype("<i8").tobytes()])
             row = pd.DataFrame({"part": [part * 10_000 + number], "name": [name], "dtype": [dtype], "n_docs": [len(doc_ids)], "n_ids": [int(offsets[-1])]})
-            ids, found, held, number = [], [], 0, number + 1
+            ids, found, held_ids, number = [], [], 0, number + 1
             return row
 
         for batch in batches:
@@ -186,9 +178,10 @@ def write_token_files(
                 ids.append(batch["doc_id"].to_numpy(dtype=np.int64)[part_of])
                 new = [x.tobytes() + end for x in library.encode(every[part_of])]
                 found.extend(new)
-                held += sum(map(len, new)) // width
-                if held >= ids_each:
+                held_ids += sum(map(len, new)) // width
+                if held_ids >= ids_each:
                     yield flush()
+            give_back()
         if ids:
             yield flush()
 
