@@ -219,7 +219,8 @@ def predicted(text: Column, samples: dict[str, str], spark) -> Column:
             yield pd.DataFrame({"lang": [x for langs, _ in found for x in langs], "score": np.concatenate([*(scores for _, scores in found), np.empty(0)])})
             give_back()
 
-    return parse(text)
+    # Not to be computed again for a filter on it: Spark repeats deterministic functions.
+    return parse.asNondeterministic()(text)
 
 
 def identify_languages(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
