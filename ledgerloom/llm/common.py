@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from itertools import compress, repeat
 from operator import is_
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,20 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system: a worker's next operator may want it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def let_go() -> None:
+    """The model that is held goes: for operators that have none, before they take memory."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a fresh one of our own if all
     tasks run in this process; on a cluster that would be a folder of one machine, so it is an error."""

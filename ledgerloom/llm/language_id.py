@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, held, seeded_key
-from .word_tables import give_back, slices
+from .common import cut, fresh, give_back, held, seeded_key
+from .word_tables import slices
 
 #: The bound of the training sample: so many characters and documents of each language.
 SAMPLE_CHARS = 50_000

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, held
+from .common import Recent, give_back, held
 from .pieces import EDGE, PieceModel, load, shipped
-from .word_tables import TEXTS, give_back, laid_out, slices, split_at
+from .word_tables import TEXTS, laid_out, slices, split_at
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of one length that are worth a batch.
@@ -30,7 +30,7 @@ FEW = 24
 #: Pairs of pieces whose answer a Python process keeps (a power of two).
 KEPT_PAIRS = 1 << 21
 #: Distinct words whose ids a Python process keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:

@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, pieces_for
+from .common import cut, fresh, give_back, let_go, pieces_for
 
 WORDS = 5
 PERCENT = 75
 #: Bytes of text hashed at once in a task.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A set's sketch has a bit for each of 2**level parts of the universe, two parts or more for an element, within these levels.
 LEVELS = 9, 24
 #: Sets of a meeting that are compared in one piece; larger meetings are compared block by block.
@@ -209,6 +209,7 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
     """(ids, texts) of up to SLICE bytes and 8,000 rows."""
+    let_go()
     for batch in batches:
         ids, texts, held = [], [], 0
         for i, t in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
@@ -220,6 +221,7 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
                 ids, texts, held = [], [], 0
         if ids:
             yield ids, texts
+        give_back()
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, held
+from .common import Recent, give_back, held
 from .pieces import shipped
-from .word_tables import TEXTS, give_back, laid_out, slices, split_at
+from .word_tables import TEXTS, laid_out, slices, split_at
 
 KEPT_WORDS = 300_000
 CUT = "\x00"

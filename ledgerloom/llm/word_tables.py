@@ -12,11 +12,6 @@ import pyarrow.compute as pc
 TEXTS = 2_000_000
 
 
-def give_back() -> None:
-    """Memory that Arrow keeps for later goes back to the system: a worker's next operator may want it elsewhere."""
-    pa.default_memory_pool().release_unused()
-
-
 def slices(texts: list[str], most: int = TEXTS) -> Iterator[slice]:
     """Runs of texts of no more than so many characters, or of one text."""
     start = held = 0
