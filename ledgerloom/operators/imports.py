@@ -27,9 +27,9 @@ def dedup_hash(account_id: Column, posted_date: Column, amount_minor: Column, me
 
 
 def assign_hashes(parsed: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """parsed with occurrence and dedup_hash. Equal rows of one batch are numbered in source order, so a day's repeats are kept
-    apart and yet meet themselves on re-import."""
-    same = Window.partitionBy(batch, "account_id", "posted_date", "amount_minor", "merchant_key").orderBy("source_pos")
+    """parsed with occurrence and dedup_hash. Equal rows of one ledger's batch are numbered in source order, so a day's repeats are
+    kept apart and yet meet themselves on re-import. Ledgers may use the same names for batches and accounts."""
+    same = Window.partitionBy("ledger_id", batch, "account_id", "posted_date", "amount_minor", "merchant_key").orderBy("source_pos")
     numbered = parsed.withColumn("occurrence", F.row_number().over(same) - 1)
     return numbered.withColumn("dedup_hash", dedup_hash(*[F.col(c) for c in ("account_id", "posted_date", "amount_minor", "merchant_key", "occurrence")]))
 

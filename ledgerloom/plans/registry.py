@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import merchants as fm
-from ..functions.amounts import parse_amount_minor, parse_decimal
+from ..functions.amounts import parse_amount_minor
 from ..functions.dates import infer_date_order, parse_date
 from ..functions.merchants import display_name_of_key, with_merchant_key
 from ..functions.money import allocate, percent_of, plain_text, scale_by, split_even, sum_minor, to_major, to_minor
@@ -216,7 +216,7 @@ def merchant_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- import ------------------------------------------------------------------------------------
 
 _HASHED = f"""{_KEYS},
-    hashed AS (SELECT n.*, merchant_key, row_number() OVER (PARTITION BY batch_id, account_id, posted_date, amount_minor, merchant_key ORDER BY source_pos) - 1 AS occurrence
+    hashed AS (SELECT n.*, merchant_key, row_number() OVER (PARTITION BY ledger_id, batch_id, account_id, posted_date, amount_minor, merchant_key ORDER BY source_pos) - 1 AS occurrence
         FROM (SELECT * EXCLUDE (account_id, posted_date, amount_minor), 'A' || (account_id::BIGINT % 5) AS account_id, make_date(year(posted_date), month(posted_date), 1) AS posted_date, amount_minor // 10000000 AS amount_minor FROM noise) n JOIN keys USING (raw_description)),
     h2 AS (SELECT *, sha256(concat_ws(chr(31), account_id, posted_date::VARCHAR, amount_minor::VARCHAR, merchant_key, occurrence::VARCHAR)) AS dedup_hash FROM hashed)"""
 
@@ -388,20 +388,6 @@ def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer_date_order(rows, text, ["o_custkey"])
 
 
-@query(
-    """SELECT 'o_orderpriority' AS col, 0::BIGINT AS dates, 0::BIGINT AS amounts, sum(length(regexp_replace(o_orderpriority, '[^a-zA-Z]', '', 'g')))::BIGINT AS letters FROM orders
-    UNION ALL SELECT 'o_orderdate', count(*), 0, 0 FROM orders UNION ALL SELECT 'o_orderstatus', 0, 0, sum(length(o_orderstatus))::BIGINT FROM orders
-    UNION ALL SELECT 'o_totalprice', 0, count(*), 0 FROM orders"""
-)
-def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each column reads as a date or an amount, and its letters."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "dd MMM yyyy").alias("o_orderdate"), "o_orderpriority", "o_orderstatus", F.format_number("o_totalprice", 2).alias("o_totalprice"))
-    cells = rows.unpivot([], ["o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice"], "col", "v")
-    date, amount = parse_date(F.col("v")).isNotNull(), parse_decimal(F.col("v")).isNotNull()
-    letters = F.when(F.col("col") == "o_orderdate", 0).otherwise(F.length(F.regexp_replace("v", r"[^\p{L}]", "")))
-    return cells.groupBy("col").agg(F.count_if(date).alias("dates"), F.count_if(amount & ~date).alias("amounts"), F.sum(letters).cast("bigint").alias("letters"))
-
-
 # -- ledger queries and edits ------------------------------------------------------------------
 
 
@@ -464,3 +450,6 @@ def upsert_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = noise_ledger(spark, sf_dir).groupBy("account_id").agg(F.max("posted_date").cast("string").alias("last_date"), F.count(F.lit(1)).alias("n"))
     updates = base.filter(F.col("account_id").cast("long") % 2 == 0).select("account_id", F.lit("2030-01-01").alias("last_date"), F.lit(0).cast("bigint").alias("n"))
     return ledger.upsert(base, updates, ["account_id"])
+
+
+from . import statement_queries  # noqa: E402, F401 - its queries register themselves

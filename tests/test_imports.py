@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.functions.merchants import with_merchant_key
 from ledgerloom.operators import imports, ledger
 from ledgerloom.plans import registry
@@ -179,3 +181,16 @@ def test_stream_adds_what_is_missing(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [2, 3] and spark.read.parquet(book).count() == 3
+
+
+def test_ledgers_of_equal_names_do_not_count_together(spark):
+    """Two ledgers with one batch and account name, and the same charge: each numbers its own, and importing again adds nothing."""
+    one = parsed(spark, [("COFFEE", -500, None), ("COFFEE", -500, None)], "b1", 1)
+    both = one.withColumn("ledger_id", F.lit("L1")).unionByName(one.withColumn("ledger_id", F.lit("L2")))
+    empty = imports.enrich(both.filter(F.lit(False))).select(*imports.LEDGER_COLUMNS)
+    enriched = imports.enrich(both)
+    assert rows(enriched, "ledger_id", "occurrence") == [("L1", 0), ("L1", 1), ("L2", 0), ("L2", 1)]
+    ledger = imports.insert_new(enriched, empty).select(*imports.LEDGER_COLUMNS)
+    assert ledger.count() == 4
+    for name in ("L1", "L2"):
+        assert imports.insert_new(imports.enrich(both.filter(F.col("ledger_id") == name)), ledger).count() == 0
