@@ -44,6 +44,11 @@ def merchants_in(built_in: DataFrame, service_class: str) -> DataFrame:
     return built_in.filter(F.col("service_class") == service_class).select("merchant_key")
 
 
+def classifications(overrides: DataFrame, merchant_key: str | None = None) -> DataFrame:
+    """The overrides of all merchants, or of one; a merchant without any has no row."""
+    return overrides if merchant_key is None else overrides.filter(F.col("merchant_key") == merchant_key)
+
+
 def set_classification(overrides: DataFrame, updates: DataFrame) -> DataFrame:
     return upsert(overrides, updates, ["ledger_id", "merchant_key"])
 
