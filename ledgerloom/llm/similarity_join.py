@@ -428,6 +428,7 @@ def meetings(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFr
             raw, w = members.tobytes(), _MEMBER.itemsize
             blobs = [raw[a:b] for a, b in zip((first[at] * w).tolist(), ((first[at] + n[at]) * w).tolist(), strict=True)]
             found.append(pd.DataFrame({"part": part, "one": one[at].view(np.int64), "two": two[at].view(np.int64), "times": times, "members": blobs}))
+        give_back()
         return pd.concat(found) if found else pd.DataFrame({"part": pd.array([], dtype=bool), "one": pd.array([], dtype="int64"), "two": pd.array([], dtype="int64"), "times": pd.array([], dtype="int64"), "members": []})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -538,6 +539,8 @@ def plausible_meetings(met: DataFrame, lists: DataFrame, sketches: DataFrame, pe
                 test()
         test()
         codes = np.unique(np.concatenate(out)) if out else done[:0]
+        del sketched, done, out, rows, sets
+        give_back()
         return pd.DataFrame({"a": ids[codes // max(n, 1)], "b": ids[codes % max(n, 1)]})
 
     return dealt.groupBy("g").cogroup(needed.groupBy("h")).applyInPandas(compare, "a long, b long").distinct()
@@ -581,6 +584,8 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
             x, y = found[a], found[b]
             common = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        del found, texts
+        give_back()
         return rows.loc[keep, ["a", "b"]]
 
     return dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInPandas(compare, "a long, b long")
