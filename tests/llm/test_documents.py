@@ -129,6 +129,16 @@ def test_fingerprints_combine():
     assert exact_dedup.fingerprint(data[:-1] + b"x") != whole
 
 
+def test_chunks_of_huge_texts_are_hashed_apart(spark):
+    long = " ".join(f"w\u00f6rd{i}" for i in range(400))
+    items = [(1, long), (2, long.replace(" ", "\n")), (2, long), (2, long), (3, long + "x"), (4, " " * 3000), (5, None), (6, "\U0001f600 " * 900), (None, long), (7, "short")]
+    df = table(spark, [(*x, None, None) for x in items])
+    apart = exact_dedup.fingerprints(df, huge=1000, chunk=64)
+    whole = exact_dedup.fingerprints(df, chunk=64)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, whole.collect()))
+    assert sorted(map(str, exact_dedup.exact_duplicates(df, huge=1000).collect())) == sorted(map(str, exact_dedup.exact_duplicates(df).collect()))
+
+
 def test_exact_dedup_against_dictionary(spark, docs):
     items = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     items += [(1000, None), (1001, ""), (1002, " \n"), (1003, "a b"), (1004, "ab"), (1005, "a b"), (1006, "a  b"), (1007, "x" * 300_000), (1008, "x" * 299_999 + " x"), (1009, "x" * 299_999 + "y")]
