@@ -213,28 +213,28 @@ def merchant_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("merchant_key", display_name_of_key(F.col("merchant_key")).alias("display_name"), "n")
 
 
-def _overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edited_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class for every third merchant, then another for every sixth one, then none for every ninth one."""
     keyed = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 200).alias("k"), F.concat(F.lit("L"), F.col("c_custkey") % 50).alias("ledger_id"), F.concat(F.lit("M"), F.col("c_custkey") % 200).alias("m"))
     row = lambda c, of: keyed.filter(F.col("k") % of == 0).groupBy("ledger_id", F.col("m").alias("merchant_key")).agg(F.lit(c).alias("service_class"))
-    held = subscriptions.set_classification(row("STREAMING", 3), row("OTHER", 6))
+    held = subscriptions.set_classification(row("MUSIC_STREAMING", 3), row("FITNESS", 6))
     return subscriptions.clear_classification(held, row("", 9).select("ledger_id", "merchant_key"))
 
 
 _OVERRIDES = """k AS (SELECT c_custkey % 200 AS k, 'L' || (c_custkey % 50) AS ledger_id, 'M' || (c_custkey % 200) AS merchant_key FROM customer),
-    o AS (SELECT ledger_id, merchant_key, CASE WHEN bool_or(k % 6 = 0) THEN 'OTHER' ELSE 'STREAMING' END AS service_class FROM k WHERE k % 3 = 0
+    o AS (SELECT ledger_id, merchant_key, CASE WHEN bool_or(k % 6 = 0) THEN 'FITNESS' ELSE 'MUSIC_STREAMING' END AS service_class FROM k WHERE k % 3 = 0
         GROUP BY ALL HAVING NOT bool_or(k % 9 = 0))"""
 
 
 @query(f"WITH {_OVERRIDES} SELECT * FROM o")
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All overrides, after some were set anew and some cleared."""
-    return subscriptions.classifications(_overrides(spark, sf_dir))
+    return subscriptions.classifications(_edited_classes(spark, sf_dir))
 
 
 @query(f"WITH {_OVERRIDES} SELECT * FROM o WHERE merchant_key = 'M12'")
 def classification_of_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subscriptions.classifications(_overrides(spark, sf_dir), "M12")
+    return subscriptions.classifications(_edited_classes(spark, sf_dir), "M12")
 
 
 # -- import ------------------------------------------------------------------------------------
