@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, sentencepiece_codec, sharding, similarity_join, token_counts, token_files, topk_search
+from . import chosen_path, exact_dedup, language_id, line_dedup, mixing, sentencepiece_codec, sharding, similarity_join, token_counts, token_files, topk_search
 from .common import documents, scratch
 
 PIECES = "piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir), weights=(1, 2, 3))
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir), percent=85, width=5).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,12 +77,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_line_dedup,
         op10_mixing,
+        op11_chosen_path,
     )
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _components_sql(percent: int) -> str:
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+            FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common WHERE 100 * c >= {percent} * (na + nb - c)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.least, s.doc_id) AS component_id
+        FROM sets s LEFT JOIN (SELECT node, min(seen) AS least FROM reach GROUP BY node) m ON m.node = s.doc_id"""
+
+
 # One byte of a CRC-32, in two steps of four bits. The remainders of the four-bit numbers.
 _NIBBLES = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
 _HALF = f"xor(xor(a, b) >> 4, ({_NIBBLES})[(xor(a, b) & 15) + 1])"
@@ -95,20 +119,8 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
-    "op4_similarity_join": f"""
-        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
-        sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
-        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
-        common AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
-            FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-        links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
-        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-        reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a)
-        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.least, s.doc_id) AS component_id
-        FROM sets s LEFT JOIN (SELECT node, min(seen) AS least FROM reach GROUP BY node) m ON m.node = s.doc_id""",
+    "op4_similarity_join": _components_sql(75),
+    "op11_chosen_path": f"SELECT *, component_id = doc_id AS kept FROM ({_components_sql(85)})",
     "op6_sharding": f"""
         WITH d AS (
             SELECT doc_id, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size,

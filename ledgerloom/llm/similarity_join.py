@@ -9,7 +9,7 @@ and for e_i = 1 also their one-deletion neighbourhoods. The set that looks up ch
 of many elements first, as they are the rarest; the few segments whose deletions are indexed get
 tolerance 1 where others would be empty or hold a single element.
 
-Equal sets are made one class first. Signatures under which the same sets meet are one meeting. What meets
+Texts of the same words in the same order are made one class first. Signatures under which the same sets meet are one meeting. What meets
 is compared by counts, then word for word: first with the most connected set of each crowded meeting, and
 when those links have made components, whatever meets across components. Links inside a component are not
 enumerated, so large groups of copies cost a star each.
@@ -18,7 +18,7 @@ enumerated, so large groups of copies cost a star each.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,14 +52,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-with np.errstate(over="ignore"):
-    _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _U(_ODD[0]))
+#: Places of a word up to which the values of its bytes are kept in a table.
+PLACES = 64
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> np.ndarray:
+def _placed(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A scrambled number for a byte at a place: words are sums of these, so no pattern of bytes makes two of them equal."""
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _U(_ODD[1])), dtype=np.uint64)
+        return _mix((place.astype(np.uint64) * _U(256) + byte.astype(np.uint64) + _U(1)) * _U(_ODD[0]))
+
+
+_BYTES = _placed(np.arange(PLACES * 256) >> 8, np.arange(PLACES * 256) & 255)
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,18 +74,29 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.empty(0, dtype=np.uint64)
     at, lengths = np.flatnonzero(inside), ends - starts
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    size = 1 << int(lengths.max()).bit_length()
+    place, byte = np.arange(len(at)) - np.repeat(first, lengths), data[at]
+    values = _BYTES[np.minimum(place, PLACES - 1) * 256 + byte]
+    far = np.flatnonzero(place >= PLACES)
+    values[far] = _placed(place[far], byte[far])
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTES[data[at]] * _powers(size)[place], first)
-    return starts, _mix(sums)
+        return starts, _mix(np.add.reduceat(values, first))
+
+
+def _blobs(texts: list[str | None]) -> list[bytes]:
+    """UTF-8 with A-Z in lower case; a null text is empty."""
+    return [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in texts]
+
+
+def word_digests(texts: list[str | None]) -> list[bytes]:
+    """A digest of each text's words in their order, whatever white space stands between them: equal only for equal words."""
+    return [hashlib.blake2b(b" ".join(b.split()), digest_size=16).digest() for b in _blobs(texts)]
 
 
 def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text: A-Z in lower case, words between ASCII white space, every run of
     `width` words; all words as one run if there are fewer; nothing without words. In sets of n shingles two of them share a
-    hash with a chance of about n * n / 2 ** 65."""
-    blobs = [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in texts]
+    hash with a chance of about n * n / 2 ** 65, whatever the words are."""
+    blobs = _blobs(texts)
     ends = np.cumsum([len(b) + 1 for b in blobs])
     starts, words = _word_hashes(np.frombuffer(b" ".join(blobs) + b" ", dtype=np.uint8))
     border = np.searchsorted(starts, np.concatenate([[0], ends]))
@@ -228,8 +242,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, its sketch."""
+def shingle_classes(docs: DataFrame, width: int, more: Callable[[list[np.ndarray]], list[bytes]] | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest of the words, the set's sketch, and `more`: what that function makes of the sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _slices(batches):
@@ -238,12 +252,13 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
                 {
                     "doc_id": pd.array(ids, dtype="Int64"),
                     "n_shingles": [len(s) for s in sets],
-                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "digest": word_digests(texts),
                     "sketch": [sketch(s) for s in sets],
+                    "more": more(sets) if more else b"",
                 }
             )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch binary, more binary")
 
 
 def sketch(elements: np.ndarray) -> bytes:
@@ -613,28 +628,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _classes(named: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class_id, first: whether the row stands for its class; the sketches by doc_id)."""
-    rows = cut(shingle_classes(named, width))
+def classes(named: DataFrame, width: int, more: Callable[[list[np.ndarray]], list[bytes]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class_id, first: whether the row stands for its class; doc_id, sketch, more). A class has the same words in
+    the same order; texts that share their set only are linked by the join like others."""
+    rows = cut(shingle_classes(named, width, more))
     narrow = rows.select("doc_id", "n_shingles", "digest")
     grouped = narrow.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classed = narrow.join(grouped, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(False)).alias("first"))
-    return cut(classed), rows.select("doc_id", "sketch")
+    return cut(classed), rows.select("doc_id", "sketch", "more")
 
 
-def _linked(named: DataFrame, classed: DataFrame, sketches: DataFrame, *, width: int, percent: int, within: bool, star_from: int, broadcast_rows: int, signatures_each: int, rows_each: int) -> DataFrame:
-    """a, b, a < b: links between classes; all of them if `within`, else so many that they make the same components."""
-    shingles = classed.filter("first").agg(F.sum("n_shingles")).first()[0]
+def representatives(named: DataFrame, classed: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of the documents that stand for their class."""
     rest = classed.filter("not first").select("doc_id").distinct()
-    texts = named.filter("doc_id is not null").join(F.broadcast(rest) if rest.count() <= broadcast_rows else rest, "doc_id", "left_anti")
+    return named.filter("doc_id is not null").join(F.broadcast(rest) if rest.count() <= broadcast_rows else rest, "doc_id", "left_anti")
+
+
+def segment_meetings(texts: DataFrame, classed: DataFrame, *, width: int, percent: int, signatures_each: int) -> DataFrame:
+    """list, doc_id, size, flags: who meets whom by the segments' signatures."""
+    shingles = classed.filter("first").agg(F.sum("n_shingles")).first()[0]
     # A set has about as many signatures as two thirds of its elements.
-    met = cut(allocated(meetings(texts, max(8, int(shingles * 0.75) // signatures_each + 1), width, percent)).withColumn("comp", F.col("doc_id")))
+    return allocated(meetings(texts, max(8, int(shingles * 0.75) // signatures_each + 1), width, percent))
+
+
+def linked(met: DataFrame, texts: DataFrame, sketches: DataFrame, *, width: int, percent: int, within: bool, star_from: int, broadcast_rows: int, rows_each: int) -> DataFrame:
+    """a, b, a < b: links between classes that meet (list, doc_id, size, flags); all of them if `within`, else so many that they make
+    the same components."""
+    met = cut(met.withColumn("comp", F.col("doc_id")))
     members = met.count()
     groups, pieces = max(4, members // rows_each), pieces_for(members)
     # A set's weight is the number of its meetings with others: it is highest in the middle of a group of copies.
     lists = cut(met.groupBy("list").agg(F.count(F.lit(1)).alias("crowd"), F.min("doc_id").alias("least")).coalesce(pieces))
     hot = cut(met.join(lists, "list").groupBy("doc_id").agg(F.sum(F.col("crowd") - 1).alias("weight")).coalesce(pieces))
-    sketches = cut(sketches.join(hot.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).coalesce(pieces))
+    sketches = cut(sketches.select("doc_id", "sketch").join(hot.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).coalesce(pieces))
     sizes = met.select("doc_id", F.col("size").cast("long").alias("n_shingles")).distinct()
 
     def check(likely: DataFrame) -> DataFrame:
@@ -670,7 +696,7 @@ def similar_documents(
     signatures_each: int = 2_000_000,
     rows_each: int = 10_000,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (least id of the same set), component_id (least id reachable by links).
+    """One row per document: doc_id, n_shingles, class_id (least id of the same words), component_id (least id reachable by links).
 
     Two documents link when their shingle sets have a Jaccard similarity of percent / 100 or more.
     Documents without words have the empty set, and are linked with nothing: both ids are their own. A
@@ -679,24 +705,33 @@ def similar_documents(
     within a component is enumerated without need, but no link between components is missed.
     """
     named = _named(docs, id_col, text_col)
-    classed, sketches = _classes(named, width)
+    classed, sketches = classes(named, width)
     if classed.filter("first").isEmpty():
         return classed.select("doc_id", "n_shingles", "class_id", F.col("class_id").alias("component_id"))
-    links = _linked(named, classed, sketches, width=width, percent=percent, within=False, star_from=star_from, broadcast_rows=broadcast_rows, signatures_each=signatures_each, rows_each=rows_each)
-    labels = components(links)
+    texts = representatives(named, classed, broadcast_rows)
+    met = segment_meetings(texts, classed, width=width, percent=percent, signatures_each=signatures_each)
+    links = linked(met, texts, sketches, width=width, percent=percent, within=False, star_from=star_from, broadcast_rows=broadcast_rows, rows_each=rows_each)
+    return labelled(classed, components(links))
+
+
+def labelled(classed: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id. Both sides are plain exchanges of written tables, so adaptive execution can split a
+    class of very many rows; labels has one row for it."""
     return classed.join(labels, classed["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
 
 
 def similar_links(docs: DataFrame, *, percent: int = PERCENT, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, signatures_each: int = 2_000_000, rows_each: int = 10_000) -> DataFrame:
     """a, b, a < b: every link between classes of documents (by the least id of each), as similar_documents has links and classes.
 
-    Their number grows with the square of a group of near copies that all differ; copies of one set are one class.
+    Their number grows with the square of a group of near copies that all differ; copies of the same words are one class.
     """
     named = _named(docs, id_col, text_col)
-    classed, sketches = _classes(named, width)
+    classed, sketches = classes(named, width)
     if classed.filter("first").isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    return _linked(named, classed, sketches, width=width, percent=percent, within=True, star_from=0, broadcast_rows=broadcast_rows, signatures_each=signatures_each, rows_each=rows_each)
+    texts = representatives(named, classed, broadcast_rows)
+    met = segment_meetings(texts, classed, width=width, percent=percent, signatures_each=signatures_each)
+    return linked(met, texts, sketches, width=width, percent=percent, within=True, star_from=0, broadcast_rows=broadcast_rows, rows_each=rows_each)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
