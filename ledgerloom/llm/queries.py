@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, exact_dedup, language_id, line_dedup, mixing, sentencepiece_codec, sharding, similarity_join, token_counts, token_files, topk_search
+from . import chosen_path, exact_dedup, language_id, line_dedup, mixing, sentencepiece_codec, sharding, similarity_join, token_alignment, token_counts, token_files, topk_search, whitening
 from .common import documents, scratch
 
 PIECES = "piece_bpe_32k.model"
@@ -64,6 +64,15 @@ def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(documents(spark, sf_dir), percent=85, width=5).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(documents(spark, sf_dir), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_mixing,
         op11_chosen_path,
+        op12_whitening,
+        op13_alignment,
     )
 }
 
