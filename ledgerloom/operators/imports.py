@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.merchants import with_merchant_key
+from ..sources.shared import settled
+from ..sources.snapshots import Conflict, Snapshot, Store
 
 UNIT = "\u001f"
 #: Sources whose rows a person has to look at.
 REVIEWED_SOURCES = ("OCR", "PDF_TEXT")
 
 
+#: So many accounts or fewer are named to the scan of the ledger, which skips files by their statistics.
+NAMED_ACCOUNTS = 1000
+
+
 class ImportOutcome(NamedTuple):
+    """summary: ledger_id, batch_id, rows_parsed, rows_imported, rows_duplicate, rows_failed, likely_reimport, needs_review, imported_at."""
+
     new_rows: DataFrame
     summary: DataFrame
     problems: DataFrame
@@ -55,30 +63,83 @@ LEDGER_COLUMNS = (
 ).split()
 
 
+KEYS = ["ledger_id", "account_id"]
+
+
+def of_accounts(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ledger's rows of the accounts that `rows` has: what an import can meet. Few accounts are pushed into the scan."""
+    few = rows.select(*KEYS).distinct().limit(NAMED_ACCOUNTS + 1).collect()
+    if len(few) > NAMED_ACCOUNTS:
+        return ledger.join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
+    ledgers, accounts = ({r[c] for r in few} - {None} for c in KEYS)
+    return ledger.filter(F.col("ledger_id").isin(*ledgers) & F.col("account_id").isin(*accounts)) if few else ledger.limit(0)
+
+
+def _unknown(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The rows of which the ledger has neither key: first what it has by hash goes, of the rest what it has by institution id."""
+    held = of_accounts(ledger, rows)
+    rows = rows.join(held.select(*BY_HASH), BY_HASH, "left_anti")
+    return rows.join(held.filter(F.col("institution_transaction_id").isNotNull()).select(*BY_FITID), BY_FITID, "left_anti")
+
+
+BY_HASH = ["ledger_id", "dedup_hash"]
+BY_FITID = ["ledger_id", "account_id", "institution_transaction_id"]
+
+
 def insert_new(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Of one batch's enriched rows, those that neither unique key rejects: the hash, and (account, institution id) where there is
     one. A row that the hash rejects does not count for the second key."""
-    by_hash = ["ledger_id", "dedup_hash"]
-    by_fitid = ["ledger_id", "account_id", "institution_transaction_id"]
-    rows = rows.join(ledger.select(*by_hash), by_hash, "left_anti")
-    rows = rows.join(ledger.filter(F.col("institution_transaction_id").isNotNull()).select(*by_fitid), by_fitid, "left_anti")
-    first = F.row_number().over(Window.partitionBy(*by_fitid).orderBy("source_pos"))
+    rows = _unknown(rows, ledger)
+    first = F.row_number().over(Window.partitionBy(*BY_FITID).orderBy("source_pos"))
     # Rows without an institution id are spread by their own hash, not gathered under the null.
     with_id = rows.filter(F.col("institution_transaction_id").isNotNull()).withColumn("_n", first).filter("_n = 1").drop("_n")
     return rows.filter(F.col("institution_transaction_id").isNull()).unionByName(with_id)
 
 
-def batch_summary(enriched: DataFrame, new_rows: DataFrame, problems: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """batch_id, rows_parsed, rows_imported, rows_duplicate, rows_failed, likely_reimport. Batches with problems only are there too."""
+def batch_summary(enriched: DataFrame, new_rows: DataFrame, problems: DataFrame, batch: str = "batch_id", *, source: Column | None = None, imported_at: dt.datetime | None = None) -> DataFrame:
+    """A row per ledger and batch, batches of problems only among them: ledger_id, batch_id, rows_parsed, rows_imported,
+    rows_duplicate, rows_failed, likely_reimport, needs_review, imported_at. source: of the parsed rows, one per batch; without it
+    nothing needs review. Ledgers may use the same names for batches."""
+    zero, one = F.lit(0).cast("bigint"), F.count(F.lit(1))
+    none = F.lit(None).cast("string")
+    by = F.col("ledger_id"), F.col(batch).alias("batch_id")
     counts = [
-        enriched.groupBy(batch).agg(F.count(F.lit(1)).alias("p"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("f")),
-        new_rows.groupBy(batch).agg(F.lit(0).cast("bigint").alias("p"), F.count(F.lit(1)).alias("i"), F.lit(0).cast("bigint").alias("f")),
-        problems.groupBy(batch).agg(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("i"), F.count_if(F.col("severity") == "ERROR").alias("f")),
+        enriched.groupBy(*by).agg(one.alias("p"), zero.alias("i"), zero.alias("f"), (none if source is None else F.max(source)).alias("s")),
+        new_rows.groupBy(*by).agg(zero.alias("p"), one.alias("i"), zero.alias("f"), none.alias("s")),
+        problems.groupBy(*by).agg(zero.alias("p"), zero.alias("i"), F.count_if(F.col("severity") == "ERROR").alias("f"), none.alias("s")),
     ]
-    total = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy(batch).agg(F.sum("p").alias("rows_parsed"), F.sum("i").alias("rows_imported"), F.sum("f").alias("rows_failed"))
+    total = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("ledger_id", "batch_id")
+    total = total.agg(F.sum("p").alias("rows_parsed"), F.sum("i").alias("rows_imported"), F.sum("f").alias("rows_failed"), F.max("s").alias("source"))
     duplicate = F.col("rows_parsed") - F.col("rows_imported")
     return total.select(
-        F.col(batch).alias("batch_id"), "rows_parsed", "rows_imported", duplicate.alias("rows_duplicate"), "rows_failed", likely_reimport(F.col("rows_parsed"), duplicate).alias("likely_reimport")
+        "ledger_id",
+        "batch_id",
+        "rows_parsed",
+        "rows_imported",
+        duplicate.alias("rows_duplicate"),
+        "rows_failed",
+        likely_reimport(F.col("rows_parsed"), duplicate).alias("likely_reimport"),
+        F.coalesce(needs_review(F.col("source")), F.lit(False)).alias("needs_review"),
+        F.lit(imported_at).cast("timestamp").alias("imported_at"),
+    )
+
+
+def batch_records(batches: DataFrame, enriched: DataFrame, new_rows: DataFrame, problems: DataFrame, imported_at: dt.datetime) -> DataFrame:
+    """The record of each batch (ledger_id, id, account_id, source, file_name), whether or not anything was read from it, with
+    likely_reimport and needs_review."""
+    counts = batch_summary(enriched, new_rows, problems).drop("imported_at", "needs_review").withColumnRenamed("batch_id", "id")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    joined = batches.select("ledger_id", "id", "account_id", "source", "file_name").join(counts, ["ledger_id", "id"], "left")
+    return joined.select(
+        "ledger_id",
+        "id",
+        "account_id",
+        "source",
+        F.lit(imported_at).cast("timestamp").alias("imported_at"),
+        "file_name",
+        *[zero(c) for c in ("rows_parsed", "rows_imported", "rows_duplicate", "rows_failed")],
+        F.coalesce("likely_reimport", F.lit(False)).alias("likely_reimport"),
+        F.coalesce(needs_review(F.col("source")), F.lit(False)).alias("needs_review"),
     )
 
 
@@ -91,51 +152,92 @@ def needs_review(source: Column) -> Column:
     return source.isin(*REVIEWED_SOURCES)
 
 
-def import_batch(ledger: DataFrame, parsed: DataFrame, problems: DataFrame, account_id: str | None = None) -> ImportOutcome:
-    """One batch's parsed rows against the ledger. Write new_rows and the summary, then publish."""
+def import_batch(ledger: DataFrame, parsed: DataFrame, problems: DataFrame, account_id: str | None = None, *, source: str | None = None, imported_at: dt.datetime | None = None) -> ImportOutcome:
+    """One batch's parsed rows against the ledger. `publish_import` also writes what comes of it."""
     enriched = enrich(parsed, account_id)
     new_rows = insert_new(enriched, ledger)
-    return ImportOutcome(new_rows, batch_summary(enriched, new_rows, problems), problems)
+    return ImportOutcome(new_rows, batch_summary(enriched, new_rows, problems, source=F.lit(source) if source else None, imported_at=imported_at), problems)
 
 
 def import_many(ledger: DataFrame, parsed: DataFrame, batch_order: str = "batch_seq") -> DataFrame:
-    """The new rows of many batches at once, as if imported one after another by batch_order.
+    """The new rows of many batches at once, as if imported one after another by batch_order."""
+    return new_of_many(enrich(parsed), ledger, batch_order)
+
 
-    A row whose hash, and whose institution id if it has one, occur once over ledger and batches goes the set
-    way. The rest is taken in order; whether a row is new depends on the rows that share either key with it, so the rest of an
-    account is folded in one task: conflicts only, not the account.
+def new_of_many(enriched: DataFrame, ledger: DataFrame, batch_order: str = "batch_seq") -> DataFrame:
+    """Of the enriched rows of many batches, those that are new when taken in order.
+
+    A row's keys are its hash and, where it has one, its institution id. A row is new if no new row before it has one of its keys.
+    So in each round the rows that come first under all of their keys are new, and those that share a key with one of them are not;
+    both go, and the rest is looked at again, until nothing is left. Rows are dealt by key, never by account, and first ones are
+    found by partial aggregation, so neither a large account nor a frequent key makes a large task. Most rows leave in the first round; a round more is
+    needed only where a row waits for one that itself waits.
+    """
+    rows = _unknown(enriched, ledger)
+    place = F.struct(F.col(batch_order).alias("batch"), F.col("source_pos").alias("pos"), F.col("id").alias("id"))
+    own = [F.concat_ws(UNIT, F.lit("hash"), *BY_HASH), F.when(F.col("institution_transaction_id").isNotNull(), F.concat_ws(UNIT, F.lit("id"), *BY_FITID))]
+    keys = rows.select("id", place.alias("place"), F.explode(F.array_compact(F.array(*own))).alias("key"))
+    new = None
+    while True:
+        keys = settled(keys)
+        if keys.isEmpty():
+            break
+        first = keys.groupBy("key").agg(F.min("place").alias("first"))
+        won = settled(keys.join(first, "key").groupBy("id").agg(F.bool_and(F.col("place") == F.col("first")).alias("wins")).filter("wins").select("id"))
+        new = won if new is None else new.unionByName(won)
+        taken = keys.join(won, "id", "left_semi").select("key").distinct()
+        keys = keys.join(keys.join(taken, "key", "left_semi").select("id").distinct(), "id", "left_anti")
+    return rows.limit(0) if new is None else rows.join(new, "id", "left_semi")
+
+
+def publish_import(store: Store, batches: DataFrame, parsed: DataFrame, problems: DataFrame, *, imported_at: dt.datetime, mark: tuple[str, int] | None = None, attempts: int = 3) -> Snapshot:
+    """Import batches into a store, all of it or nothing: new transactions, a record per batch, and the batches' problems become
+    readable together, when the next snapshot is published.
+
+    batches: ledger_id, id, account_id, source, file_name, batch_seq. parsed: parsed rows with ledger_id, batch_id, account_id,
+    batch_seq, source_pos. problems: ledger_id, batch_id and what a problem has. Batches that the store has a record of are
+    left out, so that importing once more adds nothing; so is an epoch (mark: a stream's name and its number) that is in.
+    If another job publishes meanwhile, the import starts again from there.
     """
-    enriched = enrich(parsed)
-    known_hash = ["ledger_id", "dedup_hash"]
-    known_fitid = ["ledger_id", "account_id", "institution_transaction_id"]
-    rows = enriched.join(ledger.select(*known_hash), known_hash, "left_anti")
-    rows = rows.join(ledger.filter(F.col("institution_transaction_id").isNotNull()).select(*known_fitid), known_fitid, "left_anti")
-    hash_n = rows.groupBy(*known_hash).agg(F.count(F.lit(1)).alias("_h"))
-    fitid_n = rows.filter(F.col("institution_transaction_id").isNotNull()).groupBy(*known_fitid).agg(F.count(F.lit(1)).alias("_f"))
-    counted = rows.join(hash_n, known_hash).join(fitid_n, known_fitid, "left")
-    clear = (F.col("_h") == 1) & (F.coalesce(F.col("_f"), F.lit(1)) == 1)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, fitids, keep = set(), set(), []
-        for r in pdf.sort_values([batch_order, "source_pos"]).itertuples():
-            fitid = r.institution_transaction_id
-            fresh = r.dedup_hash not in hashes and (fitid is None or fitid not in fitids)
-            if fresh:
-                hashes.add(r.dedup_hash)
-                if fitid is not None:
-                    fitids.add(fitid)
-                keep.append(r.id)
-        return pd.DataFrame({"id": keep})
-
-    contested = counted.filter(~clear)
-    won = contested.select("ledger_id", "account_id", "id", "dedup_hash", "institution_transaction_id", batch_order, "source_pos").groupBy("ledger_id", "account_id").applyInPandas(fold, "id string")
-    return counted.filter(clear).unionByName(contested.join(won, "id", "left_semi").select(*counted.columns)).drop("_h", "_f")
-
-
-def undo_batch(transactions: DataFrame, batches: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(transactions, batches, removed count) without the batch."""
-    gone = F.coalesce(F.col("import_batch_id") == batch_id, F.lit(False))
-    return transactions.filter(~gone), batches.filter(F.col("id") != batch_id), transactions.filter(gone).agg(F.count(F.lit(1)).alias("removed"))
+    for left in reversed(range(attempts)):
+        base = store.snapshot()
+        if mark and base.marks.get(mark[0], -1) >= mark[1]:
+            return base
+        known = store.read_folders("import_batches", base.folders["import_batches"]).select("ledger_id", "id")
+        fresh = settled(batches.join(known, ["ledger_id", "id"], "left_anti"))
+        if fresh.isEmpty() and not mark:
+            return base
+        of_fresh = fresh.select("ledger_id", F.col("id").alias("batch_id"))
+        rows, wrong = (x.join(of_fresh, ["ledger_id", "batch_id"], "left_semi") for x in (parsed, problems))
+        enriched = settled(enrich(rows))
+        held = store.read_folders("transactions", base.folders["transactions"])
+        added = {"transactions": store.write("transactions", new_of_many(enriched, held))}
+        imported = store.read_folders("transactions", [added["transactions"]]).withColumnRenamed("import_batch_id", "batch_id")
+        added["import_batches"] = store.write("import_batches", batch_records(fresh, enriched, imported, wrong, imported_at))
+        added["problems"] = store.write("problems", wrong)
+        try:
+            return store.publish(base, added=added, mark=mark)
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError("no attempt")
+
+
+def undo_batch(transactions: DataFrame, batches: DataFrame, ledger_id: str, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transactions, batches, removed count) without the ledger's batch; other ledgers' batches of that name stay."""
+    own = F.col("ledger_id") == ledger_id
+    gone = F.coalesce(own & (F.col("import_batch_id") == batch_id), F.lit(False))
+    return transactions.filter(~gone), batches.filter(~(own & (F.col("id") == batch_id))), transactions.filter(gone).agg(F.count(F.lit(1)).alias("removed"))
+
+
+def publish_undo(store: Store, ledger_id: str, batch_id: str) -> int:
+    """Take a batch back: its transactions, record and problems go in one snapshot. How many transactions went."""
+    base = store.snapshot()
+    tx, batches, removed = undo_batch(*(store.read_folders(t, base.folders[t]) for t in ("transactions", "import_batches")), ledger_id, batch_id)
+    problems = store.read_folders("problems", base.folders["problems"]).filter(~((F.col("ledger_id") == ledger_id) & (F.col("batch_id") == batch_id)))
+    n = removed.first()["removed"]
+    store.publish(base, replaced={t: store.write(t, x) for t, x in (("transactions", tx), ("import_batches", batches), ("problems", problems))})
+    return n
 
 
 def default_account(accounts: DataFrame, ledger_id: str, account_id: str = "default") -> DataFrame:

@@ -27,22 +27,27 @@ def categories_by_name(categories: DataFrame, *, archived: bool = False) -> Data
     return (categories if archived else categories.filter(~F.col("is_archived"))).orderBy("name")
 
 
-def by_id(df: DataFrame, value: str) -> DataFrame:
-    """The account, category, batch or transaction of this id."""
-    return df.filter(F.col("id") == value)
+def of_ledger(df: DataFrame, ledger_id: str) -> DataFrame:
+    return df.filter(F.col("ledger_id") == ledger_id)
 
 
-def batches_of_account(batches: DataFrame, account_id: str) -> DataFrame:
-    return batches.filter(F.col("account_id") == account_id).orderBy(F.desc("imported_at"))
+def by_id(df: DataFrame, ledger_id: str, value: str) -> DataFrame:
+    """The ledger's account, category, batch or transaction of this id. Ledgers may use the same ids."""
+    return of_ledger(df, ledger_id).filter(F.col("id") == value)
+
+
+def batches_of_account(batches: DataFrame, ledger_id: str, account_id: str) -> DataFrame:
+    return of_ledger(batches, ledger_id).filter(F.col("account_id") == account_id).orderBy(F.desc("imported_at"))
 
 
 def recent_batches(batches: DataFrame, limit: int = 20) -> DataFrame:
+    """Newest first."""
     return batches.orderBy(F.desc("imported_at")).limit(limit)
 
 
-def account_page(tx: DataFrame, account_id: str, limit: int, offset: int = 0) -> DataFrame:
-    """A page of an account, newest first."""
-    return tx.filter(F.col("account_id") == account_id).orderBy(F.desc("posted_date"), F.desc("id")).offset(offset).limit(limit)
+def account_page(tx: DataFrame, ledger_id: str, account_id: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of a ledger's account, newest first."""
+    return of_ledger(tx, ledger_id).filter(F.col("account_id") == account_id).orderBy(F.desc("posted_date"), F.desc("id")).offset(offset).limit(limit)
 
 
 def between(tx: DataFrame, start, end) -> DataFrame:
@@ -63,8 +68,9 @@ def transaction_count(tx: DataFrame) -> DataFrame:
 
 
 def existing_hashes(tx: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Those of the hashes (dedup_hash) that the ledger holds."""
-    return hashes.select("dedup_hash").distinct().join(tx.select("dedup_hash"), "dedup_hash", "left_semi")
+    """Those of the hashes (ledger_id, dedup_hash) that their ledger holds: a hash has nothing of the ledger in it."""
+    key = ["ledger_id", "dedup_hash"]
+    return hashes.select(*key).distinct().join(tx.select(*key), key, "left_semi")
 
 
 def uncategorised_merchants(tx: DataFrame) -> DataFrame:
@@ -94,19 +100,24 @@ def mark_transfer(tx: DataFrame, ids: DataFrame, flag: bool = True) -> DataFrame
     return _where_listed(tx, ids, "is_transfer", F.lit(flag))
 
 
-def delete_account(ledger: Ledger, account_id: str) -> Ledger:
-    """The account goes with its transactions and batches."""
-    stays = F.coalesce(F.col("account_id") != account_id, F.lit(True))
-    return Ledger(ledger.transactions.filter(stays), ledger.import_batches.filter(stays), ledger.accounts.filter(F.col("id") != account_id))
+def _is(ledger_id: str, column: str, value: str) -> Column:
+    """Of this ledger, with this value; never null."""
+    return F.coalesce((F.col("ledger_id") == ledger_id) & (F.col(column) == value), F.lit(False))
+
+
+def delete_account(ledger: Ledger, ledger_id: str, account_id: str) -> Ledger:
+    """The ledger's account goes with its transactions and batches."""
+    stays = ~_is(ledger_id, "account_id", account_id)
+    return Ledger(ledger.transactions.filter(stays), ledger.import_batches.filter(stays), ledger.accounts.filter(~_is(ledger_id, "id", account_id)))
 
 
-def delete_batch(ledger: Ledger, batch_id: str) -> Ledger:
+def delete_batch(ledger: Ledger, ledger_id: str, batch_id: str) -> Ledger:
     """The batch's record goes; its transactions stay without it."""
-    cleared = F.when(F.col("import_batch_id") != batch_id, F.col("import_batch_id"))
-    return Ledger(ledger.transactions.withColumn("import_batch_id", cleared), ledger.import_batches.filter(F.col("id") != batch_id), ledger.accounts)
+    cleared = F.when(~_is(ledger_id, "import_batch_id", batch_id), F.col("import_batch_id"))
+    return Ledger(ledger.transactions.withColumn("import_batch_id", cleared), ledger.import_batches.filter(~_is(ledger_id, "id", batch_id)), ledger.accounts)
 
 
-def delete_category(tx: DataFrame, categories: DataFrame, category_id: str) -> tuple[DataFrame, DataFrame]:
-    """Transactions and child categories stay without it."""
-    left = categories.filter(F.col("id") != category_id).withColumn("parent_id", F.when(F.col("parent_id") != category_id, F.col("parent_id")))
-    return tx.withColumn("category_id", F.when(F.col("category_id") != category_id, F.col("category_id"))), left
+def delete_category(tx: DataFrame, categories: DataFrame, ledger_id: str, category_id: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger's category goes; transactions and child categories stay without it."""
+    without = lambda c: F.when(~_is(ledger_id, c, category_id), F.col(c))
+    return tx.withColumn("category_id", without("category_id")), categories.filter(~_is(ledger_id, "id", category_id)).withColumn("parent_id", without("parent_id"))

@@ -84,7 +84,7 @@ RHYTHM_SQL = (
 
 
 def noise_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per order: account by customer, descriptor in one of many dresses by the order's number."""
+    """A row per order: ledger and account by customer, descriptor in one of many dresses by the order's number. Ledgers use the same names for accounts and batches."""
     key = F.col("o_orderkey")
     descriptor = F.expr(
         """case cast(o_orderkey % 12 as int)
@@ -104,7 +104,7 @@ def noise_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.concat(F.lit("L"), F.col("o_custkey") % 50).alias("ledger_id"),
         F.lpad(key.cast("string"), 12, "0").alias("id"),
-        F.col("o_custkey").cast("string").alias("account_id"),
+        F.expr("cast(o_custkey div 50 as string)").alias("account_id"),
         F.to_date("o_orderdate").alias("posted_date"),
         (-F.round(F.col("o_totalprice").cast("decimal(15,2)") * 100, 0)).cast("bigint").alias("amount_minor"),
         F.lit("USD").alias("currency"),
@@ -118,7 +118,7 @@ def noise_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NOISE_SQL = """
-    noise AS (SELECT 'L' || (o_custkey % 50) AS ledger_id, lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_custkey::VARCHAR AS account_id, o_orderdate::DATE AS posted_date,
+    noise AS (SELECT 'L' || (o_custkey % 50) AS ledger_id, lpad(o_orderkey::VARCHAR, 12, '0') AS id, (o_custkey // 50)::VARCHAR AS account_id, o_orderdate::DATE AS posted_date,
         -round(o_totalprice::DECIMAL(15,2) * 100)::BIGINT AS amount_minor, 'USD' AS currency,
         CASE o_orderkey % 12
              WHEN 0 THEN 'SQ *BLUE BOTTLE COFFEE #' || (o_custkey % 90) || ' OAKLAND CA'

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import merchants as fm
 from ..functions.amounts import parse_amount_minor
 from ..functions.dates import infer_date_order, parse_date
 from ..functions.merchants import display_name_of_key, with_merchant_key
-from ..functions.money import allocate, percent_of, plain_text, scale_by, split_even, sum_minor, to_major, to_minor
+from ..functions.money import allocate, is_credit, is_debit, is_liability, percent_of, plain_text, scale_by, split_even, sum_minor, to_major, to_minor
 from ..functions.reference import CATALOGUE, CITIES, BRAND_ALIASES, SERVICE_CLASSES, STATES
 from ..operators import imports, ledger, subscriptions
 from ..operators.recurring import active_series, confidence_tier, detect_recurring
+from ..sources.schemas import valid_account, valid_batch, valid_category
+from ..sources.shared import fresh_path
+from ..sources.snapshots import Store
 from .driver_ledger import AS_OF, NOISE_SQL, RHYTHM_SQL, noise_ledger, rhythm_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+IMPORTED_AT = dt.datetime(2024, 1, 2, 3, 4, 5, tzinfo=dt.UTC)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -239,9 +244,12 @@ def classification_of_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- import ------------------------------------------------------------------------------------
 
-_HASHED = f"""{_KEYS},
+
+def _hashed_sql(batch: str = "batch_id") -> str:
+    return f"""{_KEYS},
     hashed AS (SELECT n.*, merchant_key, row_number() OVER (PARTITION BY ledger_id, batch_id, account_id, posted_date, amount_minor, merchant_key ORDER BY source_pos) - 1 AS occurrence
-        FROM (SELECT * EXCLUDE (account_id, posted_date, amount_minor), 'A' || (account_id::BIGINT % 5) AS account_id, make_date(year(posted_date), month(posted_date), 1) AS posted_date, amount_minor // 10000000 AS amount_minor FROM noise) n JOIN keys USING (raw_description)),
+        FROM (SELECT * EXCLUDE (batch_id, account_id, posted_date, amount_minor), {batch} AS batch_id, 'A' || (account_id::BIGINT % 5) AS account_id, make_date(year(posted_date), month(posted_date), 1) AS posted_date,
+            amount_minor // 10000000 AS amount_minor FROM noise) n JOIN keys USING (raw_description)),
     h2 AS (SELECT *, sha256(concat_ws(chr(31), account_id, posted_date::VARCHAR, amount_minor::VARCHAR, merchant_key, occurrence::VARCHAR)) AS dedup_hash FROM hashed)"""
 
 
@@ -255,13 +263,16 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise_ledger(spark, sf_dir).withColumns(coarse)
 
 
-@query(f"WITH {_HASHED} SELECT id, dedup_hash, occurrence::INTEGER AS occurrence FROM h2")
+@query(f"WITH {_hashed_sql()} SELECT id, dedup_hash, occurrence::INTEGER AS occurrence FROM h2")
 def dedup_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.assign_hashes(with_merchant_key(_parsed(spark, sf_dir))).select("id", "dedup_hash", "occurrence")
 
 
-#: Batch B1 into a ledger that holds B0: first what the hash leaves, of that what the institution id leaves.
-_NEW = f"""{_HASHED},
+# Two batches that hold all rows: the second into ledgers that hold the first.
+_HALF = "concat('B', cast(substring(batch_id, 2) as int) % 2)"
+_HALVES = _hashed_sql("'B' || (substring(batch_id, 2)::INTEGER % 2)")
+#: First what the hash leaves, of that what the institution id leaves.
+_NEW = f"""{_HALVES},
     led AS (SELECT * FROM h2 WHERE batch_id = 'B0'), inc AS (SELECT * FROM h2 WHERE batch_id = 'B1'),
     i1 AS (SELECT * FROM inc WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.ledger_id = inc.ledger_id AND led.dedup_hash = inc.dedup_hash)),
     i2 AS (SELECT * FROM i1 WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.ledger_id = i1.ledger_id AND led.account_id = i1.account_id AND led.institution_transaction_id = i1.institution_transaction_id)),
@@ -269,26 +280,30 @@ _NEW = f"""{_HASHED},
 
 
 def _import(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, imports.ImportOutcome]:
-    parsed = _parsed(spark, sf_dir).withColumn("order_id", F.col("id"))
+    parsed = _parsed(spark, sf_dir).withColumns({"order_id": F.col("id"), "batch_id": F.expr(_HALF)})
     held = imports.enrich(parsed.filter("batch_id = 'B0'"))
-    problems = parsed.filter("batch_id = 'B1' and source_pos % 50 = 1").select("batch_id", F.lit("ERROR").alias("severity"))
-    return held, imports.import_batch(held, parsed.filter("batch_id = 'B1'"), problems)
+    incoming = parsed.filter("batch_id = 'B1'")
+    problems = incoming.filter("source_pos % 50 = 1").select("ledger_id", "batch_id", F.when(F.col("source_pos") % 100 == 1, "ERROR").otherwise("WARNING").alias("severity"))
+    return held, imports.import_batch(held, incoming, problems, source="OCR", imported_at=IMPORTED_AT)
 
 
-@query(f"WITH {_NEW} SELECT id AS order_id, merchant_key, dedup_hash FROM fresh")
+@query(f"WITH {_NEW} SELECT id AS order_id, ledger_id, merchant_key, dedup_hash FROM fresh")
 def import_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _import(spark, sf_dir)[1].new_rows.select("order_id", "merchant_key", "dedup_hash")
+    return _import(spark, sf_dir)[1].new_rows.select("order_id", "ledger_id", "merchant_key", "dedup_hash")
 
 
 @query(
-    f"""WITH {_NEW} SELECT 'B1' AS batch_id, p AS rows_parsed, i AS rows_imported, p - i AS rows_duplicate, f AS rows_failed, p > 0 AND (p - i) * 10 > p * 9 AS likely_reimport
-    FROM (SELECT (SELECT count(*) FROM inc) AS p, (SELECT count(*) FROM fresh) AS i, (SELECT count(*) FROM inc WHERE source_pos % 50 = 1) AS f)"""
+    f"""WITH {_NEW} SELECT ledger_id, 'B1' AS batch_id, p AS rows_parsed, coalesce(i, 0) AS rows_imported, p - coalesce(i, 0) AS rows_duplicate, f AS rows_failed,
+        p > 0 AND (p - coalesce(i, 0)) * 10 > p * 9 AS likely_reimport, true AS needs_review, '2024-01-02 03:04:05' AS imported_at
+    FROM (SELECT ledger_id, count(*) AS p, count(*) FILTER (source_pos % 100 = 1) AS f FROM inc GROUP BY ledger_id)
+    LEFT JOIN (SELECT ledger_id, count(*) AS i FROM fresh GROUP BY ledger_id) USING (ledger_id)"""
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _import(spark, sf_dir)[1].summary
+    """The second batch of each ledger; all ledgers use the same names for batches."""
+    return _import(spark, sf_dir)[1].summary.withColumn("imported_at", F.date_format("imported_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _in_order_sql(batches: int = 4) -> str:
+def _in_order_sql(select: str, batches: int = 4) -> str:
     """Each batch into what the batches before it left."""
     steps = ["led0 AS MATERIALIZED (SELECT * FROM h2 WHERE false)"]
     for n in range(batches):
@@ -298,27 +313,56 @@ def _in_order_sql(batches: int = 4) -> str:
             QUALIFY institution_transaction_id IS NULL OR row_number() OVER (PARTITION BY ledger_id, account_id, institution_transaction_id ORDER BY source_pos) = 1)"""
         )
         steps.append(f"led{n + 1} AS MATERIALIZED (SELECT * FROM led{n} UNION ALL SELECT * FROM new{n})")
-    return f"WITH {_HASHED}, {', '.join(steps)} SELECT id AS order_id, batch_id, merchant_key, dedup_hash FROM led{batches}"
+    return f"WITH {_hashed_sql()}, {', '.join(steps)} {select.replace('LEDGER', f'led{batches}')}"
+
+
+def _in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).withColumns({"order_id": F.col("id"), "batch_seq": F.substring("batch_id", 2, 9).cast("int")})
 
 
-@query(_in_order_sql())
+@query(_in_order_sql("SELECT id AS order_id, ledger_id, batch_id, merchant_key, dedup_hash FROM LEDGER"))
 def import_all_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four batches, one after another, into an empty ledger."""
-    parsed = _parsed(spark, sf_dir).withColumns({"order_id": F.col("id"), "batch_seq": F.substring("batch_id", 2, 9).cast("int")})
+    parsed = _in_batches(spark, sf_dir)
     empty = imports.enrich(parsed.filter(F.lit(False)))
-    return imports.import_many(empty, parsed).select("order_id", "batch_id", "merchant_key", "dedup_hash")
+    return imports.import_many(empty, parsed).select("order_id", "ledger_id", "batch_id", "merchant_key", "dedup_hash")
 
 
-@query(f"WITH {NOISE_SQL} SELECT batch_id AS import_batch_id, count(*) AS transactions, sum(amount_minor)::BIGINT AS amount_minor FROM noise WHERE batch_id <> 'B2' GROUP BY batch_id")
+@query(
+    _in_order_sql(
+        """SELECT ledger_id, batch_id AS id, p AS rows_parsed, coalesce(i, 0) AS rows_imported, p - coalesce(i, 0) AS rows_duplicate, f AS rows_failed, coalesce(i, 0) AS transactions, coalesce(a, 0)::BIGINT AS amount_minor
+        FROM (SELECT ledger_id, batch_id, count(*) AS p, count(*) FILTER (source_pos % 50 = 1) AS f FROM h2 GROUP BY ALL)
+        LEFT JOIN (SELECT ledger_id, batch_id, count(*) AS i, sum(amount_minor) AS a FROM LEDGER GROUP BY ALL) USING (ledger_id, batch_id)"""
+    )
+)
+def published_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches B0 and B1 published together, then all four: what readers of the last snapshot find by batch, and that importing again adds nothing."""
+    store = Store(spark, fresh_path(spark, "published"))
+    parsed = _in_batches(spark, sf_dir)
+    problems = parsed.filter("source_pos % 50 = 1").select("ledger_id", "batch_id", F.lit("line").alias("location"), F.lit("unreadable").alias("message"), F.lit("ERROR").alias("severity"), F.lit(None).cast("string").alias("raw_content"))
+    batches = parsed.groupBy("ledger_id", F.col("batch_id").alias("id")).agg(F.min("account_id").alias("account_id")).withColumns({"source": F.lit("CSV"), "file_name": F.col("id")})
+    imports.publish_import(store, batches.filter("id < 'B2'"), parsed, problems, imported_at=IMPORTED_AT)
+    imports.publish_import(store, batches, parsed, problems, imported_at=IMPORTED_AT)
+    if imports.publish_import(store, batches, parsed, problems, imported_at=IMPORTED_AT).number != 2:
+        raise RuntimeError("importing the same batches again published something")
+    found = store.read("transactions").groupBy("ledger_id", F.col("import_batch_id").alias("id")).agg(F.count(F.lit(1)).alias("transactions"), sum_minor(F.col("amount_minor")).alias("amount_minor"))
+    records = store.read("import_batches").select("ledger_id", "id", "rows_parsed", "rows_imported", "rows_duplicate", "rows_failed")
+    none = F.lit(0).cast("bigint")
+    return records.join(found, ["ledger_id", "id"], "left").withColumns({c: F.coalesce(c, none) for c in ("transactions", "amount_minor")})
+
+
+@query(f"WITH {NOISE_SQL} SELECT ledger_id, batch_id AS import_batch_id, count(*) AS transactions, sum(amount_minor)::BIGINT AS amount_minor FROM noise WHERE NOT (batch_id = 'B2' AND ledger_id = 'L7') GROUP BY ALL")
 def undo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch B2 of one ledger; the others have batches of that name, too."""
     tx = noise_ledger(spark, sf_dir).withColumnRenamed("batch_id", "import_batch_id")
-    left, _, _ = imports.undo_batch(tx, tx.select(F.col("import_batch_id").alias("id")).distinct(), "B2")
-    return left.groupBy("import_batch_id").agg(F.count(F.lit(1)).alias("transactions"), sum_minor(F.col("amount_minor")).alias("amount_minor"))
+    left, records, _ = imports.undo_batch(tx, tx.select("ledger_id", F.col("import_batch_id").alias("id")).distinct(), "L7", "B2")
+    sums = left.groupBy("ledger_id", "import_batch_id").agg(F.count(F.lit(1)).alias("transactions"), sum_minor(F.col("amount_minor")).alias("amount_minor"))
+    return sums.join(records.withColumnRenamed("id", "import_batch_id"), ["ledger_id", "import_batch_id"], "left_semi")
 
 
-@query(f"""WITH {_HASHED} SELECT DISTINCT dedup_hash FROM h2 WHERE batch_id = 'B1' AND dedup_hash IN (SELECT dedup_hash FROM h2 WHERE batch_id = 'B0')""")
+@query(f"WITH {_HALVES} SELECT DISTINCT ledger_id, dedup_hash FROM h2 n WHERE batch_id = 'B1' AND EXISTS (SELECT 1 FROM h2 o WHERE o.batch_id = 'B0' AND o.ledger_id = n.ledger_id AND o.dedup_hash = n.dedup_hash)")
 def existing_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = imports.assign_hashes(with_merchant_key(_parsed(spark, sf_dir)))
+    hashed = imports.assign_hashes(with_merchant_key(_parsed(spark, sf_dir).withColumn("batch_id", F.expr(_HALF))))
     return ledger.existing_hashes(hashed.filter("batch_id = 'B0'"), hashed.filter("batch_id = 'B1'"))
 
 
@@ -421,9 +465,9 @@ def _basic(tx: DataFrame) -> DataFrame:
 
 
 
-@query(f"WITH {NOISE_SQL} SELECT id, posted_date::VARCHAR AS posted_date, amount_minor FROM noise WHERE account_id = '7' ORDER BY noise.posted_date DESC, id DESC LIMIT 5 OFFSET 2")
+@query(f"WITH {NOISE_SQL} SELECT id, posted_date::VARCHAR AS posted_date, amount_minor FROM noise WHERE ledger_id = 'L7' AND account_id = '1' ORDER BY noise.posted_date DESC, id DESC LIMIT 5 OFFSET 2")
 def account_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _basic(ledger.account_page(noise_ledger(spark, sf_dir), "7", 5, 2))
+    return _basic(ledger.account_page(noise_ledger(spark, sf_dir), "L7", "1", 5, 2))
 
 
 @query(f"WITH {NOISE_SQL} SELECT id, posted_date::VARCHAR AS posted_date, amount_minor FROM noise WHERE posted_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'")
@@ -459,21 +503,132 @@ def mark_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("is_transfer").agg(F.count(F.lit(1)).alias("n"), sum_minor(F.col("amount_minor")).alias("amount_minor"))
 
 
-@query(f"WITH {NOISE_SQL} SELECT account_id, count(*) AS n FROM noise WHERE account_id <> '7' GROUP BY account_id")
+@query(
+    f"""WITH {NOISE_SQL}, n AS (SELECT *, ledger_id = 'L7' AND account_id = '1' AS gone FROM noise)
+    SELECT ledger_id, account_id, count(*) AS n, count(DISTINCT batch_id) AS batches FROM n WHERE NOT gone GROUP BY ALL"""
+)
 def delete_account_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account 1 of one ledger, with its transactions and batches; the others have accounts of that name, too."""
     tx = noise_ledger(spark, sf_dir)
-    accounts = tx.select(F.col("account_id").alias("id")).distinct()
-    batches = tx.select(F.col("batch_id").alias("id"), "account_id").distinct()
-    left = ledger.delete_account(ledger.Ledger(tx, batches, accounts), "7")
-    return left.transactions.join(left.accounts, F.col("account_id") == left.accounts["id"], "left_semi").groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    accounts = tx.select("ledger_id", F.col("account_id").alias("id")).distinct()
+    batches = tx.select("ledger_id", F.col("batch_id").alias("id"), "account_id").distinct()
+    left = ledger.delete_account(ledger.Ledger(tx, batches, accounts), "L7", "1")
+    key = ["ledger_id", "account_id"]
+    counts = left.transactions.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(left.import_batches.groupBy(*key).agg(F.count(F.lit(1)).alias("batches")), key)
+    return counts.join(left.accounts.withColumnRenamed("id", "account_id"), key, "left_semi")
 
 
-@query(f"WITH {NOISE_SQL} SELECT account_id, max(posted_date)::VARCHAR AS last_date, count(*) AS n FROM noise WHERE account_id::BIGINT % 2 = 1 GROUP BY account_id UNION ALL SELECT DISTINCT account_id, '2030-01-01', 0 FROM noise WHERE account_id::BIGINT % 2 = 0")
+@query(
+    f"""WITH {NOISE_SQL} SELECT ledger_id, CASE WHEN NOT (ledger_id = 'L7' AND batch_id = 'B2') THEN batch_id END AS import_batch_id, CASE WHEN NOT (ledger_id = 'L7' AND coalesce(category_id, '') = 'C3') THEN category_id END AS category_id, count(*) AS n
+    FROM noise GROUP BY ALL"""
+)
+def delete_batch_and_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's record and a category of one ledger go: its transactions stay without them, those of other ledgers as they are."""
+    tx = noise_ledger(spark, sf_dir).withColumnRenamed("batch_id", "import_batch_id")
+    batches = tx.select("ledger_id", F.col("import_batch_id").alias("id"), "account_id").distinct()
+    kept = ledger.delete_batch(ledger.Ledger(tx, batches, tx.select("ledger_id", F.col("account_id").alias("id")).distinct()), "L7", "B2").transactions
+    categories = tx.select("ledger_id", F.col("category_id").alias("id")).distinct().withColumn("parent_id", F.lit(None).cast("string"))
+    kept, _ = ledger.delete_category(kept, categories, "L7", "C3")
+    return kept.groupBy("ledger_id", "import_batch_id", "category_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {NOISE_SQL}, b AS (SELECT ledger_id, account_id, max(posted_date)::VARCHAR AS last_date, count(*) AS n FROM noise GROUP BY ALL)
+    SELECT ledger_id, account_id, CASE WHEN account_id::BIGINT % 2 = 1 THEN last_date ELSE '2030-01-01' END AS last_date, CASE WHEN account_id::BIGINT % 2 = 1 THEN n ELSE 0 END AS n FROM b"""
+)
 def upsert_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every account's last day; even accounts replaced by an update."""
-    base = noise_ledger(spark, sf_dir).groupBy("account_id").agg(F.max("posted_date").cast("string").alias("last_date"), F.count(F.lit(1)).alias("n"))
-    updates = base.filter(F.col("account_id").cast("long") % 2 == 0).select("account_id", F.lit("2030-01-01").alias("last_date"), F.lit(0).cast("bigint").alias("n"))
-    return ledger.upsert(base, updates, ["account_id"])
+    key = ["ledger_id", "account_id"]
+    base = noise_ledger(spark, sf_dir).groupBy(*key).agg(F.max("posted_date").cast("string").alias("last_date"), F.count(F.lit(1)).alias("n"))
+    updates = base.filter(F.col("account_id").cast("long") % 2 == 0).select(*key, F.lit("2030-01-01").alias("last_date"), F.lit(0).cast("bigint").alias("n"))
+    return ledger.upsert(base, updates, key)
+
+
+# -- accounts, batches, history ----------------------------------------------------------------
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account per customer: every seventh is archived, every third owes money by its kind."""
+    k = F.col("c_custkey")
+    kinds = F.array(*[F.lit(t) for t in ("CHECKING", "CREDIT_CARD", "SAVINGS", "LOAN", "CASH", "INVESTMENT")])
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.concat(F.lit("L"), k % 50).alias("ledger_id"),
+        F.expr("cast(c_custkey div 50 as string)").alias("id"),
+        F.col("c_name").alias("display_name"),
+        F.lit("Bank").alias("institution"),
+        F.get(kinds, (k % 6).cast("int")).alias("type"),
+        F.lit("USD").alias("currency"),
+        F.lpad((k % 10_000).cast("string"), 4, "0").alias("mask"),
+        (k % 7 == 0).alias("is_archived"),
+    )
+
+
+_ACCOUNTS = """a AS (SELECT 'L' || (c_custkey % 50) AS ledger_id, (c_custkey // 50)::VARCHAR AS id, c_name AS display_name,
+        ['CHECKING', 'CREDIT_CARD', 'SAVINGS', 'LOAN', 'CASH', 'INVESTMENT'][(c_custkey % 6 + 1)::INTEGER] AS type, c_custkey % 7 = 0 AS is_archived FROM customer)"""
+
+
+@query(f"WITH {_ACCOUNTS} SELECT ledger_id, id, display_name, type IN ('CREDIT_CARD', 'LOAN') AS is_liability, row_number() OVER (PARTITION BY ledger_id ORDER BY display_name) AS place FROM a WHERE NOT is_archived")
+def active_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active accounts by name, with their place in their ledger; those that do not fit an account's rules would be left out."""
+    rows = ledger.accounts_by_name(_accounts(spark, sf_dir).filter(valid_account()))
+    place = F.row_number().over(Window.partitionBy("ledger_id").orderBy("display_name"))
+    return rows.select("ledger_id", "id", "display_name", is_liability(F.col("type")).alias("is_liability"), place.alias("place"))
+
+
+@query(f"WITH {NOISE_SQL}, c AS (SELECT DISTINCT ledger_id, category_id AS id FROM noise WHERE category_id IS NOT NULL) SELECT ledger_id, id, 'Category ' || id AS name, CASE WHEN id = 'C1' THEN 'INCOME' ELSE 'EXPENSE' END AS kind FROM c WHERE id <> 'C5'")
+def active_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = noise_ledger(spark, sf_dir).filter("category_id is not null").select("ledger_id", F.col("category_id").alias("id")).distinct()
+    kind = F.when(F.col("id") == "C1", "INCOME").otherwise("EXPENSE")
+    rows = found.withColumns({"name": F.concat(F.lit("Category "), "id"), "kind": kind, "parent_id": F.lit(None).cast("string"), "is_essential": F.lit(False), "is_archived": F.col("id") == "C5"})
+    return ledger.categories_by_name(rows.filter(valid_category())).select("ledger_id", "id", "name", "kind")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch record for each account's day of orders."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(
+        F.concat(F.lit("L"), F.col("o_custkey") % 50).alias("ledger_id"), F.expr("concat('B', o_custkey div 50, '-', d)").alias("id"), F.expr("cast(o_custkey div 50 as string)").alias("account_id"),
+        (F.col("d").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, o_custkey)")).alias("imported_at"), F.col("n").alias("rows_parsed"), F.col("n").alias("rows_imported"), F.lit(0).cast("bigint").alias("rows_duplicate"), F.lit(0).cast("bigint").alias("rows_failed"),
+    )
+
+
+_BATCHES = """b AS (SELECT 'L' || (o_custkey % 50) AS ledger_id, 'B' || (o_custkey // 50) || '-' || o_orderdate::DATE AS id, (o_custkey // 50)::VARCHAR AS account_id, o_orderdate::DATE::TIMESTAMP + to_seconds(o_custkey) AS imported_at,
+        count(*) AS rows_parsed FROM orders GROUP BY o_custkey, o_orderdate::DATE)"""
+
+
+@query(f"WITH {_BATCHES} SELECT ledger_id, id, strftime(imported_at, '%Y-%m-%d %H:%M:%S') AS imported_at, rows_parsed FROM b ORDER BY b.imported_at DESC LIMIT 20")
+def recent_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 newest."""
+    rows = ledger.recent_batches(_batches(spark, sf_dir).filter(valid_batch()))
+    return rows.select("ledger_id", "id", F.date_format("imported_at", "yyyy-MM-dd HH:mm:ss").alias("imported_at"), "rows_parsed")
+
+
+@query(f"WITH {_BATCHES} SELECT id, strftime(imported_at, '%Y-%m-%d %H:%M:%S') AS imported_at FROM b WHERE ledger_id = 'L7' AND account_id = '1'")
+def batches_of_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.batches_of_account(_batches(spark, sf_dir), "L7", "1").select("id", F.date_format("imported_at", "yyyy-MM-dd HH:mm:ss").alias("imported_at"))
+
+
+@query(f"WITH {NOISE_SQL} SELECT ledger_id, id, posted_date::VARCHAR AS posted_date, amount_minor < 0 AS is_debit, amount_minor > 0 AS is_credit, row_number() OVER (PARTITION BY ledger_id ORDER BY noise.posted_date, id) AS place FROM noise")
+def full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions, the oldest first, with their place in their ledger."""
+    tx = ledger.full_history(noise_ledger(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("ledger_id").orderBy("posted_date", "id"))
+    return tx.select("ledger_id", "id", F.col("posted_date").cast("string").alias("posted_date"), is_debit(F.col("amount_minor")).alias("is_debit"), is_credit(F.col("amount_minor")).alias("is_credit"), place.alias("place"))
+
+
+@query(f"WITH {NOISE_SQL} SELECT 'all' AS what, count(*) AS transactions FROM noise UNION ALL SELECT 'one', count(*) FILTER (ledger_id = 'L7' AND id = '000000000007') FROM noise")
+def transaction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many there are, and how many of one id in one ledger."""
+    tx = noise_ledger(spark, sf_dir)
+    counts = [ledger.transaction_count(t).select(F.lit(n).alias("what"), "transactions") for n, t in (("all", tx), ("one", ledger.by_id(tx, "L7", "000000000007")))]
+    return counts[0].unionByName(counts[1])
+
+
+@query(f"WITH {_ACCOUNTS} SELECT ledger_id, id, display_name FROM a WHERE ledger_id <> 'L7' UNION ALL SELECT 'L7', 'default', 'My account' FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer)")
+def default_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ledger has no account yet and gets one; another has some and keeps them."""
+    accounts = _accounts(spark, sf_dir).filter("ledger_id <> 'L7'")
+    return imports.default_account(imports.default_account(accounts, "L7"), "L8").select("ledger_id", "id", "display_name")
 
 
 from . import statement_queries  # noqa: E402, F401 - its queries register themselves

@@ -17,8 +17,9 @@ TRANSACTIONS = (
 ACCOUNTS = "ledger_id string, id string, display_name string, institution string, type string, currency string, mask string, is_archived boolean"
 CATEGORIES = "ledger_id string, id string, name string, kind string, parent_id string, is_essential boolean, is_archived boolean"
 IMPORT_BATCHES = (
-    "ledger_id string, id string, account_id string, source string, imported_at timestamp, file_name string, rows_parsed int, rows_imported int, rows_duplicate int, rows_failed int"
+    "ledger_id string, id string, account_id string, source string, imported_at timestamp, file_name string, rows_parsed bigint, rows_imported bigint, rows_duplicate bigint, rows_failed bigint"
 )
+BATCH_PROBLEMS = "ledger_id string, batch_id string, location string, message string, severity string, raw_content string"
 MERCHANT_CLASSIFICATIONS = "ledger_id string, merchant_key string, service_class string, updated_at timestamp, display_name_override string"
 
 # Allowed names.
@@ -53,14 +54,19 @@ def imported_at_from_millis(millis: Column) -> Column:
     return F.timestamp_millis(millis)
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def import_batches_from_storage(rows: DataFrame) -> DataFrame:
+    """Batch records as a row store keeps them (milliseconds since 1970) to the declared types."""
+    return rows.withColumn("imported_at", imported_at_from_millis(F.col("imported_at")))
+
 
+def import_batches_to_storage(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("imported_at", F.unix_millis("imported_at"))
 
-def append_transactions(new_rows: DataFrame, path: str) -> None:
-    """New rows only, clustered so that a ledger's and a merchant's rows lie together and file statistics prune."""
-    new_rows.repartitionByRange("ledger_id", "merchant_key").sortWithinPartitions("ledger_id", "merchant_key", "posted_date").write.mode("append").parquet(path)
 
+def of_names(column: Column, allowed: list[str]) -> Column:
+    """An enumeration's value, kept by name; an unknown name raises in the row's task."""
+    return F.when(column.isNull() | column.isin(allowed), column).otherwise(F.raise_error(F.concat(F.lit("not one of the allowed names: "), column)))
 
-def write_problems(problems: DataFrame, path: str) -> None:
-    problems.write.mode("append").partitionBy("batch_id").parquet(path)
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)

@@ -35,7 +35,7 @@ class Statements(NamedTuple):
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, content, format: a row per file below the path."""
+    """file, content, format: a row per file below the path. Spark's file sources have no row for a file of no bytes."""
     return with_format(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")))
 
 
@@ -133,7 +133,9 @@ def csv_rows(files: DataFrame, delimiter: str | None = None) -> DataFrame:
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 text = (content or "").removeprefix("﻿")
                 mark = delimiter or _delimiter(text)
-                rows = list(_records(text, mark)) if text.strip() else []
+                rows = list(_records(text, mark))
+                if not rows:  # a blank file has no rows; an empty frame has no type for its lists
+                    continue
                 yield pd.DataFrame(
                     {"file": file, "source_pos": range(len(rows)), "line_no": [k for k, _ in rows], "fields": [[x or None for x in f] for _, f in rows], "delimiter": mark}
                 )

@@ -1,12 +1,13 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.merchants import with_merchant_key
 from ledgerloom.operators import imports, ledger
 from ledgerloom.plans import registry
-from ledgerloom.sources import schemas, statements
+from ledgerloom.sources import schemas, snapshots, statements
 from ledgerloom.streaming.imports import run_import_stream, statement_stream
 
 from .conftest import rows
@@ -15,7 +16,7 @@ PARSED = (
     "ledger_id string, account_id string, batch_id string, batch_seq long, source_pos long, posted_date date, amount_minor long, currency string, raw_description string, "
     "institution_transaction_id string, is_pending boolean"
 )
-PROBLEM = "batch_id string, severity string"
+PROBLEM = "ledger_id string, batch_id string, severity string"
 D = dt.date(2026, 3, 14)
 
 
@@ -30,7 +31,7 @@ def held(spark, items=()):
 
 
 def run(spark, before, items):
-    return imports.import_batch(held(spark, before), parsed(spark, items), spark.createDataFrame([("b1", "ERROR"), ("b1", "WARNING")], PROBLEM))
+    return imports.import_batch(held(spark, before), parsed(spark, items), spark.createDataFrame([("L", "b1", "ERROR"), ("L", "b1", "WARNING")], PROBLEM))
 
 
 def new(outcome):
@@ -93,22 +94,150 @@ def test_registered_import_of_all_batches(spark):
     assert rows(registry.QUERIES["import_all_batches"](spark, data), "order_id", "batch_id") == sorted(want, key=repr)
 
 
-def test_undo_and_edits(spark):
-    tx = held(spark, [("A", -1, None), ("B", -2, None)]).unionByName(imports.enrich(parsed(spark, [("C", -3, None)])).select(*imports.LEDGER_COLUMNS))
-    batches = spark.createDataFrame([("b0", "A"), ("b1", "A")], "id string, account_id string")
-    left, records, removed = imports.undo_batch(tx, batches, "b1")
-    assert (left.count(), rows(records, "id"), rows(removed)) == (2, [("b0",)], [(1,)])
-    book = ledger.Ledger(tx, batches, spark.createDataFrame([("A",)], "id string"))
-    assert [x.count() for x in ledger.delete_account(book, "A")] == [0, 0, 0]
-    assert ledger.delete_batch(book, "b1").transactions.filter("import_batch_id is null").count() == 1
+def in_ledgers(df, *names):
+    out = [df.withColumn("ledger_id", F.lit(n)) for n in names]
+    return out[0].unionByName(out[1])
+
+
+def test_undo_and_edits_touch_one_ledger(spark):
+    """Two ledgers with the same names of batches, accounts and categories."""
+    one = held(spark, [("A", -1, None), ("B", -2, None)]).unionByName(imports.enrich(parsed(spark, [("C", -3, None)])).select(*imports.LEDGER_COLUMNS))
+    tx = in_ledgers(one.withColumn("id", F.concat("merchant_key", "import_batch_id")), "L1", "L2")
+    batches = in_ledgers(spark.createDataFrame([("b0", "A"), ("b1", "A")], "id string, account_id string"), "L1", "L2")
+    left, records, removed = imports.undo_batch(tx, batches, "L1", "b1")
+    assert rows(left.groupBy("ledger_id").count()) == [("L1", 2), ("L2", 3)]
+    assert (rows(records, "ledger_id", "id"), rows(removed)) == ([("L1", "b0"), ("L2", "b0"), ("L2", "b1")], [(1,)])
+    book = ledger.Ledger(tx, batches, in_ledgers(spark.createDataFrame([("A",)], "id string"), "L1", "L2"))
+    assert [rows(x.groupBy("ledger_id").count()) for x in ledger.delete_account(book, "L1", "A")] == [[("L2", 3)], [("L2", 2)], [("L2", 1)]]
+    assert rows(ledger.delete_batch(book, "L1", "b1").transactions.filter("import_batch_id is null"), "ledger_id", "merchant_key") == [("L1", "C")]
+    assert rows(ledger.delete_batch(book, "L1", "b1").import_batches, "ledger_id", "id") == [("L1", "b0"), ("L2", "b0"), ("L2", "b1")]
     ids = tx.filter("merchant_key = 'A'").select("id")
-    assert rows(ledger.assign_category(tx, ids, "food"), "merchant_key", "category_id") == [("A", "food"), ("B", None), ("C", None)]
-    assert ledger.mark_transfer(tx, ids).filter("is_transfer").count() == 1
+    named = ledger.assign_category(tx, ids, "food")
+    assert rows(named.filter("ledger_id = 'L1'"), "merchant_key", "category_id") == [("A", "food"), ("B", None), ("C", None)]
+    categories = in_ledgers(spark.createDataFrame([("food", None), ("pizza", "food")], "id string, parent_id string"), "L1", "L2")
+    named, categories = ledger.delete_category(named, categories, "L2", "food")
+    assert rows(named.filter("category_id is not null"), "ledger_id", "merchant_key") == [("L1", "A")]
+    assert rows(categories, "ledger_id", "id", "parent_id") == [("L1", "food", None), ("L1", "pizza", "food"), ("L2", "pizza", None)]
+    assert ledger.mark_transfer(tx, ids).filter("is_transfer").count() == 2
     assert rows(ledger.uncategorised_merchants(tx)) == [("A",), ("B",), ("C",)]
-    assert ledger.account_page(tx, "A", 2, 2).count() == 1
+    assert ledger.account_page(tx, "L1", "A", 2, 2).count() == 1
+    assert rows(ledger.existing_hashes(tx.filter("ledger_id = 'L1'"), tx), "ledger_id") == [("L1",)] * 3
     assert rows(schemas.from_storage(schemas.to_storage(tx)), "id", "posted_date") == rows(tx, "id", "posted_date")
 
 
+def test_summary_by_ledger_with_review_flag_and_time(spark):
+    both = in_ledgers(parsed(spark, [("A", -1, None), ("B", -2, None)]), "L1", "L2")
+    problems = spark.createDataFrame([("L2", "b1", "ERROR"), ("L3", "b1", "ERROR")], PROBLEM)
+    when = dt.datetime(2026, 1, 2, 3, 4, tzinfo=dt.UTC)
+    first = imports.import_batch(held(spark), both.filter("ledger_id = 'L1'"), problems.limit(0)).new_rows.select(*imports.LEDGER_COLUMNS)
+    got = imports.import_batch(first, both, problems, source="OCR", imported_at=when).summary
+    assert rows(got, "ledger_id", "rows_parsed", "rows_imported", "rows_duplicate", "rows_failed", "likely_reimport", "needs_review") == [
+        ("L1", 2, 0, 2, 0, True, True), ("L2", 2, 2, 0, 1, False, True), ("L3", 0, 0, 0, 1, False, False)
+    ]
+    assert got.filter(F.col("imported_at") == F.lit(when)).count() == 3
+    assert not any(r["needs_review"] for r in imports.import_batch(first, both, problems, source="CSV").summary.collect())
+
+
+def test_one_large_account_and_long_chains(spark):
+    """An account with a third of all rows, repeats of one charge in every batch, and rows that wait for rows that wait."""
+    rng = random.Random(9)
+    items = []
+    for b in range(6):
+        for i in range(40):
+            big = rng.random() < 0.4
+            items.append(("L", "A" if big else rng.choice("BCDE"), f"b{b}", b, i, D, -rng.randint(1, 4), "USD", rng.choice(["X", "Y"]), rng.choice([None, *(f"F{k}" for k in range(12))]), False))
+    # r0 - r1 share a hash, r1 - r2 an id, r2 - r3 a hash, and so on: each waits for the one before.
+    items += [("C", "A", f"b{k}", k, 0, D, -100 - k // 2, "USD", "CHAIN", f"G{(k + 1) // 2}", False) for k in range(9)]
+    everything = spark.createDataFrame(items, PARSED)
+    seen, want = set(), []
+    for r in imports.enrich(everything).orderBy("batch_seq", "source_pos").collect():
+        keys = {(r["ledger_id"], r["dedup_hash"])} | ({(r["ledger_id"], r["account_id"], r["institution_transaction_id"])} if r["institution_transaction_id"] else set())
+        if not keys & seen:
+            seen |= keys
+            want.append((r["ledger_id"], r["batch_id"], r["source_pos"]))
+    got = imports.import_many(held(spark), everything)
+    assert rows(got, "ledger_id", "batch_id", "source_pos") == sorted(want, key=repr)
+    assert imports.import_many(got.select(*imports.LEDGER_COLUMNS), everything).count() == 0
+
+
+# -- published snapshots -----------------------------------------------------------------------
+
+BATCH = "ledger_id string, id string, account_id string, source string, file_name string"
+PROBLEMS = "ledger_id string, batch_id string, location string, message string, severity string, raw_content string"
+WHEN = dt.datetime(2026, 1, 2, 3, 4, 5)
+
+
+def importing(spark, *names):
+    batches = spark.createDataFrame([("L", n, "A", "OCR", f"{n}.csv") for n in names], BATCH)
+    everything = parsed(spark, [("A", -1, None), ("B", -2, "F1")], "b1", 1).unionByName(parsed(spark, [("B", -2, "F1"), ("C", -3, None)], "b2", 2))
+    return batches, everything, spark.createDataFrame([("L", "b1", "line 3", "no", "ERROR", "x"), ("L", "b1", "line 4", "hm", "WARNING", None), ("L", "b9", "file", "no", "ERROR", None)], PROBLEMS)
+
+
+def test_import_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    store = snapshots.Store(spark, root)
+    assert store.read("transactions").count() == 0 and store.snapshot().number == 0
+    imports.publish_import(store, *importing(spark, "b1"), imported_at=WHEN)
+    before = [rows(store.read(t)) for t in snapshots.TABLES]
+    assert [len(x) for x in before] == [2, 1, 2]
+    # Killed after each of the writes, and before the new number is published.
+    write, calls = snapshots.Store.write, []
+    for stop in ("transactions", "import_batches", "problems", "_point"):
+        with monkeypatch.context() as m:
+            def dies(self, table, df, stop=stop):
+                out = write(self, table, df)
+                if table == stop:
+                    raise RuntimeError("killed")
+                return out
+
+            m.setattr(snapshots.Store, "write", dies)
+            if stop == "_point":
+                m.setattr(snapshots.Store, "_point", lambda self, s: (_ for _ in ()).throw(RuntimeError("killed")))
+            with pytest.raises(RuntimeError, match="killed"):
+                imports.publish_import(store, *importing(spark, "b1", "b2"), imported_at=WHEN)
+        calls.append([rows(store.read(t)) for t in snapshots.TABLES])
+    assert calls == [before] * 4
+    assert imports.publish_import(store, *importing(spark, "b1", "b2"), imported_at=WHEN).number == 2
+    assert imports.publish_import(store, *importing(spark, "b1", "b2"), imported_at=WHEN).number == 2
+    assert rows(store.read("import_batches"), "id", "source", "file_name", "rows_parsed", "rows_imported", "rows_duplicate", "rows_failed") == [
+        ("b1", "OCR", "b1.csv", 2, 2, 0, 1), ("b2", "OCR", "b2.csv", 2, 1, 1, 0)
+    ]
+    assert rows(store.read("transactions"), "merchant_key", "import_batch_id") == [("A", "b1"), ("B", "b1"), ("C", "b2")]
+    assert rows(store.read("transactions", 1), "merchant_key") == [("A",), ("B",)]  # as it was
+    assert {r["imported_at"] for r in store.read("import_batches").collect()} == {WHEN}
+
+
+def test_two_jobs_at_once(spark, tmp_path, monkeypatch):
+    """The second finds the number taken, and starts again from what the first published."""
+    store = snapshots.Store(spark, str(tmp_path / "store"))
+    point, raced = snapshots.Store._point, []
+
+    def late(self, snapshot):
+        if not raced:
+            raced.append(1)
+            imports.publish_import(snapshots.Store(spark, self.root), *importing(spark, "b1"), imported_at=WHEN)
+        point(self, snapshot)
+
+    monkeypatch.setattr(snapshots.Store, "_point", late)
+    assert imports.publish_import(store, *importing(spark, "b1", "b2"), imported_at=WHEN).number == 2
+    assert rows(store.read("transactions"), "merchant_key") == [("A",), ("B",), ("C",)]
+    assert rows(store.read("import_batches"), "id") == [("b1",), ("b2",)]
+    with pytest.raises(snapshots.Conflict):
+        store.publish(snapshots.Snapshot(1, store.snapshot(1).folders, {}))
+
+
+def test_undo_and_compaction_are_published(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path / "store"))
+    imports.publish_import(store, *importing(spark, "b1"), imported_at=WHEN)
+    imports.publish_import(store, *importing(spark, "b2"), imported_at=WHEN, mark=("s", 4))
+    assert imports.publish_import(store, *importing(spark, "b7"), imported_at=WHEN, mark=("s", 4)).number == 2
+    held = [rows(store.read(t)) for t in snapshots.TABLES]
+    assert [len(f) for f in store.compacted().folders.values()] == [1, 1, 1] and [rows(store.read(t)) for t in snapshots.TABLES] == held
+    assert imports.publish_undo(store, "other", "b1") == 0 and imports.publish_undo(store, "L", "b1") == 2
+    assert [rows(store.read(t)) for t in snapshots.TABLES][:2] == [[r for r in held[0] if "b1" not in r], [r for r in held[1] if "b1" not in r]]
+    assert store.read("problems").count() == 0 and store.snapshot().marks == {"s": 4} and store.versions() == [1, 2, 3, 4, 5]
+
+
 OFX = "<OFX><CURDEF>USD<ACCTID>000987654321<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20260314120000[-8:PST]<TRNAMT>-4.75<FITID>1<NAME>SQ *BLUE BOTTLE COFFEE<MEMO>OAKLAND CA</STMTTRN>"
 OFX2 = "<?xml version='1.0'?><OFX><CURDEF>USD</CURDEF><STMTTRN><DTPOSTED>20260314</DTPOSTED><TRNAMT>-4.75</TRNAMT><NAME>A</NAME></STMTTRN><STMTTRN><DTPOSTED>x</DTPOSTED></STMTTRN></OFX>"
 QIF = "!Type:Bank\nD03/14'26\nT-4.75\nPSQ *BLUE BOTTLE COFFEE\nMOAKLAND CA\n^\nD3/13/2026\nU2,500.00\nN1042"
@@ -118,6 +247,8 @@ FILES = {
     "split.csv": "Value Date;Narrative;Withdrawal;Deposit\n13/02/2026;A, B, C;5,75;\n14/02/2026;D;;120,00\n",
     "guess.csv": "Col1,Col2,Col3\n03/14/2026,COFFEE SHOP,-4.75\n03/15/2026,BOOK STORE,-14.75\n",
     "none.csv": "hello\nworld\n",
+    "blank.csv": " \n\n \n",
+    "bom.csv": "\ufeff",
     "one.ofx": OFX,
     "two.qfx": OFX2,
     "empty.ofx": "<OFX></OFX>",
@@ -158,6 +289,8 @@ def test_statements(spark, tmp_path):
             ("chase.csv", "line 5", "ERROR"),
             ("guess.csv", "line 1", "ERROR"),  # Col1 reads as an amount, so the row is no header
             ("none.csv", "file", "ERROR"),
+            ("blank.csv", "file", "ERROR"),
+            ("bom.csv", "file", "ERROR"),
             ("two.qfx", "transaction 2", "ERROR"),
             ("empty.ofx", "file", "ERROR"),
         ],
@@ -169,18 +302,44 @@ def test_statements(spark, tmp_path):
     assert rows(statements.ofx_accounts(spark.createDataFrame([("x", OFX)], "file string, content string")), "account_mask") == [("4321",)]
 
 
+def test_blank_empty_and_null_files(spark):
+    files = statements.with_format(spark.createDataFrame([("a.csv", ""), ("b.csv", None), ("c.csv", "\n \n"), ("d.csv", "\ufeff"), ("e.csv", "\ufeff\n")], "file string, content string"))
+    assert statements.csv_rows(files).count() == 0
+    got = statements.parse_statements(files)
+    assert got.parsed.count() == 0 and rows(got.problems, "file", "message") == [(f"{c}.csv", "No rows found") for c in "abcde"]
+    assert rows(statements.preview(got)[0]) == [(f"{c}.csv", 0, 1, 0) for c in "abcde"]
+
+
+HEAD = "Date,Description,Amount,Running Bal.\n"
+
+
 def test_stream_adds_what_is_missing(spark, tmp_path):
-    drop, book = tmp_path / "drop", str(tmp_path / "ledger")
+    drop, root = tmp_path / "drop", str(tmp_path / "ledger")
     drop.mkdir()
     seen = []
-    go = lambda: run_import_stream(statement_stream(spark, str(drop)), book, str(tmp_path / "checkpoint"), ledger_id="L", account_id="A", on_change=lambda tx, ids: seen.append(tx.count()))
-    (drop / "a.csv").write_text("Date,Description,Amount,Running Bal.\n03/14/2026,SHOP,-1.00,5\n03/15/2026,SHOP,-2.00,3\n")
+    told = lambda change: seen.append((change.transactions.count(), change.new_rows.count(), rows(change.ledgers)))
+    go = lambda: run_import_stream(statement_stream(spark, str(drop)), root, str(tmp_path / "checkpoint"), ledger_id="L", account_id="A", on_change=told, clock=lambda: WHEN)
+    (drop / "a.csv").write_text(HEAD + "03/14/2026,SHOP,-1.00,5\n03/15/2026,SHOP,-2.00,3\n")
     q = go()
     q.processAllAvailable()
-    (drop / "b.csv").write_text("Date,Description,Amount,Running Bal.\n03/15/2026,SHOP,-2.00,3\n03/16/2026,SHOP,-3.00,0\n")
+    (drop / "b.csv").write_text(HEAD + "03/15/2026,SHOP,-2.00,3\n03/16/2026,SHOP,-3.00,0\nsoon,SHOP,-3.00,0\n")
+    (drop / "c.csv").write_text("")  # Spark's file sources have no row for a file of no bytes
+    (drop / "d.csv").write_text("\n \n")
+    q.processAllAvailable()
+    q.stop()
+    store = snapshots.Store(spark, root)
+    assert [s[:2] for s in seen] == [(2, 2), (3, 1)] and seen[1][2] == [("L",)] and store.read("transactions").count() == 3
+    records = [("a.csv", "A", "CSV", 2, 2, 0, 0), ("b.csv", "A", "CSV", 2, 1, 1, 1), ("d.csv", "A", "CSV", 0, 0, 0, 1)]
+    assert rows(store.read("import_batches"), "file_name", "account_id", "source", "rows_parsed", "rows_imported", "rows_duplicate", "rows_failed") == records
+    assert rows(store.read("problems"), "location", "severity") == [("file", "ERROR"), ("line 4", "ERROR")]
+    # The last epoch runs once more, as after a failure between its publication and its commit.
+    for f in (tmp_path / "checkpoint" / "commits").glob("*1*"):
+        f.unlink()
+    q = go()
     q.processAllAvailable()
     q.stop()
-    assert seen == [2, 3] and spark.read.parquet(book).count() == 3
+    assert store.snapshot().number == 2 and rows(store.read("import_batches"), "file_name", "account_id", "source", "rows_parsed", "rows_imported", "rows_duplicate", "rows_failed") == records
+    assert store.read("transactions").count() == 3 and store.read("problems").count() == 2 and len(seen) == 2
 
 
 def test_ledgers_of_equal_names_do_not_count_together(spark):
