@@ -16,9 +16,10 @@ from ..functions.money import allocate, is_credit, is_debit, is_liability, perce
 from ..functions.reference import CATALOGUE, CITIES, BRAND_ALIASES, SERVICE_CLASSES, STATES
 from ..operators import imports, ledger, subscriptions
 from ..operators.recurring import active_series, confidence_tier, detect_recurring
-from ..sources.schemas import valid_account, valid_batch, valid_category
+from ..sources.schemas import ACCOUNTS, valid_account, valid_batch, valid_category
 from ..sources.shared import fresh_path
 from ..sources.snapshots import Store
+from ..streaming import live, reports
 from .driver_ledger import AS_OF, NOISE_SQL, RHYTHM_SQL, noise_ledger, rhythm_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +172,53 @@ def classified_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subs(spark, sf_dir).select("ledger_id", "merchant_key", "service_class", "is_overridden", "is_known")
 
 
+# -- refresh and live queries ------------------------------------------------------------------
+
+_REFRESHED = _SERIES.replace("FROM tx WHERE amount_minor < 0", "FROM tx WHERE (account_id <> 'A2' OR length(ledger_id) = 2) AND amount_minor < 0")
+
+
+@query(
+    f"""WITH {_REFRESHED}, {_DUPLICATES} SELECT s.*, coalesce(saving, 0)::BIGINT AS saving_minor FROM
+    (SELECT ledger_id, currency, count(*) AS active, sum(annual_minor)::BIGINT AS annual_minor, sum(monthly_minor)::BIGINT AS monthly_minor FROM subs WHERE is_active GROUP BY ALL) s
+    LEFT JOIN (SELECT ledger_id, sum(saving_minor) AS saving FROM dup GROUP BY ledger_id) u USING (ledger_id)"""
+)
+def refreshed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all ledgers without one of the accounts; then ledgers L0 to L9 get its transactions, and their reports alone are made anew."""
+    tx, folder = rhythm_ledger(spark, sf_dir), fresh_path(spark, "reports")
+    overrides, ten = _overrides(tx), F.length("ledger_id") == 2
+    reports.refresh_reports(tx.filter("account_id <> 'A2'"), AS_OF, folder, overrides=overrides)
+    reports.refresh_reports(tx.filter(ten | (F.col("account_id") != "A2")), AS_OF, folder, overrides=overrides, changed=tx.filter(ten).select("ledger_id"))
+    return reports.read_report(spark, folder, "totals")
+
+
+@query(
+    """SELECT 'L' || (c_custkey % 50) AS ledger_id, c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 4 = 1 THEN 'Renamed ' || c_custkey ELSE c_name END AS display_name,
+        CASE WHEN c_custkey % 4 = 1 THEN 3 ELSE 1 END::BIGINT AS version FROM customer WHERE c_custkey % 5 <> 2 AND c_custkey % 3 <> 0"""
+)
+def live_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of edits as a stream: all accounts; every third archived and every fifth deleted; every fourth renamed, after an older
+    version of it. The active ones of the table that the stream keeps."""
+    k = F.col("c_custkey")
+    held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.concat(F.lit("L"), k % 50).alias("ledger_id"), k.cast("string").alias("id"), F.col("c_name").alias("display_name"), F.lit("Bank").alias("institution"), F.lit("CASH").alias("type"), F.lit("USD").alias("currency"),
+        F.lit(None).cast("string").alias("mask"), F.lit(False).alias("is_archived"), F.lit(1).cast("bigint").alias("version"), F.lit(False).alias("is_deleted"),
+    )
+    key = F.col("id").cast("long")
+    gone = held.filter((key % 5 == 2) | (key % 3 == 0)).withColumns({"version": F.lit(2).cast("bigint"), "is_archived": key % 3 == 0, "is_deleted": key % 5 == 2})
+    renamed = held.filter((key % 4 == 1) & (key % 5 != 2)).withColumns({"version": F.lit(3).cast("bigint"), "is_archived": key % 3 == 0, "display_name": F.concat(F.lit("Renamed "), "id")})
+    older = renamed.withColumns({"version": F.lit(0).cast("bigint"), "display_name": F.lit("too late")})
+    edits, root, checkpoint = (fresh_path(spark, n) for n in ("edits", "live", "live-state"))
+    schema = f"{ACCOUNTS}, version bigint"
+    for part in (held, gone, renamed.unionByName(older)):
+        part.write.mode("append").parquet(edits)
+        q = live.run_live_query(spark.readStream.schema(held.schema).parquet(edits), root, checkpoint, schema=schema, key=["ledger_id", "id"])
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    return ledger.accounts_by_name(Store(spark, root, {"rows": schema}).read("rows")).select("ledger_id", "id", "display_name", "version")
+
+
 # -- descriptors -------------------------------------------------------------------------------
 
 
