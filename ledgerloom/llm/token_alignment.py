@@ -24,22 +24,24 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from .common import Recent, cut, give_back, held
 from .pieces import WORD_MARK, load, shipped
-from .sentencepiece_codec import Lattice
 from .token_files import _RARE, CUT, LibraryIds
 from .word_tables import slices, split_at
 
 #: Characters of texts whose records are sorted together, and stretches laid out at once.
-TEXTS = 4_000_000
+TEXTS = 3_000_000
 WINDOW = 1_000_000
 #: Parts that B ids are dealt to. Each gives every slice of documents one row back, so they do not grow with the corpus; lanes do.
 PARTS = 32
 #: Records of a lane, at about two bytes each.
 LANE = 20_000_000
 #: Distinct stretches that a Python process keeps.
-KEPT = 100_000
+KEPT = 120_000
+#: Stretches that a tokenizer gets in one text, a line each.
+LINES = 256
 LEVEL = 3
 
 
@@ -74,20 +76,26 @@ class Aligner:
         self.library.special = []
         letters = byte_letters()
         added = {t["content"] for t in spec.get("added_tokens", [])}
-        self.a_bytes: dict[int, bytes] = {}
-        for token, i in self.library.tokenizer.get_vocab(with_added_tokens=True).items():
+        vocab = self.library.tokenizer.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
             self.a_bytes[i] = token.encode() if token in added else bytes(letters[c] for c in token)
-        self.lattice = Lattice(load(b))
-        self.model = self.lattice.model
+        self.model = load(b)
         self.b_bytes = self.model.surface
+        self.pieces = SentencePieceProcessor(model_proto=b)
+        self.a_length, self.b_length = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
         self.known = Recent(KEPT)
         inner = self.model._inner
-        # Where B's pieces allow it, a line break is a stretch of its own; a space begins one in any case.
-        lines = not any("\n" in pair for pair in inner)
-        before = r"[ \n]" if lines else " "
-        self.cuts = [(rf"([^\s])({before})", rf"\1{CUT}\2")]
-        if lines:
+        # Where B's pieces allow it, a line break is a stretch of its own, and a closing mark starts one behind a letter; a space does in any case.
+        line = self.pieces.encode("\n")
+        self.line = line[-1] if len(line) == 2 and self.model.dummy_prefix and not any("\n" in pair for pair in inner) else None
+        self.cuts = [(rf"([^\s])({' ' if self.line is None else r'[ \n]'})", rf"\1{CUT}\2")]
+        if self.line is not None:
             self.cuts.append((f"{CUT}\n([^\\s{CUT}])", f"{CUT}\n{CUT}\\1"))
+            marks = "".join(c for c in ".,;:!?" if not any(x.isalpha() and y == c for x, y in inner))
+            if marks:
+                self.cuts.append((rf"(\pL)([{marks}])", rf"\1{CUT}\2"))
 
     def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(where each text's stretches start and the last one's end, the number of each stretch, the distinct stretches) of space + text."""
@@ -107,22 +115,40 @@ class Aligner:
         numbers = np.array([place.setdefault(w, len(place)) for p in parts for w in p], dtype=np.int64)
         return np.cumsum([0, *map(len, parts)]), numbers, list(place)
 
+    def _b_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(B's ids of these stretches, where each one's start and the last one's end). B puts a space in front of the first character of what it is
+        asked for. Stretches without line breaks are asked for in lines, whose breaks' own id tells them apart."""
+        if self.line is None:  # then all stretches start with a space
+            every = [np.array(x, dtype=np.int64) for x in self.pieces.encode([w[1:] for w in words], num_threads=1)]
+        elif any("\n" in w for w in words):
+            every = [np.array(x[2:], dtype=np.int64) for x in self.pieces.encode(["\n" + w for w in words], num_threads=1)]
+        else:
+            groups = [words[i : i + LINES] for i in range(0, len(words), LINES)]
+            ids = np.concatenate([np.array(x, dtype=np.int64)[1:] for x in self.pieces.encode(["\n" + "\n".join(g) for g in groups], num_threads=1)])
+            breaks = ids == self.line
+            return ids[~breaks], np.append(np.cumsum(~breaks)[breaks], int((~breaks).sum()))
+        return np.concatenate(every), np.cumsum([0, *map(len, every)])
+
+    def _a_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.library._values(words)
+        return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64), np.cumsum([0, *(len(x) // 4 for x in ids)])
+
     def _align(self, words: list[str]) -> list[Stretch]:
         """Both tokenizations of these distinct stretches side by side."""
         raw = [w.encode() for w in words]
-        every = []
-        for ids, spelled, kind in ((self.library._values(words), self.a_bytes, "<u4"), (self.lattice._values(words), self.b_bytes, "<i4")):
-            flat = np.frombuffer(b"".join(ids), dtype=kind).astype(np.int64)
-            pieces = [spelled[i] for i in flat.tolist()]
-            ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
-            border = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            every.append((flat, ends, border, [b"".join(pieces[a:b]) == r for a, b, r in zip(border[:-1].tolist(), border[1:].tolist(), raw, strict=True)]))
-        sound = [x and y for x, y in zip(every[0][3], every[1][3], strict=True)]
-        if not all(sound):
-            rest = [w for w, ok in zip(words, sound, strict=True) if ok]
+        sizes, whole = list(map(len, raw)), b"".join(raw)
+        every, sound = [], np.ones(len(words), dtype=bool)
+        for (flat, border), spelled, length in ((self._a_ids(words), self.a_bytes, self.a_length), (self._b_ids(words), self.b_bytes, self.b_length)):
+            ends = np.cumsum(length[flat])
+            if b"".join(map(spelled.__getitem__, flat.tolist())) != whole or np.diff(np.concatenate([[0], ends])[border]).tolist() != sizes:
+                pieces = list(map(spelled.__getitem__, flat.tolist()))
+                sound &= [b"".join(pieces[x:y]) == r for x, y, r in zip(border[:-1].tolist(), border[1:].tolist(), raw, strict=True)]
+            every.append((flat, ends, border))
+        if not sound.all():
+            rest = [w for w, ok in zip(words, sound.tolist(), strict=True) if ok]
             good = iter(self._align(rest) if rest else ())
-            return [next(good) if ok else UNSOUND for ok in sound]
-        (a, a_end, a_border, _), (b, b_end, b_border, _) = every
+            return [next(good) if ok else UNSOUND for ok in sound.tolist()]
+        (a, a_end, a_border), (b, b_end, b_border) = every
         both = np.intersect1d(a_end, b_end, assume_unique=True)
         first = np.searchsorted(b_end, np.concatenate([[0], a_end[:-1]]), side="right")
         last = np.searchsorted(b_end, a_end, side="left")  # the one that holds A's last byte
@@ -131,7 +157,7 @@ class Aligner:
         links = (b[at] << 32 | np.repeat(a, times)).astype("<i8").tobytes()
         link_border = np.concatenate([[0], np.cumsum(times)])[a_border].tolist()
         # A comma between ids, a bar or semicolon where a group of A or B ends.
-        groups_a, groups_b = (_joined(ids, np.searchsorted(end, both)) for ids, end in ((a, a_end), (b, b_end)))
+        groups_a, groups_b = (_joined(list(map(names.__getitem__, ids.tolist())), np.searchsorted(end, both)) for names, ids, end in ((self.a_names, a, a_end), (self.b_names, b, b_end)))
         group = np.searchsorted(both, np.concatenate([[0], a_end])[a_border], side="right").tolist()
         texts = [f"{x}|{y}" for x, y in zip(groups_a, groups_b, strict=True)]
         ab, bb = a_border.tolist(), b_border.tolist()
@@ -143,8 +169,9 @@ class Aligner:
     def look_up(self, words: list[str]) -> list[Stretch]:
         values, gaps = self.known.with_gaps(words)
         new = [words[k] for k in gaps if words[k] not in self.known.old]
-        if new:
-            self.known.update(zip(new, self._align(new), strict=True))
+        for part in ([w for w in new if "\n" not in w], [w for w in new if "\n" in w]):
+            if part:
+                self.known.update(zip(part, self._align(part), strict=True))
         for k in gaps:
             values[k] = self.known[words[k]]
         self.known.trim()
@@ -154,9 +181,8 @@ class Aligner:
         return bool(text) and WORD_MARK not in text and self.model.normalised(text) == " " + text
 
 
-def _joined(ids: np.ndarray, last: np.ndarray) -> list[str]:
+def _joined(text: list[str], last: np.ndarray) -> list[str]:
     """The ids of each group, whose last token's place is given, with commas between them."""
-    text = list(map(str, ids.tolist()))
     return [text[i] if i == j else ",".join(text[i : j + 1]) for i, j in zip([0, *(last[:-1] + 1).tolist()], last.tolist(), strict=True)]
 
 
