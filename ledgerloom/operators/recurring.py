@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import let
@@ -73,44 +73,31 @@ def daily_charges(tx: DataFrame) -> DataFrame:
     )
 
 
-def explained_gaps(gaps: Column) -> Column:
-    """For each cadence (n, skipped): how many of the gaps it explains, and how many charges that takes as missed."""
-    windows = F.array(*[F.struct(F.lit(d).alias("days"), F.lit(t).alias("tolerance")) for _, d, t, _ in CADENCES])
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("skipped"))
-
-    def count(window: Column) -> Column:
-        def add(so_far: Column, gap: Column) -> Column:
-            more = lambda p: F.struct((so_far["n"] + F.when(p.isNotNull(), 1).otherwise(0)).alias("n"), (so_far["skipped"] + F.coalesce(p - 1, F.lit(0))).alias("skipped"))
-            return let(periods_of_gap(gap, window["days"], window["tolerance"]), more)
-
-        return F.aggregate(gaps, none, add)
-
-    return F.transform(windows, count)
-
-
 def detect_recurring(tx: DataFrame, *, min_occurrences: int = 3, min_confidence: float = 0.4) -> DataFrame:
     """A row per recurring merchant: ledger_id, merchant_key, cadence, charges, missed, matched, gaps, confidence, typical_minor,
     currency, first_seen, last_seen, next_expected, annual_minor, monthly_minor, history (posted_date, amount_minor, ...).
 
     A merchant's group has a row for each day that it charges on, so it is bounded by the calendar (some 3,650 rows in ten years), whatever the number
-    of its transactions. Gaps and all that follows from them are told from that one array."""
-    day = F.struct("posted_date", "amount_minor", "currency", "transaction_id")
+    of its transactions. Days are dealt by merchant once; gaps, sums and the group use that dealing."""
+    by_day = Window.partitionBy("ledger_id", "merchant_key").orderBy("posted_date")
+    days = daily_charges(tx).withColumns({"gap": F.datediff("posted_date", F.lag("posted_date").over(by_day)), "first_day": F.first("posted_date").over(by_day)})
+    # How many gaps each cadence explains and how many charges that takes as missed: plain sums, for all cadences at once.
+    periods = {f"p{i}": periods_of_gap(F.col("gap"), F.lit(d), F.lit(t)) for i, (_, d, t, _) in enumerate(CADENCES)}
     merchants = (
-        daily_charges(tx)
+        days.withColumns(periods)
         .groupBy("ledger_id", "merchant_key")
-        .agg(F.count(F.lit(1)).cast("int").alias("charges"), F.sort_array(F.collect_list(day)).alias("history"))
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("charges"),
+            F.bool_and(same_calendar_position(F.col("first_day"), F.col("posted_date"))).alias("steady"),
+            F.sort_array(F.collect_list(F.struct("posted_date", "amount_minor", "currency", "transaction_id"))).alias("history"),
+            F.array(*[F.count(p) for p in periods]).alias("fits"),
+            F.array(*[F.coalesce(F.sum(F.col(p) - 1), F.lit(0)) for p in periods]).alias("skips"),
+        )
         .filter(F.col("charges") >= max(min_occurrences, 2))
     )
     between = F.zip_with(F.slice("history", 1, F.col("charges") - 1), F.slice("history", 2, F.col("charges")), lambda a, b: F.datediff(b["posted_date"], a["posted_date"]))
-    first = F.col("history")[0]["posted_date"]
-    merchants = merchants.withColumns(
-        {
-            "gaps": F.array_sort(between),
-            "steady": F.forall("history", lambda x: same_calendar_position(first, x["posted_date"])),
-            "amounts": F.array_sort(F.transform("history", lambda x: x["amount_minor"])),
-        }
-    ).withColumn("explained", explained_gaps(F.col("gaps")))
-    majority = F.filter(F.transform("explained", lambda e, i: F.struct(e["n"].alias("n"), (-i).alias("i"))), lambda x: x["n"] > F.floor(F.size("gaps") / 2))
+    merchants = merchants.withColumns({"gaps": F.array_sort(between), "amounts": F.array_sort(F.transform("history", lambda x: x["amount_minor"]))})
+    majority = F.filter(F.transform("fits", lambda n, i: F.struct(n.alias("n"), (-i).alias("i"))), lambda x: x["n"] > F.floor(F.size("gaps") / 2))
     guess = F.coalesce(let(upper_median(F.col("gaps")), cadence_number_of_gap), (-F.array_max(majority)["i"]).cast("int"))
     four_weekly, monthly = 2, 3
     number = let(guess, lambda g: F.when(g.isin(four_weekly, monthly), F.when(F.col("steady"), monthly).otherwise(four_weekly)).otherwise(g))
@@ -120,8 +107,8 @@ def detect_recurring(tx: DataFrame, *, min_occurrences: int = 3, min_confidence:
         .withColumns(
             {
                 "n_gaps": F.size("gaps"),
-                "matched": F.get("explained", F.col("number"))["n"],
-                "missed": F.get("explained", F.col("number"))["skipped"],
+                "matched": F.get("fits", F.col("number")).cast("int"),
+                "missed": F.get("skips", F.col("number")).cast("int"),
                 "cadence": _of_number(F.col("number"), [n for n, *_ in CADENCES]),
                 "_days": _of_number(F.col("number"), [d for _, d, _, _ in CADENCES]),
             }

@@ -1,12 +1,12 @@
 """Statement files (CSV, OFX/QFX, QIF) to transactions and problems, many files in parallel.
 
-A file is a row; files are a few MB at most. OFX and QIF are read by built-in functions alone. CSV needs a
-tokeniser with state, so its rows come from mapInPandas, file by file; all that follows is built in.
+A file is a row; files are a few MB at most. OFX and QIF are read by built-in functions alone, and so are CSV files whose quotes stand
+where fields begin and end: what stands between them is told by counting quotes. CSV files with other quotes need a tokeniser with state,
+and only their rows come from mapInPandas.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import parse_amount_minor, parse_decimal, trimmed
+from ..functions.amounts import let, parse_amount_minor, parse_decimal, trimmed
 from ..functions.dates import infer_date_order, parse_date
 from ..functions.money import with_scale
 from ..functions.reference import HEADER_WORDS, MAPPING, bank_profiles
+from .shared import settled
 
 SNIFFED = 512
 #: Rows looked at when columns are told by their content, lines when the delimiter is.
@@ -77,18 +78,43 @@ def _file_problem(files: DataFrame, message: str) -> DataFrame:
 # -- CSV ---------------------------------------------------------------------------------------
 
 
-def _delimiter(text: str) -> str:
-    lines = [x for x in text.splitlines() if x.strip()][:SAMPLED_LINES]
-    best, best_score = ",", -1.0
-    for d in DELIMITERS:
-        # What stands at even places between quotes is outside of them.
-        counts = Counter(sum(part.count(d) for part in line.split('"')[::2]) for line in lines)
-        if not lines or set(counts) == {0}:
-            continue
-        n, times = counts.most_common(1)[0]
-        if (score := times / len(lines) * n) > best_score:
-            best, best_score = d, score
-    return best
+_BREAK = "\r\n|\r|\n"
+_EDGES = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+#: Stand for a delimiter and line breaks inside quotes: characters that no text has a meaning for.
+_KEPT_DELIMITER, _KEPT_RETURN, _KEPT_LINE = "\ue000", "\ue001", "\ue002"
+
+
+def _bare(text: Column) -> Column:
+    """Without white space of any kind at the edges."""
+    return F.regexp_replace(text, _EDGES, "")
+
+
+def detected_delimiter(text: Column) -> Column:
+    """Of the delimiters, the one whose usual number on the first lines, times the share of lines that have just so many, is greatest; the first
+    of equal ones; a comma if no line has any. What stands at even places between quotes of a line is outside of them."""
+    lines = F.slice(F.filter(F.split(text, _BREAK), lambda x: _bare(x) != ""), 1, SAMPLED_LINES)
+    outside = F.transform(lines, lambda x: F.array_join(F.filter(F.split(x, '"'), lambda _, i: i % 2 == 0), ""))
+
+    def score(place: int, mark: str) -> Column:
+        def of(counts: Column) -> Column:
+            usual = F.array_max(F.transform(counts, lambda n, i: F.struct(F.size(F.filter(counts, lambda m: m == n)).alias("lines"), (-i).alias("i"), n.alias("n"))))
+            return F.when(F.exists(counts, lambda n: n > 0), F.struct((usual["lines"] / F.size(counts) * usual["n"]).alias("score"), F.lit(-place).alias("place"), F.lit(mark).alias("mark")))
+
+        return let(F.transform(outside, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))), of)
+
+    scores = [score(k, d) for k, d in enumerate(DELIMITERS)]
+    return F.coalesce(F.greatest(*scores)["mark"], F.lit(DELIMITERS[0]))
+
+
+def _unquoted(pieces: Column, mark: Column) -> Column:
+    """The text whose pieces between quotes these are, without its quotes, delimiters and line breaks inside them kept apart by other
+    characters; null if a quote stands elsewhere than at the edge of a field. An empty piece outside is a doubled quote."""
+    last = F.size(pieces) - 1
+    edge = lambda c: (c == mark) | c.isin("\r", "\n")
+    at_edges = lambda p, i: (i % 2 == 1) | (p == "") | (((i == 0) | edge(F.substring(p, 1, 1))) & ((i == last) | edge(F.right(p, F.lit(1)))))
+    inside = lambda p: F.replace(F.replace(F.replace(p, mark, F.lit(_KEPT_DELIMITER)), F.lit("\r"), F.lit(_KEPT_RETURN)), F.lit("\n"), F.lit(_KEPT_LINE))
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, inside(p)).when((p == "") & (i > 0) & (i < last), '"').otherwise(p)), "")
+    return F.when((last % 2 == 0) & F.forall(F.transform(pieces, at_edges), lambda ok: ok), joined)
 
 
 def _records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
@@ -125,22 +151,40 @@ def _records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
         i += 1
 
 
+def _fields(line: Column, mark: Column) -> Column:
+    """The trimmed fields of a line, blank ones null."""
+    back = lambda x: F.replace(F.replace(F.replace(x, F.lit(_KEPT_DELIMITER), mark), F.lit(_KEPT_RETURN), F.lit("\r")), F.lit(_KEPT_LINE), F.lit("\n"))
+    return F.transform(F.split(line, F.concat(F.lit("\\Q"), mark, F.lit("\\E"))), lambda x: F.nullif(_bare(back(x)), F.lit("")))
+
+
 def csv_rows(files: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """file, source_pos (from 0), line_no, fields (blank ones null), delimiter: the rows of CSV files."""
+    """file, source_pos (from 0), line_no, fields (blank ones null), delimiter: the rows of CSV files, blank ones left out. Rows end with
+    \\n, \\r or both; quotes open at the start of a field only and double inside. A blank, empty or null file has no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"], strict=True):
-                text = (content or "").removeprefix("﻿")
-                mark = delimiter or _delimiter(text)
+            for file, text, mark in zip(batch["file"], batch["text"], batch["delimiter"], strict=True):
                 rows = list(_records(text, mark))
-                if not rows:  # a blank file has no rows; an empty frame has no type for its lists
-                    continue
-                yield pd.DataFrame(
-                    {"file": file, "source_pos": range(len(rows)), "line_no": [k for k, _ in rows], "fields": [[x or None for x in f] for _, f in rows], "delimiter": mark}
-                )
-
-    return files.select("file", "content").mapInPandas(run, "file string, source_pos long, line_no long, fields array<string>, delimiter string")
+                if rows:  # an empty frame has no type for its lists
+                    yield pd.DataFrame({"file": file, "source_pos": range(len(rows)), "line_no": [k for k, _ in rows], "fields": [[x or None for x in f] for _, f in rows], "delimiter": mark})
+
+    text = F.regexp_replace("content", "^\ufeff", "")
+    told = files.filter("content is not null").select("file", text.alias("text"))
+    told = told.withColumn("delimiter", detected_delimiter(F.col("text")) if delimiter is None else F.lit(delimiter))
+    kept = f"[{_KEPT_DELIMITER}{_KEPT_RETURN}{_KEPT_LINE}]"
+    told = told.withColumn("plain", F.when(~F.col("text").rlike(kept), _unquoted(F.split("text", '"'), F.col("delimiter"))))
+    mark, over_lines = F.col("delimiter"), F.col("plain").contains(_KEPT_LINE)
+    # Where no field goes over a line break, a row's line is its place.
+    lines = F.transform(F.split("plain", _BREAK), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), _fields(x, mark).alias("fields")))
+    simple = told.filter(~over_lines).select("file", "delimiter", F.posexplode(F.filter(lines, lambda r: F.exists(r["fields"], lambda x: x.isNotNull()))).alias("source_pos", "r"))
+    simple = simple.select("file", F.col("source_pos").cast("bigint").alias("source_pos"), "r.line_no", "r.fields", "delimiter")
+    each = told.filter(over_lines).select("file", "delimiter", F.posexplode(F.split("plain", _BREAK)).alias("i", "line"))
+    before = Window.partitionBy("file").orderBy("i")
+    inner = F.length("line") - F.length(F.replace("line", F.lit(_KEPT_LINE), F.lit("")))
+    each = each.withColumns({"line_no": F.col("i") + 1 + F.coalesce(F.sum(inner).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "fields": _fields(F.col("line"), mark)})
+    each = each.filter(F.exists("fields", lambda x: x.isNotNull())).select("file", (F.row_number().over(before) - 1).cast("bigint").alias("source_pos"), F.col("line_no").cast("bigint").alias("line_no"), "fields", "delimiter")
+    odd = told.filter(F.col("plain").isNull()).select("file", "text", "delimiter").mapInPandas(run, "file string, source_pos long, line_no long, fields array<string>, delimiter string")
+    return simple.unionByName(each).unionByName(odd)
 
 
 def normalise_header(label: Column) -> Column:
@@ -311,7 +355,7 @@ def csv_transactions(files: DataFrame, *, currency: str = "USD", profile_id: str
     """(parsed, problems): by the stated profile, else a matching one, else detected columns."""
     spark = files.sparkSession
     profiles = profiles if profiles is not None else bank_profiles(spark)
-    rows = csv_rows(files)
+    rows = settled(csv_rows(files))  # tokenised once, for the columns' detection and for the rows
     if profile_id is not None:
         mappings = rows.select("file").distinct().crossJoin(F.broadcast(profile_by_id(profiles, profile_id).select("mapping")))
     else:
