@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .amounts import trimmed
+from .amounts import let, trimmed
 from .reference import BRAND_ALIASES, CITIES, STATES
 
 # Who moved the money, before an asterisk; up to three in a row.
@@ -50,10 +50,24 @@ FILLER = "USA?|US|INC|LLC|LTD|CO|CORP|COM|RECURRING|PAYMENT|PMT|PURCHASE|DEBIT|C
 MINOR_WORDS = ["OF", "THE", "AND", "AT", "IN", "ON", "FOR", "TO"]
 
 
-def location_pattern(cities: Sequence[str] = CITIES) -> str:
-    """A state code at the end and a known city before it, if something is left before that. The search goes from the left, so
-    the longest city name is found first."""
-    return f"(?<=\\S)(?: (?:{'|'.join(cities)}))? (?:{'|'.join(STATES)})$"
+#: Words of the longest city name that is looked up.
+CITY_WORDS = 3
+
+
+def without_location(text: Column, cities: Sequence[str] = CITIES) -> Column:
+    """A state code at the end goes, and with it the longest known city of up to three words before it; the first word never goes.
+    Words are looked up in sets, so the number of cities does not count."""
+    named = {k: [c for c in cities if c.count(" ") == k - 1] for k in range(CITY_WORDS, 0, -1)}
+
+    def kept(words: Column) -> Column:
+        n = F.size(words)
+        out = n - 1
+        for k in range(1, CITY_WORDS + 1):  # the longest is asked for first
+            city = F.array_join(F.slice(words, F.greatest(n - k, F.lit(1)), k), " ").isin(named[k]) if named[k] else F.lit(False)
+            out = F.when((n > k + 1) & city, n - k - 1).otherwise(out)
+        return F.array_join(F.slice(words, 1, F.when((n > 1) & F.element_at(words, -1).isin(STATES), out).otherwise(n)), " ")
+
+    return let(F.split(text, " "), kept)
 
 
 def clean_descriptor(raw: Column, cities: Sequence[str] = CITIES) -> Column:
@@ -63,7 +77,7 @@ def clean_descriptor(raw: Column, cities: Sequence[str] = CITIES) -> Column:
     for pattern in NOISE:
         text = F.regexp_replace(text, pattern, " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    text = F.regexp_replace(text, location_pattern(cities), "")
+    text = without_location(text, cities)
     text = F.trim(F.regexp_replace(text, "[^A-Z0-9]+", " "))
     return F.trim(F.regexp_replace(text, rf"(?:\s+(?:{FILLER}))+$", ""))
 
@@ -93,5 +107,8 @@ def merchant_display_name(raw: Column, **options) -> Column:
 def with_merchant_key(df: DataFrame, raw: str = "raw_description", into: str = "merchant_key", **options) -> DataFrame:
     """df with the key, computed once for each distinct descriptor: the normaliser is some twenty regular expressions, and a
     ledger holds far fewer descriptors than rows. The join is AQE's to plan."""
-    keys = df.select(F.col(raw).alias("_raw")).distinct().withColumn(into, normalise_merchant(F.col("_raw"), **options))
-    return df.join(keys, F.col(raw).eqNullSafe(F.col("_raw")), "left").drop("_raw")
+    name = "_raw"
+    while name in map(str.lower, df.columns):
+        name += "_"
+    keys = df.select(F.col(raw).alias(name)).distinct().withColumn(into, normalise_merchant(F.col(name), **options))
+    return df.join(keys, F.col(raw).eqNullSafe(F.col(name)), "left").drop(name)

@@ -27,6 +27,48 @@ def is_liability(account_type: Column) -> Column:
     return account_type.isin("CREDIT_CARD", "LOAN")
 
 
+def is_positive(minor: Column) -> Column:
+    return minor > 0
+
+
+def is_negative(minor: Column) -> Column:
+    return minor < 0
+
+
+def _guarded(value: Column, currency: Column, other: Column) -> Column:
+    """The value if both amounts are of one currency; another one raises in the row's task. Null where a currency is null."""
+    both = F.concat(F.lit("mixed currencies "), currency, F.lit(" and "), other)
+    return F.when(currency == other, value).when(currency != other, F.raise_error(both).cast("bigint"))
+
+
+def add_minor(a: Column, b: Column, currency: Column, other: Column) -> Column:
+    """a + b of one currency. Sums beyond a long raise, as all arithmetic here does."""
+    return _guarded(a + b, currency, other)
+
+
+def subtract_minor(a: Column, b: Column, currency: Column, other: Column) -> Column:
+    return _guarded(a - b, currency, other)
+
+
+def compare_minor(a: Column, b: Column, currency: Column, other: Column) -> Column:
+    """-1, 0 or 1 as a is less than, equal to or greater than b."""
+    return _guarded(F.when(a < b, -1).when(a > b, 1).when(a == b, 0).cast("bigint"), currency, other).cast("int")
+
+
+def times(minor: Column, n: Column | int) -> Column:
+    """A whole multiple."""
+    return minor * (F.lit(n) if isinstance(n, int) else n)
+
+
+def negated(minor: Column) -> Column:
+    """The least long has no opposite and raises."""
+    return -minor
+
+
+def magnitude(minor: Column) -> Column:
+    return F.when(minor < 0, -minor).otherwise(minor)
+
+
 def scale_by(minor: Column, factor: Column | Decimal | str) -> Column:
     """minor * factor, half up to whole units."""
     factor = factor if isinstance(factor, Column) else F.lit(Decimal(factor))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.reference import CATALOGUE
+from ..functions.reference import CATALOGUE, CITIES, STATES
 
 AS_OF = "2023-06-30"
 NAMES = [m for names in CATALOGUE.values() for m in names.split(", ")]
@@ -98,10 +98,11 @@ def noise_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
              when 7 then concat('  Trader  Joe''s  #', o_custkey % 300, '  ')
              when 8 then concat('ACH DEBIT UTILITY ', o_custkey % 40, ' INC ONLINE PAYMENT')
              when 9 then cast(1000000 + o_orderkey as string)
-             when 10 then concat('CUSTOMER ', o_custkey, ' LLC NEW YORK NY')
+             when 10 then concat('CUSTOMER ', o_custkey, ' LLC ', city, ' ', state)
              else '#### ####' end"""
     )
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    places = {"city": F.get(F.array(*map(F.lit, CITIES)), F.expr(f"cast(o_orderkey div 12 % {len(CITIES)} as int)")), "state": F.get(F.array(*map(F.lit, STATES)), F.expr(f"cast(o_orderkey div 12 % {len(STATES)} as int)"))}
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns(places).select(
         F.concat(F.lit("L"), F.col("o_custkey") % 50).alias("ledger_id"),
         F.lpad(key.cast("string"), 12, "0").alias("id"),
         F.expr("cast(o_custkey div 50 as string)").alias("account_id"),
@@ -117,7 +118,7 @@ def noise_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NOISE_SQL = """
+NOISE_SQL = f"""
     noise AS (SELECT 'L' || (o_custkey % 50) AS ledger_id, lpad(o_orderkey::VARCHAR, 12, '0') AS id, (o_custkey // 50)::VARCHAR AS account_id, o_orderdate::DATE AS posted_date,
         -round(o_totalprice::DECIMAL(15,2) * 100)::BIGINT AS amount_minor, 'USD' AS currency,
         CASE o_orderkey % 12
@@ -131,7 +132,7 @@ NOISE_SQL = """
              WHEN 7 THEN '  Trader  Joe''s  #' || (o_custkey % 300) || '  '
              WHEN 8 THEN 'ACH DEBIT UTILITY ' || (o_custkey % 40) || ' INC ONLINE PAYMENT'
              WHEN 9 THEN (1000000 + o_orderkey)::VARCHAR
-             WHEN 10 THEN 'CUSTOMER ' || o_custkey || ' LLC NEW YORK NY'
+             WHEN 10 THEN 'CUSTOMER ' || o_custkey || ' LLC ' || {CITIES}[(o_orderkey // 12 % {len(CITIES)} + 1)::INTEGER] || ' ' || {STATES}[(o_orderkey // 12 % {len(STATES)} + 1)::INTEGER]
              ELSE '#### ####' END AS raw_description,
         CASE WHEN o_orderkey % 3 = 0 THEN 'C' || (o_orderkey % 7) END AS category_id, 'B' || (o_orderkey // 12 % 4) AS batch_id, o_orderkey::BIGINT AS source_pos,
         CASE WHEN o_orderkey % 5 <> 0 THEN 'F' || (o_orderkey // 2) END AS institution_transaction_id FROM orders)"""

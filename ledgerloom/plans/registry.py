@@ -12,7 +12,7 @@ from ..functions import merchants as fm
 from ..functions.amounts import parse_amount_minor
 from ..functions.dates import infer_date_order, parse_date
 from ..functions.merchants import display_name_of_key, with_merchant_key
-from ..functions.money import allocate, is_credit, is_debit, is_liability, percent_of, plain_text, scale_by, split_even, sum_minor, to_major, to_minor
+from ..functions.money import add_minor, allocate, compare_minor, is_credit, is_debit, is_liability, magnitude, negated, percent_of, plain_text, scale_by, split_even, subtract_minor, sum_minor, times, to_major, to_minor
 from ..functions.reference import CATALOGUE, CITIES, BRAND_ALIASES, SERVICE_CLASSES, STATES
 from ..operators import imports, ledger, subscriptions
 from ..operators.recurring import active_series, confidence_tier, detect_recurring
@@ -453,6 +453,20 @@ def percent_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH p AS (SELECT o_orderkey AS id, round(o_totalprice::DECIMAL(15,2) * 100)::BIGINT * (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS a, (o_custkey % 7 - 3) * 100000::BIGINT AS b FROM orders)
+    SELECT id, a + b AS added, a - b AS subtracted, sign(a - b)::INTEGER AS compared, a * 3 AS tripled, -a AS negated, abs(a) AS magnitude FROM p"""
+)
+def money_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, differences and comparisons of pairs of amounts, of one currency each."""
+    cents = F.round(F.col("o_totalprice").cast("decimal(15,2)") * 100, 0).cast("bigint") * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), cents.alias("a"), ((F.col("o_custkey") % 7 - 3) * 100_000).cast("bigint").alias("b"), F.when(F.col("o_custkey") % 2 == 0, "USD").otherwise("EUR").alias("c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return rows.select(
+        "id", add_minor(a, b, c, c).alias("added"), subtract_minor(a, b, c, c).alias("subtracted"), compare_minor(a, b, c, c).alias("compared"), times(a, 3).alias("tripled"), negated(a).alias("negated"), magnitude(a).alias("magnitude")
+    )
+
+
 # -- texts to amounts and dates ----------------------------------------------------------------
 
 _AMOUNT_TEXTS = """texts AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, round(o_totalprice::DECIMAL(15,2) * 100)::BIGINT AS c FROM orders)"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.reference import MAPPING, bank_profiles
 from ..sources import statements
 from .registry import query
 
@@ -152,3 +153,59 @@ def qif_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All formats at once: rows, errors, and how many rows a preview of three leaves out."""
     return statements.preview(statements.parse_statements(statement_files(spark, sf_dir)), 3)[0]
+
+
+# Files of known banks, headerless ones and ones with stated columns: a customer's layout is the key modulo these.
+_BANKS = {
+    "chase-checking": ("Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #", "concat('DEBIT,', us, ',', name, ',-', amount, ',ACH,0.00,')"),
+    "chase-credit": ("Transaction Date,Post Date,Description,Category,Type,Amount,Memo", "concat('01/01/1990,', us, ',', name, ',Food,Sale,-', amount, ',')"),
+    "bofa": ("Date,Description,Amount,Running Bal.", "concat(us, ',', name, ',-', amount, ',0.00')"),
+    "capital-one": ("Transaction Date,Posted Date,Card No.,Description,Category,Debit,Credit", "concat('1990-01-01,', d, ',1234,', name, ',Food,', case when o % 2 = 0 then concat(amount, ',') else concat(',', amount) end)"),
+    "discover": ("Trans. Date,Post Date,Description,Amount,Category", "concat('01/01/1990,', us, ',', name, ',', amount, ',Food')"),
+    "amex": ("Date,Description,Amount", "concat(us, ',', name, ',', amount)"),
+    "wells-fargo": (None, """concat('"', us, '","-', amount, '","*","","', name, '"')"""),
+    "stated": ("a|b|c|d", "concat(amount, '|', name, '|', o_orderstatus, '|', d)"),
+    "refused": ("a|b|c|d", "concat(amount, '|', name, '|', o_orderstatus, '|', d)"),
+}
+_KINDS = list(_BANKS)
+
+
+def bank_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(file, content; file, mapping: what is stated of the last three kinds): a file per customer in the layout of a bank."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.to_date("o_orderdate").alias("d"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("us"), F.expr(_NAME).alias("name"), "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("amount"),
+    )
+    line = F.expr(f"case k % {len(_KINDS)} " + " ".join(f"when {i} then {_BANKS[b][1]}" for i, b in enumerate(_KINDS)) + " end")
+    lines = rows.select("k", F.struct("o", line.alias("x")).alias("row")).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["x"]), "\r\n").alias("body"))
+    kind, content, of = F.col("k") % len(_KINDS), F.col("body"), F.lit(None).cast("string")
+    for i, b in enumerate(_KINDS):
+        content = F.when(kind == i, F.concat(F.lit(_BANKS[b][0] + "\r\n"), "body")).otherwise(content) if _BANKS[b][0] else content
+        of = F.when(kind == i, b).otherwise(of)
+    files = lines.select(F.concat(F.lit("c"), "k", F.lit(".csv")).alias("file"), content.alias("content"), of.alias("profile_id"))
+    own = F.struct(F.lit(3).alias("date_column"), F.array(F.lit(1), F.lit(2)).alias("description_columns"), F.lit(0).alias("amount_column"), F.lit(None).cast("int").alias("debit_column"), F.lit(None).cast("int").alias("credit_column"), F.lit(None).cast("int").alias("balance_column"), F.lit(True).alias("invert_sign"), F.lit(True).alias("has_header_row"), F.lit(False).alias("day_first"))
+    stated = files.filter("profile_id in ('stated', 'refused')").select("file", F.when(F.col("profile_id") == "stated", own).otherwise(own.withField("amount_column", F.lit(None).cast("int"))).alias("mapping"))
+    by_id = statements.stated_profiles(files.filter("profile_id = 'wells-fargo'").select("file", "profile_id"), bank_profiles(spark))
+    return statements.with_format(files.select("file", "content")), by_id.select("file", F.col("mapping").cast(MAPPING).alias("mapping")).unionByName(stated.select("file", F.col("mapping").cast(MAPPING).alias("mapping")))
+
+
+_BANK_ORDERS = f"""o AS (
+        SELECT o_custkey % {len(_KINDS)} AS kind, o_orderkey AS o, o_orderdate::DATE AS d, substr(o_orderpriority, 3) || ' item ' || o_orderstatus AS name, o_orderstatus AS status, round(o_totalprice::DECIMAL(15,2) * 100)::BIGINT AS cents,
+            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, 'c' || o_custkey || '.csv' AS file FROM orders)"""
+
+
+@query(
+    f"""WITH {_BANK_ORDERS} SELECT file, (i + (kind <> 6)::INTEGER)::BIGINT AS source_pos, d::VARCHAR AS posted_date, CASE WHEN kind = 3 AND o % 2 = 1 THEN cents ELSE -cents END AS amount_minor, 'USD' AS currency,
+        CASE WHEN kind = 7 THEN name || ' ' || status ELSE name END AS raw_description FROM o WHERE kind < 8"""
+)
+def bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven banks' layouts, of which two turn the sign around and one has no header and is stated, and columns that a user states."""
+    files, stated = bank_files(spark, sf_dir)
+    return _read(statements.csv_transactions(files, stated=stated)[0])
+
+
+@query(f"WITH {_BANK_ORDERS} SELECT DISTINCT file, 'file' AS location, 'ERROR' AS severity FROM o WHERE kind = 8")
+def refused_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose stated columns lack an amount: a problem each, and no rows."""
+    files, stated = bank_files(spark, sf_dir)
+    return statements.csv_transactions(files, stated=stated)[1].select("file", "location", "severity")

@@ -300,7 +300,8 @@ def detect_mapping(rows: DataFrame, heads: DataFrame) -> DataFrame:
 def valid_mapping(m: Column) -> Column:
     """A date, a description, and either an amount or a debit or credit column."""
     split = m["debit_column"].isNotNull() | m["credit_column"].isNotNull()
-    return (m["date_column"] >= 0) & (F.size(m["description_columns"]) > 0) & (m["amount_column"].isNotNull() != split)
+    none_below = F.least(m["date_column"], m["amount_column"], m["debit_column"], m["credit_column"], F.array_min(m["description_columns"])) >= 0
+    return m["date_column"].isNotNull() & (F.size(m["description_columns"]) > 0) & (m["amount_column"].isNotNull() != split) & none_below
 
 
 def required_width(m: Column) -> Column:
@@ -351,19 +352,36 @@ def rows_to_transactions(rows: DataFrame, mappings: DataFrame, currency: str = "
     return _split(data.withColumns({"problem": wrong, "format": F.lit("CSV"), "institution_transaction_id": F.lit(None)}))
 
 
-def csv_transactions(files: DataFrame, *, currency: str = "USD", profile_id: str | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(parsed, problems): by the stated profile, else a matching one, else detected columns."""
+def stated_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
+    """file, mapping: of files (file, profile_id), each file's profile by its id; an unknown id has a null mapping."""
+    return files.join(F.broadcast(profiles.select("profile_id", "mapping")), "profile_id", "left").select("file", "mapping")
+
+
+def csv_transactions(
+    files: DataFrame, *, currency: str = "USD", profile_id: str | None = None, profiles: DataFrame | None = None, stated: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(parsed, problems): by the file's stated mapping (file, mapping; one row per file), else the stated profile, else a matching one, else
+    detected columns. A stated mapping that is null or that `valid_mapping` refuses makes a problem of the file, and none of its rows
+    is read."""
     spark = files.sparkSession
     profiles = profiles if profiles is not None else bank_profiles(spark)
     rows = settled(csv_rows(files))  # tokenised once, for the columns' detection and for the rows
+    own = rows.limit(0).select("file", F.lit(None).cast(MAPPING).alias("mapping")) if stated is None else stated.select("file", F.col("mapping").cast(MAPPING).alias("mapping"))
+    others = rows if stated is None else rows.join(own.select("file"), "file", "left_anti")
     if profile_id is not None:
-        mappings = rows.select("file").distinct().crossJoin(F.broadcast(profile_by_id(profiles, profile_id).select("mapping")))
+        mappings = others.select("file").distinct().crossJoin(F.broadcast(profile_by_id(profiles, profile_id).select("mapping")))
     else:
-        heads = headers(rows)
+        heads = headers(others)
         matched = match_profiles(heads, profiles).select("file", "mapping")
-        detected = detect_mapping(rows, heads).join(matched, "file", "left_anti").select("file", "mapping")
+        detected = detect_mapping(others, heads).join(matched, "file", "left_anti").select("file", "mapping")
         mappings = matched.unionByName(detected)
+    usable = F.coalesce(valid_mapping(F.col("mapping")), F.lit(False))
+    mappings = mappings.unionByName(own.filter(usable))
     parsed, problems = rows_to_transactions(rows, mappings, currency)
+    if stated is not None:
+        refused = _file_problem(own.filter(~usable).join(rows.select("file"), "file", "left_semi"), "The stated columns cannot be used: a date, a description, and either an amount or a debit or credit column are needed")
+        problems, rows = problems.unionByName(refused), rows.join(own.filter(~usable).select("file"), "file", "left_anti")
+        files = files.join(own.filter(~usable).select("file"), "file", "left_anti")
     empty = _file_problem(files.join(rows.select("file"), "file", "left_anti"), "No rows found")
     unmapped = _file_problem(rows.select("file").distinct().join(mappings.select("file"), "file", "left_anti"), "Could not work out which columns hold the date, description, and amount")
     return parsed, problems.unionByName(empty).unionByName(unmapped)
@@ -458,9 +476,9 @@ def qif_transactions(files: DataFrame, *, currency: str = "USD", day_first: bool
 # -- all ---------------------------------------------------------------------------------------
 
 
-def parse_statements(files: DataFrame, *, currency: str = "USD", profile_id: str | None = None) -> Statements:
-    """Transactions and problems of files (file, content, format)."""
-    csv = csv_transactions(files.filter("format = 'CSV'"), currency=currency, profile_id=profile_id)
+def parse_statements(files: DataFrame, *, currency: str = "USD", profile_id: str | None = None, stated: DataFrame | None = None) -> Statements:
+    """Transactions and problems of files (file, content, format). stated: the columns of CSV files for which they are known."""
+    csv = csv_transactions(files.filter("format = 'CSV'"), currency=currency, profile_id=profile_id, stated=stated)
     ofx = ofx_transactions(files.filter("format in ('OFX', 'QFX')"))
     qif = qif_transactions(files.filter("format = 'QIF'"), currency=currency)
     parsed = csv[0].unionByName(ofx[0]).unionByName(qif[0])

@@ -108,13 +108,13 @@ def test_merchant_keys_and_names(spark):
     assert [r[0] for r in names.select(merchants.merchant_display_name(F.col("raw"))).collect()] == ["Blue Bottle Coffee", "BP Fuel", "Bank of the West"]
 
 
-def test_every_city_of_the_reference_goes_before_a_state(spark):
-    # Count and hash were taken from the text of UsCityNames.kt, not from CITIES.
+def test_every_city_of_the_list_goes_before_a_state(spark):
     assert len(reference.CITIES) == 412
     assert hashlib.sha256("\n".join(sorted(reference.CITIES)).encode()).hexdigest() == "0c7d76d800b0c893174ab559cfef7718395a6b6c31e528d03532635ccd70e032"
     named = {"AKRON": "", "ANN ARBOR": "", "ATLANTIC CITY": "", "NORTH LAS VEGAS": "", "WEST VALLEY CITY": "", "PORT ST LUCIE": "", "WINSTON": "", "CLEVELAND": " CLEVELAND"}
     items = [(f"SAFEWAY #12 {city} OH", "SAFEWAY" + rest) for city, rest in (dict.fromkeys(reference.CITIES, "") | named).items()]
-    df = spark.createDataFrame(items + [("AKRON OH", "AKRON"), ("SAFEWAY AKRON", "SAFEWAY AKRON")], "raw string, want string")
+    items += [("AKRON OH", "AKRON"), ("SAFEWAY AKRON", "SAFEWAY AKRON"), ("LAS VEGAS NV", "LAS VEGAS"), ("NORTH LAS VEGAS NV", "NORTH"), ("OH", "OH"), ("X OH OH", "X OH"), ("FORGET ME", "FORGET"), ("A NORTH LAS VEGAS NV", "A")]
+    df = spark.createDataFrame(items, "raw string, want string")
     assert rows(df.withColumn("got", merchants.normalise_merchant(F.col("raw"))).filter("not (got <=> want)")) == []
 
 
@@ -164,3 +164,26 @@ def test_scaling_and_text(spark):
         money.with_scale(spark.createDataFrame([("ZZZ",)], "currency string")).collect()
     with pytest.raises(Exception, match="mixed"):
         spark.createDataFrame([("USD",), ("EUR",)], "c string").agg(money.one_currency(F.col("c"))).collect()
+
+
+def test_merchant_keys_beside_a_column_of_that_name(spark):
+    df = spark.createDataFrame([("SHELL OIL", 1, 2)], "raw_description string, _raw int, _raw_ int")
+    assert rows(merchants.with_merchant_key(df)) == [("SHELL OIL", 1, 2, "SHELL OIL")]
+
+
+def test_guarded_arithmetic(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(5, -7, "USD", "USD"), (None, 1, "USD", "USD"), (1, 1, None, "USD"), (3, 3, "EUR", "EUR")], "a long, b long, c string, d string")
+    a, b, c, d = (F.col(x) for x in "abcd")
+    got = df.select(money.add_minor(a, b, c, d), money.subtract_minor(a, b, c, d), money.compare_minor(a, b, c, d), money.times(a, -2), money.negated(a), money.magnitude(b))
+    assert [tuple(r) for r in got.collect()] == [(-2, 12, 1, -10, -5, 7), (None, None, None, None, None, 1), (None, None, None, -2, -1, 1), (6, 0, 0, -6, -3, 3)]
+    bad = spark.createDataFrame([(1, 2, "USD", "EUR")], "a long, b long, c string, d string")
+    for f in (money.add_minor, money.subtract_minor, money.compare_minor):
+        with pytest.raises(Exception, match="mixed currencies USD and EUR"):
+            bad.select(f(a, b, c, d)).collect()
+    wide = spark.createDataFrame([(top, 1, -top - 1)], "a long, b long, c long")
+    usd = F.lit("USD")
+    for x in (money.add_minor(a, b, usd, usd), money.subtract_minor(F.col("c"), b, usd, usd), money.times(a, 2), money.negated(F.col("c")), money.magnitude(F.col("c"))):
+        with pytest.raises(Exception, match="OVERFLOW"):
+            wide.select(x).collect()
+    assert [tuple(r) for r in wide.select(money.is_positive(a), money.is_negative(F.col("c")), money.is_zero(b)).collect()] == [(True, True, False)]
