@@ -7,7 +7,8 @@ character that it does not hold. A phrase costs the bits that point into the sam
 sample lacks costs those of the largest sample, so that no sample wins by being small. The language of the
 fewest bits wins.
 
-The automata are dense tables (state x character), through which many texts advance together.
+The automata are tables (state x character), through which many texts advance together: dense for a language's most frequent
+characters, sorted moves for its others, so that scripts of thousands of characters are known in full.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from .word_tables import slices
 #: The bound of the training sample: so many characters and documents of each language.
 SAMPLE_CHARS = 50_000
 SAMPLE_DOCS = 400
-#: A language's most frequent characters that its automaton knows; rarer ones are literals to it.
-ALPHABET = 254
+#: Labels that a training sample may have: each sends its sample to the driver.
+LABELS = 2_000
+#: A language's most frequent characters, which have a column of their own in its table; moves on other characters are searched for.
+COLUMNS = 254
 #: Characters of texts that are parsed together in a task.
 TOGETHER = 3_000_000
 #: Texts that are worth a step together; the last and longest ones go on one by one.
@@ -89,50 +92,77 @@ class SuffixAutomaton:
 
 
 class ParseTable:
-    """A language's automaton as one table. An entry is twice the place of the next state's row, plus one where a phrase starts:
-    at the root, where no longer match goes on, and at a character that the sample lacks, which leads to the root."""
+    """A language's automaton as a table. An entry is twice the place of the next state's row, plus one where a phrase starts: at the
+    root, where no longer match goes on, and at a character that the sample lacks, which leads to the root. Symbols are the columns, then
+    the one of what the sample lacks, then the rarer characters, whose moves are sorted by (state, character)."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, columns: int = COLUMNS):
         automaton = SuffixAutomaton(text)
-        known = sorted(c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-        self.size, self.width = automaton.size, len(known) + 1
-        number = {c: i for i, c in enumerate(known)}
-        #: The number of each code point; the last one for those that are not known.
-        self.numbers = np.full(sys.maxunicode + 1, len(known), dtype=np.uint8)
-        self.numbers[[ord(c) for c in known]] = np.arange(len(known))
-        start = np.ones(self.width, dtype=np.int64)
+        every = [c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))]
+        known, rare = sorted(every[:columns]), sorted(every[columns:])
+        self.size, self.width, self.rare = automaton.size, len(known) + 1, len(rare)
+        number = {c: i for i, c in enumerate(known)} | {c: self.width + i for i, c in enumerate(rare)}
+        #: The number of each code point; that after the columns for those that the sample lacks.
+        self.numbers = np.full(sys.maxunicode + 1, len(known), dtype=np.min_scalar_type(self.width + len(rare)))
+        self.numbers[[ord(c) for c in number]] = list(number.values())
+        start = np.ones(self.width + len(rare), dtype=np.int64)
         for c, to in automaton.moves[0].items():
-            if c in number:
-                start[number[c]] = to * self.width * 2 + 1
-        table = np.tile(start, (len(automaton.moves), 1))
-        edges = np.array([(s, number[c], to) for s, m in enumerate(automaton.moves) if s for c, to in m.items() if c in number], dtype=np.int64).reshape(-1, 3)
-        table[edges[:, 0], edges[:, 1]] = edges[:, 2] * self.width * 2
+            start[number[c]] = to * self.width * 2 + 1
+        table = np.tile(start[: self.width], (len(automaton.moves), 1))
+        edges = np.array([(s, number[c], to) for s, m in enumerate(automaton.moves) if s for c, to in m.items()], dtype=np.int64).reshape(-1, 3)
+        dense = edges[:, 1] < self.width
+        table[edges[dense, 0], edges[dense, 1]] = edges[dense, 2] * self.width * 2
         self.table = table.reshape(-1).astype(np.int32 if table.size < 1 << 30 else np.int64)
+        # Rarer characters: a phrase starts where no move is found.
+        self.start = start[self.width :]
+        keys = edges[~dense, 0] * max(1, len(rare)) + edges[~dense, 1] - self.width
+        order = np.argsort(keys)
+        self.keys, self.moves = keys[order], edges[~dense, 2][order] * self.width * 2
+
+    def _searched(self, entries: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The entries after rarer characters."""
+        which = symbols.astype(np.int64) - self.width
+        key = (entries.astype(np.int64) >> 1) // self.width * self.rare + which
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        found = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+        return np.where(found, self.moves[at] if len(self.keys) else 0, self.start[which])
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases, of which characters that are not known) of the texts codes[starts[i] : starts[i] + lengths[i]], longest first."""
-        symbols, table, n = self.numbers[codes], self.table, len(starts)
-        unknown = np.concatenate([[0], np.cumsum(symbols == self.width - 1, dtype=np.int32 if len(symbols) < 1 << 31 else np.int64)])
+        symbols, table, n, width = self.numbers[codes], self.table, len(starts), self.width
+        unknown = np.concatenate([[0], np.cumsum(symbols == width - 1, dtype=np.int32 if len(symbols) < 1 << 31 else np.int64)])
         literals = unknown[starts + lengths] - unknown[starts]
         entry, count, at, one = np.zeros(n, dtype=table.dtype), np.zeros(n, dtype=np.int64), starts.copy(), np.empty(n, dtype=table.dtype)
         active = n - np.searchsorted(lengths[::-1], np.arange(int(lengths.max(initial=0))), side="right")
-        step = 0
+        step, searching = 0, bool(self.rare) and bool((symbols >= width).any())
         for m in active.tolist():
             if m < FEW:
                 break
             e, p = entry[:m], at[:m]
-            place = (e >> 1) + symbols.take(p)
-            table.take(place, out=e, mode="clip")
+            s = symbols.take(p)
+            if searching and len(far := np.flatnonzero(s >= width)):
+                after = self._searched(e[far], s[far])
+                s[far] = 0
+                table.take((e >> 1) + s, out=e, mode="clip")
+                e[far] = after
+            else:
+                table.take((e >> 1) + s, out=e, mode="clip")
             np.bitwise_and(e, 1, out=one[:m])
             count[:m] += one[:m]
             p += 1
             step += 1
         flat = memoryview(table)
+        rare = dict(zip(self.keys.tolist(), self.moves.tolist(), strict=True)) if searching else {}
         for i in range(int(np.count_nonzero(lengths > step))):
-            e, more = int(entry[i]), 0
-            for s in symbols[starts[i] + step : starts[i] + lengths[i]].tobytes():
-                e = flat[(e >> 1) + s]
-                more += e & 1
+            e, more, rest = int(entry[i]), 0, symbols[starts[i] + step : starts[i] + lengths[i]]
+            if not searching:
+                for s in rest.tobytes() if rest.itemsize == 1 else rest.tolist():
+                    e = flat[(e >> 1) + s]
+                    more += e & 1
+            else:
+                for s in rest.tolist():
+                    e = flat[(e >> 1) + s] if s < width else rare.get((e >> 1) // width * self.rare + s - width, int(self.start[s - width]))
+                    more += e & 1
             count[i] += more
         return count, literals
 
@@ -178,12 +208,16 @@ def training_samples(docs: DataFrame, *, chars: int = SAMPLE_CHARS, docs_each: i
     """Language -> sample text, from labelled documents that are not held out.
 
     The sample holds up to docs_each documents of a language, in the order of a seeded hash, up to chars
-    characters of words; that bound is what reaches the driver. Rare languages give all they have.
+    characters of words; that bound, times LABELS, is what reaches the driver: more labels raise an error. Rare languages
+    give all they have. Repeated rows count as often as they are there; null texts, those without letters and null labels take no
+    part; an empty table, or one without labels, gives no samples.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))
     )
     sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(16**12)
     # A fixed share of the hash values: about twice docs_each documents, of which the first are taken.
     few = (

@@ -208,6 +208,29 @@ def test_parse_against_search(monkeypatch):
     assert (count[0], literals[0]) == (1, 0)
 
 
+def test_scripts_of_many_characters_are_known_in_full(monkeypatch):
+    """More characters than a table has columns: stretches of the sample are one phrase, and all counts are those of a search."""
+    rng = random.Random(12)
+    some = [chr(0x4E00 + 7 * k) for k in range(1500)]
+    sample = letters("".join(rng.choice(some) if rng.random() < 0.9 else " " for _ in range(4000)))
+    copied = sample.strip()[1000:1400]
+    other = "".join(rng.choice(some) for _ in range(60)) + chr(0x4E01) + sample[50:90] + "abc"
+    texts = [letters(t) for t in (copied, other, sample[7:300] * 2, "abc", copied[:5])]
+    for few in (1, 1000):
+        monkeypatch.setattr(language_id, "FEW", few)
+        for columns in (254, 3, 5000):
+            table_ = language_id.ParseTable(sample, columns)
+            codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in sorted(texts, key=len, reverse=True)]
+            sizes = np.array([len(c) for c in codes])
+            count, literals = table_.phrases(np.concatenate(codes), np.cumsum(sizes) - sizes, sizes)
+            assert list(zip(count.tolist(), literals.tolist(), strict=True)) == [parsed(sample, t) for t in sorted(texts, key=len, reverse=True)]
+    codes = np.frombuffer(copied.encode("utf-32-le"), dtype=np.uint32)
+    count, literals = language_id.ParseTable(sample).phrases(codes, np.array([0]), np.array([len(codes)]))
+    assert (count[0], literals[0]) == (1, 0)
+    parser = language_id.CrossParser({"zh": sample, "en": letters("the cat sat on the mat and looked at the dog")})
+    assert parser.predict([copied, "the dog sat on the cat"])[0] == ["zh", "en"]
+
+
 def test_a_small_sample_wins_nothing_by_being_small(spark, docs):
     samples = language_id.training_samples(docs) | {"tiny": " ok ", "few": " guten tag "}
     assert language_id.identify_languages(docs, samples).filter("lang_pred in ('tiny', 'few')").count() == 0
