@@ -163,7 +163,7 @@ ORACLES: dict[str, str] = {
         frequent AS (
             SELECT u.host, list(u.line) AS bad
             FROM (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY ALL) u
-            JOIN hosts h ON h.host IS NOT DISTINCT FROM u.host WHERE n >= 2 AND n > 0.1 * pages GROUP BY u.host)
+            JOIN hosts h ON h.host IS NOT DISTINCT FROM u.host WHERE n > 0.1 * pages GROUP BY u.host)
         SELECT page_id, l.host, len(lines)::BIGINT AS n_lines, (len(lines) - len(k))::BIGINT AS n_dropped, coalesce(array_to_string(k, chr(10)), '') AS text
         FROM (SELECT l.*, list_filter(lines, lambda x: NOT list_contains(coalesce(f.bad, []), x)) AS k
               FROM l LEFT JOIN frequent f ON f.host IS NOT DISTINCT FROM l.host) l"""

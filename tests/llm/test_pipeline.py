@@ -35,7 +35,7 @@ def lines_cut(docs):
     pages = {(r["source"], frozenset(map(bare, lines[r["doc_id"]])) - {""}) for r in docs}
     count, total, out = Counter((s, x) for s, page in pages for x in page), Counter(s for s, _ in pages), {}
     for r in docs:
-        stay = [x for x in lines[r["doc_id"]] if not bare(x) or not (count[k := (r["source"], bare(x))] >= 2 and count[k] > 0.1 * total[r["source"]])]
+        stay = [x for x in lines[r["doc_id"]] if not bare(x) or not count[r["source"], bare(x)] > 0.1 * total[r["source"]]]
         out[r["doc_id"]] = "\n".join(stay) if len(stay) < len(lines[r["doc_id"]]) and any(map(bare, stay)) else r["text"]
     return out
 
