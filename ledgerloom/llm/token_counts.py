@@ -9,20 +9,25 @@ are made when first reached, so only what the texts hold is compiled.
 A text is cut into chunks. A chunk that starts where no piece can reach across has one start state, so
 its state map is a constant and the composition of such maps is a plain sum. Chunks inside a very long
 word have a map of the states that can precede them; the maps are composed by a prefix scan.
+
+A huge text is cut into chunks that are dealt over tasks. Each task maps the state that should precede its chunk, told from the text just before, to
+the state at its end. Where a chunk starts with the state that the one before it ends with, the maps compose and tokens add up; chunks that started
+with another one are mapped again from the right one, all at once, until every chunk fits the one before it.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, held
-from .pieces import EDGE, PieceModel, load, shipped
+from .common import Recent, cut, held
+from .pieces import EDGE, WORD_MARK, PieceModel, load, shipped
 
 #: Longer words are cut into chunks of so many characters.
 CHUNK = 4096
@@ -30,6 +35,10 @@ CHUNK = 4096
 KEPT_WORDS = 400_000
 KEPT_STATES = 400_000
 
+#: Characters of a text that is cut over tasks, and of its chunks.
+HUGE = 4_000_000
+HUGE_CHUNK = 1_000_000
+
 #: start state -> (end state, tokens)
 StateMap = dict[int, tuple[int, int]]
 
@@ -97,6 +106,18 @@ class Transducer:
             tokens += net
         return state, tokens
 
+    def name(self, state: int) -> str:
+        """A state in words that every process understands."""
+        return json.dumps(self.states[state])
+
+    def state(self, name: str) -> int:
+        key = tuple(map(tuple, json.loads(name)))
+        if (n := self.number.get(key)) is None:
+            n = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+        return n
+
     def state_map(self, chunk: str, starts: set[int]) -> StateMap:
         return {s: self.run(chunk, s) for s in starts}
 
@@ -165,12 +186,60 @@ def counts(data: bytes) -> Counts:
     return held(("counts", hashlib.sha256(data).digest()), lambda: Counts(Transducer(load(data))))
 
 
-def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _mapped(chunks: DataFrame, data) -> DataFrame:
+    """row, no, start, end, tokens of chunks (row, no, before, chunk, start): from the state `start`, or if it is null from the one that the
+    text before the chunk leads to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        transducer = counts(data.value).transducer
+        model = transducer.model
+        for batch in batches:
+            out = []
+            for row, no, before, chunk, start in batch.itertuples(index=False, name=None):
+                before, chunk = (x.replace(WORD_MARK, " ") for x in (before, chunk))
+                if no == 0 and model.dummy_prefix:
+                    chunk = " " + chunk
+                state = transducer.run(before)[0] if start is None else transducer.state(start)
+                name = transducer.name(state)
+                end, tokens = transducer.run(chunk, state)
+                out.append((row, no, name, transducer.name(end), tokens))
+                if len(transducer.states) > KEPT_STATES:
+                    transducer.reset()
+            yield pd.DataFrame(out, columns=["row", "no", "start", "end", "tokens"])
+
+    return chunks.select("row", "no", "before", "chunk", "start").mapInPandas(run, "row long, no int, start string, end string, tokens long")
+
+
+def huge_counts(texts: DataFrame, data, chunk: int = HUGE_CHUNK, back: int = 256) -> DataFrame:
+    """row, n_tokens of texts (row, text) by chunks over tasks."""
+    size = F.length("text")
+    cuts = texts.select("row", "text", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(chunk))).alias("at"))
+    chunks = cuts.select(
+        "row",
+        (F.col("at") / chunk).cast("int").alias("no"),
+        F.substring("text", F.greatest(F.col("at") - back, F.lit(0)) + 1, F.least(F.col("at"), F.lit(back))).alias("before"),
+        F.substring("text", F.col("at") + 1, F.lit(chunk)).alias("chunk"),
+        F.lit(None).cast("string").alias("start"),
+    )
+    chunks = cut(chunks.repartition(F.col("row"), F.col("no")))
+    done = cut(_mapped(chunks, data))
+    in_order = Window.partitionBy("row").orderBy("no")
+    while True:
+        joined = done.withColumn("was", F.lag("end").over(in_order))
+        wrong = cut(joined.filter(F.col("was").isNotNull() & (F.col("was") != F.col("start"))).select("row", "no", F.col("was").alias("start")))
+        if wrong.isEmpty():
+            return done.groupBy("row").agg(F.sum("tokens").alias("n_tokens"))
+        again = _mapped(chunks.drop("start").join(wrong, ["row", "no"]), data)
+        done = cut(done.join(wrong.select("row", "no"), ["row", "no"], "left_anti").unionByName(again))
+
+
+def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, huge_chunk: int = HUGE_CHUNK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     The counts are the library's, without begin or end token, over whole texts. A null text counts as
     empty: 0 bytes, 0 tokens. over_limit is n_tokens > limit. Equal rows stay rows of their own; an
-    empty table gives no rows; other columns are not read. Words may be of any length.
+    empty table gives no rows; other columns are not read. Words may be of any length. Texts of `huge` characters or more
+    are counted by chunks over tasks, unless the model squeezes white space, which does not go by chunks.
     """
     data = shipped(docs.sparkSession, model_path)
 
@@ -190,6 +259,14 @@ def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    )
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
+    if load(data.value).squeeze:
+        return named.mapInPandas(run, schema)
+    long = named.filter(F.length("text") >= huge)
+    found = named.filter(F.coalesce(F.length("text") < huge, F.lit(True))).mapInPandas(run, schema)
+    if long.isEmpty():
+        return found
+    rows = cut(long.withColumn("row", F.monotonically_increasing_id()))
+    counted = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "row").join(huge_counts(rows.select("row", "text"), data, huge_chunk), "row")
+    return found.unionByName(counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -66,6 +66,24 @@ def test_scan_over_chunks_equals_one_run():
             assert t.scan([word[i : i + size] for i in range(0, len(word), size)])[0] == t.run(word)
 
 
+def test_huge_texts_are_counted_by_chunks_over_tasks(spark):
+    rng = random.Random(7)
+    items = [(1, "short"), (900, "".join(rng.choice("theinaorst") for _ in range(3000))), (901, "a" * 2000), (902, " " * 999), (903, "\U0001f600\u2581 x" * 300), (904, None), (904, "word " * 400), (None, "word " * 400)]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    got = token_counts.token_counts(df, MODEL, huge=200, huge_chunk=300)
+    want = [(i, len((t or "").encode()), len(plain(t)), len(plain(t)) > 4096) for i, t in items]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_chunks_that_start_from_a_wrong_state_are_mapped_again(spark):
+    """Without any text before a chunk to tell its state from, it starts wrong."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("theinaorst") for _ in range(200)) for _ in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = dict(token_counts.huge_counts(rows, pieces.shipped(spark, MODEL), chunk=100, back=0).collect())
+    assert got == {i: len(plain(t)) for i, t in enumerate(texts)}
+
+
 def test_encoding_is_the_librarys_and_decodes(docs):
     got = sentencepiece_codec.encode_pieces(docs, MODEL).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
     assert len(got) == docs.count()
