@@ -58,7 +58,8 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     high, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     visit = np.argsort(-bounds, axis=1, kind="stable")
-    worst = -(2**62)
+    # Below every score; numbers of any size have no infinity.
+    worst = -np.inf if q.dtype == np.float64 else -(1 << 200)
     top_id = np.full((len(q), k), -1, dtype=np.int64)
     top = np.full((len(q), k), worst, dtype=q.dtype)
     running = np.arange(len(q))
@@ -98,7 +99,8 @@ def exact_top_k(
     Fewer rows if there are fewer candidates. Vectors that are null, empty or hold a null or a number
     that is not finite take no part, nor do rows without an id. Rows of the query's own id are no
     candidates of it; an id that repeats among queries is one query (its least vector). Vectors of different lengths are
-    compared over the components that both have. An empty table gives no rows; other columns are not read.
+    compared over the components that both have. An empty table gives no rows; other columns are not read. Scores are exact whatever the
+    components are; one that does not fit a long raises an error if it is among a query's k highest.
     """
     rows = cut(
         vectors.select(F.col(id_col).cast("long").alias("id"), integer_vector(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).filter(
@@ -118,7 +120,10 @@ def exact_top_k(
         q_ids = qs["id"].to_numpy()
         ids, scores = search_cell(q_ids, _matrix(list(qs["v"])), xs["id"].to_numpy(), _matrix(list(xs["v"])), k)
         got = ids >= 0
-        return pd.DataFrame({"query_id": np.repeat(q_ids, k)[got.ravel()], "vec_id": ids[got], "score": scores[got].astype(np.int64)})
+        best = scores[got]
+        if best.dtype == object and any(not -(1 << 63) <= s < 1 << 63 for s in best.tolist()):
+            raise OverflowError("a score does not fit a long")
+        return pd.DataFrame({"query_id": np.repeat(q_ids, k)[got.ravel()], "vec_id": ids[got], "score": best.astype(np.int64)})
 
     found = left.groupBy("g", "qg").cogroup(right.groupBy("g", "qg")).applyInPandas(cell, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -420,3 +420,7 @@ def test_top_k_with_few_candidates(spark):
     assert topk_search.exact_top_k(df.filter("vec_id < 0"), F.col("vec_id") == 0).count() == 0
     big = spark.createDataFrame([(0, [1e6, 1e6]), (1, [1e6, 1e6])], "vec_id long, embedding array<double>")
     assert rows(topk_search.exact_top_k(big, F.col("vec_id") == 0), "score") == [(2 * 256_000_000**2,)]
+    low = spark.createDataFrame([(0, [2.0**24]), (1, [-1.5 * 2.0**22]), (2, [0.0]), (2, [0.0])], "vec_id long, embedding array<double>")
+    assert rows(topk_search.exact_top_k(low, F.col("vec_id") == 0, k=4), "vec_id", "score") == [(1, -6917529027641081856), (2, 0), (2, 0)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk_search.exact_top_k(spark.createDataFrame([(0, [1e9, 0.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
