@@ -134,9 +134,10 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .withColumn("_apart", F.lit(True))
     )
     classed = rows.join(differing, ["fp", "n_norm"], "left").withColumn("_class", F.concat_ws(":", "fp", "n_norm", F.when(F.col("_apart"), F.col("text_sha256"))))
-    groups = classed.groupBy("_class").agg(
+    # A written table on this side: then adaptive execution can split a class of very many rows on the other.
+    groups = cut(classed.groupBy("_class").agg(
         F.min(F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").alias("id")))["id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
+    ))
     return classed.join(groups, "_class").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
