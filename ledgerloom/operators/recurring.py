@@ -165,9 +165,13 @@ def active_series(series: DataFrame, as_of) -> DataFrame:
     return series.filter(is_active(F.col("last_seen"), F.col("cadence"), F.lit(as_of).cast("date")))
 
 
+def dearest_first() -> list[Column]:
+    """The order of series and findings: by annual cost; equal ones in the order in which they first appear."""
+    return [F.desc("annual_minor"), F.col("first_seen"), F.col("first_transaction_id")]
+
+
 def ordered_series(series: DataFrame) -> DataFrame:
-    """Dearest first; equal ones in the order in which they first appear."""
-    return series.orderBy(F.desc("annual_minor"), "first_seen", "first_transaction_id")
+    return series.orderBy(*dearest_first())
 
 
 def confidence_tier(confidence: Column) -> Column:

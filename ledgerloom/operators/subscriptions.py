@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.money import one_currency, scale_by
 from ..functions.reference import catalogue, service_classes
 from .ledger import upsert
-from .recurring import cadence_factor, detect_recurring, is_active
+from .recurring import cadence_factor, dearest_first, detect_recurring, is_active
 
 
 class Report(NamedTuple):
@@ -154,8 +154,8 @@ def report_totals(subs: DataFrame, *, strict: bool = False) -> DataFrame:
 
 
 def untagged_merchants(subs: DataFrame) -> DataFrame:
-    """Active subscriptions of no class, dearest first."""
-    return active(subs).filter(F.col("service_class").isNull()).orderBy(F.desc("annual_minor"))
+    """Active subscriptions of no class, dearest first; equal ones in the order in which they first appear."""
+    return active(subs).filter(F.col("service_class").isNull()).orderBy(*dearest_first())
 
 
 def analyse_ledger(tx: DataFrame, as_of, *, overrides: DataFrame | None = None, built_in: DataFrame | None = None) -> Report:

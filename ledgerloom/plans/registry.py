@@ -13,9 +13,9 @@ from ..functions.amounts import parse_amount_minor
 from ..functions.dates import infer_date_order, parse_date
 from ..functions.merchants import display_name_of_key, with_merchant_key
 from ..functions.money import add_minor, allocate, compare_minor, is_credit, is_debit, is_liability, magnitude, negated, percent_of, plain_text, scale_by, split_even, subtract_minor, sum_minor, times, to_major, to_minor
-from ..functions.reference import CATALOGUE, CITIES, BRAND_ALIASES, SERVICE_CLASSES, STATES
+from ..functions.reference import BRAND_ALIASES, CATALOGUE, CITIES, SERVICE_CLASSES, STATES, catalogue
 from ..operators import imports, ledger, subscriptions
-from ..operators.recurring import active_series, confidence_tier, detect_recurring
+from ..operators.recurring import active_series, confidence_tier, dearest_first, detect_recurring, ordered_series
 from ..sources.schemas import ACCOUNTS, valid_account, valid_batch, valid_category
 from ..sources.shared import fresh_path
 from ..sources.snapshots import Store
@@ -172,6 +172,56 @@ def classified_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subs(spark, sf_dir).select("ledger_id", "merchant_key", "service_class", "is_overridden", "is_known")
 
 
+_FIRST = "f AS (SELECT ledger_id, merchant_key, min({'d': posted_date, 'i': id}).i AS first_id FROM tx WHERE amount_minor < 0 AND NOT is_transfer GROUP BY ALL)"
+_DEAREST = "annual_minor DESC, first_seen, first_id"
+
+
+@query(f"WITH {_SERIES}, {_FIRST} SELECT ledger_id, merchant_key, annual_minor, row_number() OVER (PARTITION BY ledger_id ORDER BY {_DEAREST}) AS place FROM priced JOIN f USING (ledger_id, merchant_key)")
+def series_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ledger's series, dearest first."""
+    series = ordered_series(detect_recurring(rhythm_ledger(spark, sf_dir)))
+    place = F.row_number().over(Window.partitionBy("ledger_id").orderBy(*dearest_first()))
+    return series.select("ledger_id", "merchant_key", "annual_minor", place.alias("place"))
+
+
+@query(
+    f"""WITH {_SERIES}, {_FIRST} SELECT ledger_id, service_class, array_to_string(list(merchant_key ORDER BY {_DEAREST}), '|') AS merchants, (sum(annual_minor) - min(annual_minor))::BIGINT AS saving_minor
+    FROM subs JOIN red USING (service_class) JOIN f USING (ledger_id, merchant_key) WHERE is_active GROUP BY ledger_id, service_class HAVING count(*) > 1"""
+)
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of each duplicate, dearest first."""
+    found = subscriptions.duplicate_subscriptions(_subs(spark, sf_dir))
+    return found.select("ledger_id", "service_class", F.array_join("merchants", "|").alias("merchants"), "saving_minor")
+
+
+@query(f"WITH {_SERIES}, {_FIRST} SELECT ledger_id, merchant_key, annual_minor, row_number() OVER (PARTITION BY ledger_id ORDER BY {_DEAREST}) AS place FROM subs JOIN f USING (ledger_id, merchant_key) WHERE is_active AND service_class IS NULL")
+def untagged_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subscriptions.untagged_merchants(_subs(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("ledger_id").orderBy(*dearest_first()))
+    return found.select("ledger_id", "merchant_key", "annual_minor", place.alias("place"))
+
+
+@query(f"WITH {_SERIES} SELECT ledger_id, merchant_key, cadence FROM priced WHERE merchant_key IN (SELECT merchant_key FROM cat WHERE cat.service_class = 'VIDEO_STREAMING')")
+def series_of_a_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series whose merchants the built-in catalogue has in one class, whatever a user says of them."""
+    series, names = detect_recurring(rhythm_ledger(spark, sf_dir)), subscriptions.merchants_in(catalogue(spark), "VIDEO_STREAMING")
+    return series.join(F.broadcast(names), "merchant_key", "left_semi").select("ledger_id", "merchant_key", "cadence")
+
+
+@query(
+    f"""WITH {_SERIES}, {_DUPLICATES} SELECT 'subscriptions' AS report, ledger_id, count(*) AS n, sum(annual_minor)::BIGINT AS amount_minor FROM subs GROUP BY ledger_id
+    UNION ALL SELECT 'duplicates', ledger_id, count(*), sum(saving_minor)::BIGINT FROM dup GROUP BY ledger_id
+    UNION ALL SELECT 'totals', ledger_id, count(*), sum(annual_minor)::BIGINT FROM subs WHERE is_active GROUP BY ledger_id"""
+)
+def analysed_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis in one call: rows and amounts of its reports by ledger."""
+    tx = rhythm_ledger(spark, sf_dir)
+    report = subscriptions.analyse_ledger(tx, AS_OF, overrides=_overrides(tx))
+    sums = lambda name, df, amount: df.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("n"), sum_minor(F.col(amount)).alias("amount_minor")).select(F.lit(name).alias("report"), "ledger_id", "n", "amount_minor")
+    totals = report.totals.groupBy("ledger_id").agg(F.sum("active").alias("n"), F.sum("annual_minor").alias("amount_minor")).select(F.lit("totals").alias("report"), "ledger_id", "n", "amount_minor")
+    return sums("subscriptions", report.subscriptions, "annual_minor").unionByName(sums("duplicates", report.duplicates, "saving_minor")).unionByName(totals)
+
+
 # -- refresh and live queries ------------------------------------------------------------------
 
 _REFRESHED = _SERIES.replace("FROM tx WHERE amount_minor < 0", "FROM tx WHERE (account_id <> 'A2' OR length(ledger_id) = 2) AND amount_minor < 0")
