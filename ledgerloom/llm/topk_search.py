@@ -7,8 +7,10 @@ the sum over its terms of the largest product that the block allows. A query vis
 descending order of their bounds, scores all of the block at once, and stops when the bound of the next
 block is below its k-th score.
 
-On Spark, groups of blocks and groups of queries make a grid, whose cells are tasks of bounded size;
-each cell returns its k best of a query, and the best of those are kept.
+On Spark the documents are dealt into groups by their leading term, of a bounded number of vectors, and so are the queries. Bounds
+for whole groups come from a table of their greatest and least weights. A query first visits the group of its highest bound, whose k-th score
+prunes all groups of lower bounds; the rest of its groups is visited in a second round. A cell, some queries of one group and one group of documents, is a
+task of bounded size, which goes through its blocks as above; cells that no query has to visit are never made.
 """
 
 from __future__ import annotations
@@ -83,6 +85,118 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return top_id, top
 
 
+def _packed(pdf: pd.DataFrame, key: str) -> dict:
+    """A group's ids and vectors in one row."""
+    x = _matrix(list(pdf["v"]))
+    x = x.astype("<i4") if max(int(x.max(initial=0)), -int(x.min(initial=0))) < 1 << 31 else x.astype("<i8")
+    return {key: pdf[key].iloc[0], "ids": pdf["id"].to_numpy(dtype="<i8").tobytes(), "x": x.tobytes(), "width": x.shape[1], "high": x.max(axis=0).tolist(), "low": x.min(axis=0).tolist()}
+
+
+def _unpacked(ids: bytes, x: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, dtype="<i8")
+    return names, np.frombuffer(x, dtype="<i8" if len(x) == 8 * len(names) * width else "<i4").reshape(len(names), width).astype(np.int64)
+
+
+def group_bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each query and group the highest score that the group's greatest and least weights allow."""
+    q, both = _numbers(q, np.concatenate([high, low]))
+    return np.maximum(q, 0) @ both[: len(high)].T + np.minimum(q, 0) @ both[len(high) :].T
+
+
+class Search:
+    """The packed groups of a search, and its two rounds of cells."""
+
+    def __init__(self, rows: DataFrame, k: int, candidates_each: int, queries_each: int, bounds_each: int):
+        """rows: id, v, query; written."""
+        self.k, self.spark = k, rows.sparkSession
+        size = F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)")))
+        place = F.array_position(size, F.array_max(size)).cast("int")
+        led = rows.withColumn("lead", place * 2 + (F.element_at("v", place) > 0).cast("int"))
+        # Two rows for each component at most.
+        counts = led.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("asked"))
+        part = lambda n, each: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / F.lit(each)))
+        led = led.join(F.broadcast(counts), "lead")
+        grouped = led.withColumn("g", F.col("lead") * F.lit(1 << 32) + part("n", candidates_each))
+        packs = "ids binary, x binary, width int, high array<long>, low array<long>"
+        self.groups = cut(grouped.select("g", "id", "v").groupBy("g").applyInPandas(lambda pdf: pd.DataFrame([_packed(pdf, "g")]), f"g long, {packs}"))
+        asked = led.filter("query").groupBy("id").agg(F.min(F.struct("v", "lead", "asked")).alias("q")).select("id", "q.*")
+        asked = asked.withColumn("qg", F.col("lead") * F.lit(1 << 32) + part("asked", queries_each))
+        self.queries = cut(asked.select("qg", "id", "v").groupBy("qg").applyInPandas(lambda pdf: pd.DataFrame([_packed(pdf, "qg")]), f"qg long, {packs}")).select("qg", "ids", "x", "width")
+        self.chunks = max(1, -(-self.groups.count() // bounds_each))
+        self.bounds = self.groups.select("g", "high", "low").withColumn("mc", F.pmod(F.xxhash64("g"), F.lit(self.chunks)))
+
+    def _bounded(self, queries: DataFrame, choose, schema: str) -> DataFrame:
+        """choose(key, queries' matrix, groups, bounds, the queries' row) over each group of queries and chunk of the table of bounds."""
+        dealt = queries.withColumn("mc", F.explode(F.sequence(F.lit(0), F.lit(self.chunks - 1)))).withColumn("mc", F.col("mc").cast("long"))
+
+        def run(key: tuple, qs: pd.DataFrame, gs: pd.DataFrame) -> pd.DataFrame:
+            if not len(qs) or not len(gs):
+                return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
+            row = qs.iloc[0]
+            _, q = _unpacked(row["ids"], row["x"], row["width"])
+            return choose(row, gs["g"].to_numpy(), group_bounds(q, _matrix(list(gs["high"])), _matrix(list(gs["low"]))))
+
+        table = self.bounds.join(dealt.select(F.col("qg").alias("h"), F.col("mc").alias("c")), F.col("mc") == F.col("c")).select("h", "c", "g", "high", "low")
+        return dealt.groupBy("qg", "mc").cogroup(table.groupBy("h", "c")).applyInPandas(run, schema)
+
+    def first_cells(self) -> DataFrame:
+        """qg, g, at: each query (by its place in its group) with the group of its highest bound."""
+
+        def choose(row: pd.Series, g: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+            best = bounds.argmax(axis=1)
+            at = np.arange(len(bounds))
+            return pd.DataFrame({"qg": row["qg"], "at": at, "g": g[best], "bound": bounds[at, best].astype(np.float64)})
+
+        every = self._bounded(self.queries, choose, "qg long, at int, g long, bound double")
+        return cut(every.groupBy("qg", "at").agg(F.max(F.struct("bound", "g")).alias("b")).select("qg", "at", "b.g").groupBy("qg", "g").agg(F.sort_array(F.collect_list("at")).alias("at")))
+
+    def second_cells(self, first: DataFrame, found: DataFrame) -> DataFrame:
+        """qg, g, at: each query with the other groups whose bound its k-th score so far does not beat."""
+        best = Window.partitionBy("qg", "at").orderBy(F.desc("score"), "vec_id")
+        kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == self.k).select("qg", "at", "score")
+        told = kth.groupBy("qg").agg(F.collect_list("at").alias("known"), F.collect_list("score").alias("kth"))
+        # A list for each group of queries, of an entry for each of its queries at most.
+        seen = first.select("qg", "g", F.explode("at").alias("a")).groupBy("qg").agg(F.collect_list(F.struct("a", "g")).alias("seen"))
+        queries = self.queries.join(told, "qg", "left").join(seen, "qg", "left").select("*", F.transform("seen", lambda x: x["a"]).alias("seen_at"), F.transform("seen", lambda x: x["g"]).alias("seen_g")).drop("seen")
+
+        def choose(row: pd.Series, g: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+            least = np.full(len(bounds), -(1 << 200), dtype=object)
+            if row["known"] is not None:
+                least[np.asarray(row["known"])] = [int(s) for s in row["kth"]]
+            # A group whose bound equals the k-th score may hold a smaller id of that score.
+            visit = (bounds >= least[:, None]).astype(bool)
+            held = dict(zip(g.tolist(), range(len(g)), strict=True))
+            for a, s in zip(row["seen_at"], row["seen_g"], strict=True):
+                if s in held:
+                    visit[a, held[s]] = False
+            some = np.flatnonzero(visit.any(axis=0))
+            at = np.array([" ".join(map(str, np.flatnonzero(visit[:, j]).tolist())) for j in some.tolist()], dtype=object)
+            return pd.DataFrame({"qg": np.full(len(some), row["qg"], dtype=np.int64), "g": g[some], "at": pd.Series(at, dtype=object)})
+
+        cells = self._bounded(queries, choose, "qg long, g long, at string")
+        return cut(cells.withColumn("at", F.split("at", " ").cast("array<int>")))
+
+    def scored(self, cells: DataFrame) -> DataFrame:
+        """qg, at, query_id, vec_id, score: the k best of each query in each of its cells."""
+        k = self.k
+        left = cells.join(self.queries, "qg").select("qg", "g", "at", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("width").alias("q_width"))
+        both = left.join(self.groups.drop("high", "low"), "g")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            row = pdf.iloc[0]
+            at = np.asarray(row["at"])
+            q_ids, q = _unpacked(row["q_ids"], row["q_x"], row["q_width"])
+            ids, scores = search_cell(q_ids[at], q[at], *_unpacked(row["ids"], row["x"], row["width"]), k)
+            got = ids >= 0
+            best = scores[got]
+            if best.dtype == object and any(not -(1 << 63) <= s < 1 << 63 for s in best.tolist()):
+                raise OverflowError("a score does not fit a long")
+            each = np.repeat(np.arange(len(at)), k)[got.ravel()]
+            return pd.DataFrame({"qg": row["qg"], "at": at[each], "query_id": q_ids[at][each], "vec_id": ids[got], "score": best.astype(np.int64)})
+
+        return cut(both.groupBy("qg", "g").applyInPandas(run, "qg long, at int, query_id long, vec_id long, score long"))
+
+
 def exact_top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -93,6 +207,7 @@ def exact_top_k(
     scale: int = 256,
     candidates_each: int = 8192,
     queries_each: int = 2048,
+    bounds_each: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of highest inner product for every query row, ties to the smaller id.
 
@@ -107,27 +222,14 @@ def exact_top_k(
             "id is not null and v is not null"
         )
     )
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
-    groups, query_groups = max(1, -(-n // candidates_each)), max(1, -(-n_queries // queries_each))
-    queries = rows.filter("query").groupBy("id").agg(F.min("v").alias("v"))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_groups)).cast("int").alias("qg")).select("*", every(groups).alias("g"))
-    right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).select("*", every(query_groups).alias("qg"))
-
-    def cell(key: tuple, qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(xs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q_ids = qs["id"].to_numpy()
-        ids, scores = search_cell(q_ids, _matrix(list(qs["v"])), xs["id"].to_numpy(), _matrix(list(xs["v"])), k)
-        got = ids >= 0
-        best = scores[got]
-        if best.dtype == object and any(not -(1 << 63) <= s < 1 << 63 for s in best.tolist()):
-            raise OverflowError("a score does not fit a long")
-        return pd.DataFrame({"query_id": np.repeat(q_ids, k)[got.ravel()], "vec_id": ids[got], "score": best.astype(np.int64)})
-
-    found = left.groupBy("g", "qg").cogroup(right.groupBy("g", "qg")).applyInPandas(cell, "query_id long, vec_id long, score long")
+    if rows.filter("query").isEmpty():
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    search = Search(rows, k, candidates_each, queries_each, bounds_each)
+    first = search.first_cells()
+    found = search.scored(first)
+    found = found.unionByName(search.scored(search.second_cells(first, found)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-__all__ = ["exact_top_k", "integer_vector", "search_cell"]
+__all__ = ["Search", "exact_top_k", "integer_vector", "search_cell"]

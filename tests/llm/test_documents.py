@@ -405,7 +405,7 @@ def test_top_k_against_all_scores(spark):
     vectors = {i: [rng.choice([-0.5, -0.25, 0.0, 0.25, 0.5, rng.uniform(-1, 1)]) for _ in range(6)] for i in range(300)}
     odd = [(1000, None), (1050, [None] * 6), (1100, [math.nan] * 6), (1150, [math.inf] * 6), (1200, [])]
     df = spark.createDataFrame([*vectors.items(), *odd], "vec_id long, embedding array<double>").withColumn("id", F.lit("x"))
-    got = topk_search.exact_top_k(df, F.col("vec_id") % 50 == 0, k=5, candidates_each=70, queries_each=4)
+    got = topk_search.exact_top_k(df, F.col("vec_id") % 50 == 0, k=5, candidates_each=20, queries_each=1, bounds_each=3)
     ints = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
     want = []
     for q in range(0, 300, 50):
@@ -424,3 +424,24 @@ def test_top_k_with_few_candidates(spark):
     assert rows(topk_search.exact_top_k(low, F.col("vec_id") == 0, k=4), "vec_id", "score") == [(1, -6917529027641081856), (2, 0), (2, 0)]
     with pytest.raises(Exception, match="does not fit a long"):
         topk_search.exact_top_k(spark.createDataFrame([(0, [1e9, 0.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+def test_top_k_visits_few_cells_of_vectors_that_point_apart(spark):
+    """Twelve directions: a query's k-th score in its own group beats the bounds of all others. Without direction nothing is pruned, nor lost."""
+    rng = np.random.default_rng(2)
+    apart = np.eye(12)[np.arange(600) % 12] * rng.uniform(2, 3, (600, 1)) + rng.normal(size=(600, 12)) * 0.02
+    flat = rng.normal(size=(600, 12))
+    for vectors, most in ((apart, 0), (flat, 10**9)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        rows_ = df.select(F.col("vec_id").alias("id"), topk_search.integer_vector(F.col("embedding")).alias("v"), (F.col("vec_id") % 50 == 0).alias("query"))
+        search = topk_search.Search(rows_, 5, 100, 10, 4096)
+        first = search.first_cells()
+        second = search.second_cells(first, search.scored(first))
+        assert first.agg(F.sum(F.size("at"))).first()[0] == 12 and (second.agg(F.sum(F.size("at"))).first()[0] or 0) <= most
+        ints = np.floor(256 * vectors).astype(np.int64)
+        scores = ints @ ints.T
+        want = []
+        for q in range(0, 600, 50):
+            order = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[q, i], i))[:5]
+            want += [(q, r + 1, i, int(scores[q, i])) for r, i in enumerate(order)]
+        assert rows(topk_search.exact_top_k(df, F.col("vec_id") % 50 == 0)) == sorted(want, key=repr)
