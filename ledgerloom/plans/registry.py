@@ -392,13 +392,13 @@ def import_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_NEW} SELECT ledger_id, 'B1' AS batch_id, p AS rows_parsed, coalesce(i, 0) AS rows_imported, p - coalesce(i, 0) AS rows_duplicate, f AS rows_failed,
-        p > 0 AND (p - coalesce(i, 0)) * 10 > p * 9 AS likely_reimport, true AS needs_review, '2024-01-02 03:04:05' AS imported_at
+        p > 0 AND (p - coalesce(i, 0)) * 10 > p * 9 AS likely_reimport, true AS needs_review, 1704164645::BIGINT AS imported_at
     FROM (SELECT ledger_id, count(*) AS p, count(*) FILTER (source_pos % 100 = 1) AS f FROM inc GROUP BY ledger_id)
     LEFT JOIN (SELECT ledger_id, count(*) AS i FROM fresh GROUP BY ledger_id) USING (ledger_id)"""
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second batch of each ledger; all ledgers use the same names for batches."""
-    return _import(spark, sf_dir)[1].summary.withColumn("imported_at", F.date_format("imported_at", "yyyy-MM-dd HH:mm:ss"))
+    return _import(spark, sf_dir)[1].summary.withColumn("imported_at", F.unix_seconds("imported_at"))
 
 
 def _in_order_sql(select: str, batches: int = 4) -> str:
