@@ -14,11 +14,23 @@ from ledgerloom.llm import language_id, line_dedup, mixing, sentencepiece_codec,
 from ledgerloom.llm.common import documents, scratch
 
 
+#: Rows of text that go to a Python worker at once. Spark's 10,000 would be some 35 MB, held in the JVM's buffers and in the worker.
+ROWS = 1_000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """For stages with Python workers, from here on in this session; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted language is doubtful, or that have no letter or no text, go; a null lang takes the prediction.
 
     Repeated rows are judged one by one; extra columns stay; an empty table stays empty.
     """
+    _short_batches(spark)
     return language_id.in_known_language(docs, language_id.training_samples(docs))
 
 
@@ -35,6 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words, text or id all stay, and so do all rows of an id that stays; extra columns stay.
     """
+    _short_batches(spark)
     return similarity_join.one_of_each(docs)
 
 
@@ -48,7 +61,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip for every row; a null or empty text has no tokens. Repeated rows stay."""
-    found = sentencepiece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    _short_batches(spark)
+    found = sentencepiece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), texts_each=1_000_000)
     return found.select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
