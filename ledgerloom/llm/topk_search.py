@@ -112,15 +112,18 @@ class Search:
         size = F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)")))
         place = F.array_position(size, F.array_max(size)).cast("int")
         led = rows.withColumn("lead", place * 2 + (F.element_at("v", place) > 0).cast("int"))
-        # Two rows for each component at most.
+        # Two rows for each component at most. Leading terms of few vectors share a group, in their order.
+        before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+        few = lambda n, each: F.coalesce(F.sum(F.when(F.col(n) < each, F.col(n)).otherwise(0)).over(before), F.lit(0))
         counts = led.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("asked"))
-        part = lambda n, each: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / F.lit(each)))
+        counts = counts.withColumns({"n_before": few("n", candidates_each), "asked_before": few("asked", queries_each)})
+        part = lambda n, each: F.when(F.col(n) < each, -1 - F.floor(F.col(f"{n}_before") / each)).otherwise(F.col("lead") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / F.lit(each))))
         led = led.join(F.broadcast(counts), "lead")
-        grouped = led.withColumn("g", F.col("lead") * F.lit(1 << 32) + part("n", candidates_each))
+        grouped = led.withColumn("g", part("n", candidates_each))
         packs = "ids binary, x binary, width int, high array<long>, low array<long>"
         self.groups = cut(grouped.select("g", "id", "v").groupBy("g").applyInPandas(lambda pdf: pd.DataFrame([_packed(pdf, "g")]), f"g long, {packs}"))
-        asked = led.filter("query").groupBy("id").agg(F.min(F.struct("v", "lead", "asked")).alias("q")).select("id", "q.*")
-        asked = asked.withColumn("qg", F.col("lead") * F.lit(1 << 32) + part("asked", queries_each))
+        asked = led.filter("query").groupBy("id").agg(F.min(F.struct("v", "lead", "asked", "asked_before")).alias("q")).select("id", "q.*")
+        asked = asked.withColumn("qg", part("asked", queries_each))
         self.queries = cut(asked.select("qg", "id", "v").groupBy("qg").applyInPandas(lambda pdf: pd.DataFrame([_packed(pdf, "qg")]), f"qg long, {packs}")).select("qg", "ids", "x", "width")
         self.chunks = max(1, -(-self.groups.count() // bounds_each))
         self.bounds = self.groups.select("g", "high", "low").withColumn("mc", F.pmod(F.xxhash64("g"), F.lit(self.chunks)))
