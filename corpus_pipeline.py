@@ -48,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words, text or id all stay, and so do all rows of an id that stays; extra columns stay.
     """
     _short_batches(spark)
-    return similarity_join.one_of_each(docs)
+    return similarity_join.one_of_each(docs, signatures_each=700_000)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
