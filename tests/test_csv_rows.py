@@ -79,3 +79,13 @@ def test_files_without_odd_quotes_stay_in_the_jvm(spark):
     plan = statements.csv_rows(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1
     assert rows(statements.csv_rows(files), "file", "line_no", "fields") == [("a", 1, ["x", "y, z"]), ("a", 2, ["1", "2\n3"]), ("b", 1, ["x", '5" y'])]
+
+
+def test_files_and_rows_are_read_once(spark):
+    """Delimiters are not told again by what filters the rows, nor dates and amounts by what tells good rows from bad ones."""
+    files = spark.createDataFrame([("a", "Date,Payee,Amount\n2024-01-31,shop,1.50\nsomeday,shop,1.50\n")], "file string, content string")
+    assert "content" not in statements.csv_rows(files)._jdf.queryExecution().optimizedPlan().toString()
+    parsed, problems = statements.csv_transactions(files)
+    assert "regexp_replace" not in parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(parsed, "file", "source_pos", "amount_minor") == [("a", 1, 150)]
+    assert rows(problems, "file", "location", "message") == [("a", "line 3", "Could not read 'someday' as a date")]
