@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from ..functions.reference import CATALOGUE, CITIES, STATES
 
 AS_OF = "2023-06-30"
+#: A customer makes some eight transactions, so that a task has 200,000 or so.
+CUSTOMERS_A_TASK = 25_000
 NAMES = [m for names in CATALOGUE.values() for m in names.split(", ")]
 
 
 def rhythm_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in NAMES])
     k = F.col("k")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    # Keys alone are a few MB: they would be one task's, and with them all the rows that they make, to be sorted for partial sums.
+    customers = customers.repartition(customers.count() // CUSTOMERS_A_TASK + 1, "k")
     charges = (
-        spark.read.parquet(f"{sf_dir}/customer.parquet")
-        .select(F.col("c_custkey").cast("long").alias("k"))
-        .withColumns(
+        customers.withColumns(
             {
                 "start": F.expr("case when k % 13 = 0 then date'2022-01-31' else date_add(date'2022-01-01', cast(k * 37 % 300 as int)) end"),
                 "n": F.expr("cast(3 + k % 10 as int)"),

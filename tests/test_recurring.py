@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import reference
 from ledgerloom.operators import recurring, subscriptions
+from ledgerloom.plans import driver_ledger
 
 AS_OF = "2026-07-01"
 TX = "ledger_id string, id string, merchant_key string, posted_date date, amount_minor long, currency string, is_transfer boolean"
@@ -190,3 +191,12 @@ def test_runs_round_as_decimals_do(spark):
 
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, a array<long>").withColumn("r", subscriptions.amount_runs(F.col("a")))
     assert all([[x["rep"], x["n"]] for x in r["r"]] == by_hand(lists[r["i"]]) for r in df.collect())
+
+
+def test_many_customers_are_dealt_over_tasks_before_their_rows_are_made(spark, tmp_path, monkeypatch):
+    spark.range(1, 101).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    whole = driver_ledger.rhythm_ledger(spark, str(tmp_path))
+    monkeypatch.setattr(driver_ledger, "CUSTOMERS_A_TASK", 10)
+    dealt = driver_ledger.rhythm_ledger(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 11
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
