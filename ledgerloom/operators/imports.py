@@ -176,17 +176,19 @@ def new_of_many(enriched: DataFrame, ledger: DataFrame, batch_order: str = "batc
     rows = _unknown(enriched, ledger)
     place = F.struct(F.col(batch_order).alias("batch"), F.col("source_pos").alias("pos"), F.col("id").alias("id"))
     own = [F.concat_ws(UNIT, F.lit("hash"), *BY_HASH), F.when(F.col("institution_transaction_id").isNotNull(), F.concat_ws(UNIT, F.lit("id"), *BY_FITID))]
-    keys = rows.select("id", place.alias("place"), F.explode(F.array_compact(F.array(*own))).alias("key"))
+    # Every round deals the keys several times: a digest stands for each, of the collision resistance that the hashes rest on, and the id is in the place alone.
+    keys = rows.select(place.alias("place"), F.explode(F.transform(F.array_compact(F.array(*own)), lambda k: F.unhex(F.sha2(k, 256)))).alias("key"))
     new = None
     while True:
         keys = settled(keys)
         if keys.isEmpty():
             break
         first = keys.groupBy("key").agg(F.min("place").alias("first"))
-        won = settled(keys.join(first, "key").groupBy("id").agg(F.bool_and(F.col("place") == F.col("first")).alias("wins")).filter("wins").select("id"))
+        won = settled(keys.join(first, "key").groupBy(F.col("place.id").alias("id")).agg(F.bool_and(F.col("place") == F.col("first")).alias("wins")).filter("wins").select("id"))
         new = won if new is None else new.unionByName(won)
-        taken = keys.join(won, "id", "left_semi").select("key").distinct()
-        keys = keys.join(keys.join(taken, "key", "left_semi").select("id").distinct(), "id", "left_anti")
+        taken = keys.join(won, F.col("place.id") == won["id"], "left_semi").select("key").distinct()
+        gone = keys.join(taken, "key", "left_semi").select(F.col("place.id").alias("id")).distinct()
+        keys = keys.join(gone, F.col("place.id") == gone["id"], "left_anti")
     return rows.limit(0) if new is None else rows.join(new, "id", "left_semi")
 
 
