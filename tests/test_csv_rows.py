@@ -1,8 +1,11 @@
 """The CSV tokeniser in column functions against one character by character."""
 
 import random
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from ledgerloom.sources import statements
 
 from .conftest import rows
@@ -89,3 +92,27 @@ def test_files_and_rows_are_read_once(spark):
     assert "regexp_replace" not in parsed._jdf.queryExecution().optimizedPlan().toString()
     assert rows(parsed, "file", "source_pos", "amount_minor") == [("a", 1, 150)]
     assert rows(problems, "file", "location", "message") == [("a", "line 3", "Could not read 'someday' as a date")]
+
+
+def test_many_quotes_in_one_file(spark):
+    """The pieces between quotes are split once: 2 x 20,000 pieces that each split the file's text again took minutes."""
+    text = "\n".join(f'{i},"a, b","c"' for i in range(10_000))
+    began = time.monotonic()
+    found = statements.csv_rows(spark.createDataFrame([("many.csv", text)], "file string, content string"))
+    got = found.agg(F.count(F.lit(1)), F.sum(F.size("fields")), F.max("fields"), F.max("line_no")).first()
+    assert tuple(got) == (10_000, 30_000, ["9999", "a, b", "c"], 10_000)
+    assert time.monotonic() - began < 60
+
+
+def test_mapping_by_words_needs_no_profile_but_rows(spark):
+    """Words of the header settle a file that has rows; a header without a description, and none at all, still take the columns' profile."""
+    texts = {
+        "words": "Date,Payee,Amount\n13/02/2024,Shop,1.50\n14/02/2024,,2.00",
+        "head only": "Date,Payee,Amount",
+        "no description": "Date,Amount,What\n02/13/2024,1.50,Shop",
+        "no header": "2024-02-13,Shop of words,1.50",
+    }
+    rows = statements.csv_rows(spark.createDataFrame(list(texts.items()), "file string, content string"))
+    found = statements.detect_mapping(rows, statements.headers(rows))
+    got = {r["file"]: (r["confidence"], r["mapping"]["description_columns"], r["mapping"]["day_first"]) for r in found.collect()}
+    assert got == {"words": ("HEADER_MATCH", [1], True), "no description": ("HEADER_MATCH", [2], False), "no header": ("CONTENT_GUESS", [1], False)}
