@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import statement_queries
 from ledgerloom.sources import statements
 
 from .conftest import rows
@@ -116,3 +117,20 @@ def test_mapping_by_words_needs_no_profile_but_rows(spark):
     found = statements.detect_mapping(rows, statements.headers(rows))
     got = {r["file"]: (r["confidence"], r["mapping"]["description_columns"], r["mapping"]["day_first"]) for r in found.collect()}
     assert got == {"words": ("HEADER_MATCH", [1], True), "no description": ("HEADER_MATCH", [2], False), "no header": ("CONTENT_GUESS", [1], False)}
+
+
+def test_profile_of_files_without_header(spark, monkeypatch):
+    """The same as of all rows, wherever the first row stands; files with a header are not split into rows, nor their fields kept."""
+    texts = ["2024-01-31,Shop,1.50\n2024-02-01,,2", "\n\r\n2024-01-31;a b;1\r\n", '2024-01-31,"two\nlines",1\n2024-02-01,x,2', '2024-01-31,5" pipe,1\nx,y"z,n/a', '"Da\nte",What,Sum\n2024-01-31,x,1', "Date,Payee,Amount\n2024-01-31,x,1", " , \n,,\n1.5,x", "Da\"te,x\n1,2", "\n\n", ""]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("null", None)], "file string, content string")
+    all_rows = statements.csv_rows(files)
+    want = rows(statements.profile_columns(all_rows, statements.headers(all_rows).filter("not is_header")))
+    assert {r[0] for r in want} == {"0", "1", "2", "3", "6"}
+    assert rows(statements.profile_headerless(files)) == want
+
+    kept, settle = [], statements.settled
+    for module in (statements, statement_queries):
+        monkeypatch.setattr(module, "settled", lambda df: kept.append(settle(df)) or kept[-1])
+    assert statement_queries.column_profile(spark, "/root/testdata/sf0.001").count() > 0
+    assert kept and not any("fields" in df.columns for df in kept)
+    assert [df.filter("int(substring_index(substring(file, 2), '.', 1)) % 6 <> 2").count() for df in kept[1:]] == [0]
