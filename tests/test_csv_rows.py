@@ -131,6 +131,8 @@ def test_profile_of_files_without_header(spark, monkeypatch):
     kept, settle = [], statements.settled
     for module in (statements, statement_queries):
         monkeypatch.setattr(module, "settled", lambda df: kept.append(settle(df)) or kept[-1])
-    assert statement_queries.column_profile(spark, "/root/testdata/sf0.001").count() > 0
-    assert kept and not any("fields" in df.columns for df in kept)
-    assert [df.filter("int(substring_index(substring(file, 2), '.', 1)) % 6 <> 2").count() for df in kept[1:]] == [0]
+    for query in (statement_queries.column_profile, statement_queries.column_amounts):
+        kept.clear()
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
+        assert kept and not any("fields" in df.columns for df in kept)
+        assert [df.filter("int(substring_index(substring(file, 2), '.', 1)) % 6 <> 2").count() for df in kept[1:]] == [0]
