@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import one_currency, scale_by
 from ..functions.reference import catalogue, service_classes
+from ..sources.shared import settled
 from .ledger import upsert
 from .recurring import cadence_factor, dearest_first, detect_recurring, is_active
 
@@ -159,6 +160,6 @@ def untagged_merchants(subs: DataFrame) -> DataFrame:
 
 
 def analyse_ledger(tx: DataFrame, as_of, *, overrides: DataFrame | None = None, built_in: DataFrame | None = None) -> Report:
-    """The whole analysis of a ledger."""
-    subs = subscriptions(detect_recurring(tx), as_of, built_in=built_in, overrides=overrides)
+    """The whole analysis of a ledger; its subscriptions are found once, for all reports."""
+    subs = settled(subscriptions(detect_recurring(tx), as_of, built_in=built_in, overrides=overrides))
     return Report(subs, duplicate_subscriptions(subs), price_increases(subs), report_totals(subs))

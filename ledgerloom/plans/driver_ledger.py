@@ -12,17 +12,23 @@ from pyspark.sql import functions as F
 from ..functions.reference import CATALOGUE, CITIES, STATES
 
 AS_OF = "2023-06-30"
-#: A customer makes some eight transactions, so that a task has 200,000 or so.
-CUSTOMERS_A_TASK = 25_000
+#: A customer makes some eight transactions, so that a task has 40,000 or so.
+CUSTOMERS_A_TASK = 5_000
 NAMES = [m for names in CATALOGUE.values() for m in names.split(", ")]
 
 
 def rhythm_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in NAMES])
     k = F.col("k")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
-    # Keys alone are a few MB: they would be one task's, and with them all the rows that they make, to be sorted for partial sums.
-    customers = customers.repartition(customers.count() // CUSTOMERS_A_TASK + 1, "k")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k")).withColumns(
+        {
+            "ledger_id": F.expr("concat('L', (k div 10) % 50)"),
+            "merchant_key": F.when(k.between(1, len(NAMES)), F.try_element_at(names, k.cast("int"))).otherwise(F.concat(F.lit("MERCHANT "), k.cast("string"))),
+        }
+    )
+    # Keys alone are a few MB: they would be one task's, and with them all the rows that they make, to be sorted for partial sums. Dealt by what charges
+    # are grouped by, rows need not be dealt again into as many partitions as the session has, however many they are.
+    customers = customers.repartition(customers.count() // CUSTOMERS_A_TASK + 1, "ledger_id", "merchant_key")
     charges = (
         customers.withColumns(
             {
@@ -50,13 +56,13 @@ def rhythm_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("size", F.expr("case when i < 100 and k % 3 = 0 then priced + (i * 977 + k * 31) % greatest(1, priced * 6 div 10) else priced end"))
     )
     return charges.select(
-        F.expr("concat('L', (k div 10) % 50)").alias("ledger_id"),
+        "ledger_id",
         F.expr("concat(lpad(k, 10, '0'), '-', lpad(i, 4, '0'))").alias("id"),
         F.expr("concat('A', k % 3)").alias("account_id"),
         "posted_date",
         F.expr("case when k % 19 = 0 then size else -size end").alias("amount_minor"),
         F.lit("USD").alias("currency"),
-        F.when(k.between(1, len(NAMES)), F.try_element_at(names, k.cast("int"))).otherwise(F.concat(F.lit("MERCHANT "), k.cast("string"))).alias("merchant_key"),
+        "merchant_key",
         F.expr("k % 17 = 0").alias("is_transfer"),
     )
 

@@ -200,3 +200,11 @@ def test_many_customers_are_dealt_over_tasks_before_their_rows_are_made(spark, t
     dealt = driver_ledger.rhythm_ledger(spark, str(tmp_path))
     assert dealt.rdd.getNumPartitions() == 11
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_dealt_customers_are_not_dealt_again(spark, monkeypatch):
+    """Partitions grow with the customers up to the series: else those after a shuffle are as many as the session has, and grow with all rows."""
+    monkeypatch.setattr(driver_ledger, "CUSTOMERS_A_TASK", 10)
+    series = recurring.detect_recurring(driver_ledger.rhythm_ledger(spark, "/root/testdata/sf0.001"))
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert series.rdd.getNumPartitions() == customers // 10 + 1 > int(spark.conf.get("spark.sql.shuffle.partitions"))
