@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import reference
 from ledgerloom.operators import recurring, subscriptions
-from ledgerloom.plans import driver_ledger
+from ledgerloom.plans import driver_ledger, registry
 
 AS_OF = "2026-07-01"
 TX = "ledger_id string, id string, merchant_key string, posted_date date, amount_minor long, currency string, is_transfer boolean"
@@ -208,3 +208,12 @@ def test_dealt_customers_are_not_dealt_again(spark, monkeypatch):
     series = recurring.detect_recurring(driver_ledger.rhythm_ledger(spark, "/root/testdata/sf0.001"))
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     assert series.rdd.getNumPartitions() == customers // 10 + 1 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["subscriptions_active", "subscriptions_cancelled", "classified_merchants"])
+def test_classes_are_joined_where_the_series_are(spark, monkeypatch, name):
+    """Neither the series nor the overrides are dealt again for their join: its tasks, too, grow in number with the customers."""
+    monkeypatch.setattr(driver_ledger, "CUSTOMERS_A_TASK", 10)
+    subs = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert subs.rdd.getNumPartitions() == customers // 10 + 1 > int(spark.conf.get("spark.sql.shuffle.partitions"))
