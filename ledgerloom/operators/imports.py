@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.merchants import with_merchant_key
-from ..sources.shared import settled
-from ..sources.snapshots import Conflict, Snapshot, Store
+from ..sources.shared import discard, fresh_path, settled, stored
+from ..sources.snapshots import Conflict, Snapshot, Store, Unfinished
 
 UNIT = "\u001f"
 #: Sources whose rows a person has to look at.
@@ -19,6 +20,8 @@ REVIEWED_SOURCES = ("OCR", "PDF_TEXT")
 
 #: So many accounts or fewer are named to the scan of the ledger, which skips files by their statistics.
 NAMED_ACCOUNTS = 1000
+#: So many batches or fewer are sent to every task that picks their rows, which then are not dealt for it.
+NAMED_BATCHES = 100_000
 
 
 class ImportOutcome(NamedTuple):
@@ -34,27 +37,47 @@ def dedup_hash(account_id: Column, posted_date: Column, amount_minor: Column, me
     return F.sha2(F.concat_ws(UNIT, account_id, posted_date.cast("string"), amount_minor.cast("string"), merchant_key, occurrence.cast("string")), 256)
 
 
-def assign_hashes(parsed: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """parsed with occurrence and dedup_hash. Equal rows of one ledger's batch are numbered in source order, so a day's repeats are
+def number_repeats(parsed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """parsed with occurrence. Equal rows of one ledger's batch are numbered in source order, so a day's repeats are
     kept apart and yet meet themselves on re-import. Ledgers may use the same names for batches and accounts."""
     same = Window.partitionBy("ledger_id", batch, "account_id", "posted_date", "amount_minor", "merchant_key").orderBy("source_pos")
-    numbered = parsed.withColumn("occurrence", F.row_number().over(same) - 1)
+    return parsed.withColumn("occurrence", F.row_number().over(same) - 1)
+
+
+def with_hash(numbered: DataFrame) -> DataFrame:
     return numbered.withColumn("dedup_hash", dedup_hash(*[F.col(c) for c in ("account_id", "posted_date", "amount_minor", "merchant_key", "occurrence")]))
 
 
-def enrich(parsed: DataFrame, account_id: str | None = None, batch: str = "batch_id") -> DataFrame:
-    """Rows of the transactions table from parsed rows: key, hash, and an id that a rerun makes again."""
-    rows = parsed if account_id is None else parsed.withColumn("account_id", F.lit(account_id))
-    rows = assign_hashes(with_merchant_key(rows), batch)
+def assign_hashes(parsed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """parsed with occurrence and dedup_hash."""
+    return with_hash(number_repeats(parsed, batch))
+
+
+def with_ledger_columns(numbered: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """What rows of the transactions table have besides, all of it told from the row: hash, and an id that a rerun makes again."""
     fresh = {
-        "id": F.sha2(F.concat_ws(UNIT, F.col("ledger_id"), F.col(batch), F.col("source_pos").cast("string")), 256),
+        "id": _row_id(batch),
         "import_batch_id": F.col(batch),
         "category_id": F.lit(None).cast("string"),
         "is_transfer": F.lit(False),
         "notes": F.lit(None).cast("string"),
         "tags": F.array().cast("array<string>"),
     }
-    return rows.withColumns(fresh)
+    return with_hash(numbered).withColumns(fresh)
+
+
+#: Columns that `with_ledger_columns` sets, whatever the parsed rows had there.
+LATE_COLUMNS = ["id", "dedup_hash", "import_batch_id", "category_id", "is_transfer", "notes", "tags"]
+
+
+def _row_id(batch: str = "batch_id") -> Column:
+    return F.sha2(F.concat_ws(UNIT, F.col("ledger_id"), F.col(batch), F.col("source_pos").cast("string")), 256)
+
+
+def enrich(parsed: DataFrame, account_id: str | None = None, batch: str = "batch_id") -> DataFrame:
+    """Rows of the transactions table from parsed rows: key, hash, and an id that a rerun makes again."""
+    rows = parsed if account_id is None else parsed.withColumn("account_id", F.lit(account_id))
+    return with_ledger_columns(number_repeats(with_merchant_key(rows), batch), batch)
 
 
 LEDGER_COLUMNS = (
@@ -160,36 +183,70 @@ def import_batch(ledger: DataFrame, parsed: DataFrame, problems: DataFrame, acco
 
 
 def import_many(ledger: DataFrame, parsed: DataFrame, batch_order: str = "batch_seq") -> DataFrame:
-    """The new rows of many batches at once, as if imported one after another by batch_order."""
-    return new_of_many(enrich(parsed), ledger, batch_order)
+    """The new rows of many batches at once, as if imported one after another by batch_order. What they are read from stays in the shared folder."""
+    folder = fresh_path(parsed.sparkSession, "import")
+    return with_ledger_columns(new_of_many(numbered_table(parsed, folder), ledger, folder, batch_order))
+
+
+def numbered_table(parsed: DataFrame, folder: str) -> DataFrame:
+    """The parsed rows with merchant key and occurrence, as a table in the folder. Ids and hashes, which hardly compress, are told from them when asked for."""
+    return stored(number_repeats(with_merchant_key(parsed.drop(*LATE_COLUMNS))), f"{folder}/rows")
+
+
+def _digest(name: str, columns: list[str]) -> Column:
+    """128 bits that stand for a key: the lengths tell where its parts end, and a null from an empty part."""
+    lengths = [F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in columns]
+    return _half(F.sha2(F.concat_ws(UNIT, F.lit(name), *lengths, *columns), 256))
+
+
+def _half(sha: Column) -> Column:
+    return F.unhex(F.substring(sha, 1, 32))
+
+
+def _keys(rows: DataFrame, place: Column, known: bool) -> DataFrame:
+    """place, key: a row's hash and, where it has one, its institution id. known: of rows that are in the ledger; a null in their key meets nothing."""
+    whole = lambda columns: F.forall(F.array(*columns), lambda c: c.isNotNull())
+    by_hash, by_id = _digest("hash", BY_HASH), F.when(F.col("institution_transaction_id").isNotNull(), _digest("id", BY_FITID))
+    if known:
+        by_hash, by_id = F.when(whole(BY_HASH), by_hash), F.when(whole(BY_FITID), by_id)
+    return rows.select(place.alias("place"), F.explode(F.array_compact(F.array(by_hash, by_id))).alias("key"))
 
 
-def new_of_many(enriched: DataFrame, ledger: DataFrame, batch_order: str = "batch_seq") -> DataFrame:
-    """Of the enriched rows of many batches, those that are new when taken in order.
+def new_of_many(rows: DataFrame, ledger: DataFrame, folder: str, batch_order: str = "batch_seq") -> DataFrame:
+    """Of the numbered rows of many batches, those that are new when taken in order. rows: a table, as they are read more than once.
 
-    A row's keys are its hash and, where it has one, its institution id. A row is new if no new row before it has one of its keys.
-    So in each round the rows that come first under all of their keys are new, and those that share a key with one of them are not;
-    both go, and the rest is looked at again, until nothing is left. Rows are dealt by key, never by account, and first ones are
-    found by partial aggregation, so neither a large account nor a frequent key makes a large task. Most rows leave in the first round; a round more is
-    needed only where a row waits for one that itself waits.
+    A row's keys are its hash and, where it has one, its institution id. A row is new if neither the ledger nor a new row before it has one of
+    its keys. Most keys are those of one row only, and so most rows are new without a look at their place. Of the others, in each round the rows
+    that come first under all of their keys are new, and those that share a key with one of them or with the ledger are not; both go, and the rest is looked at
+    again, until nothing is left. A round more is needed only where a row waits for one that itself waits. Rows are dealt by key, never by account,
+    and first ones are found by partial aggregation, so neither a large account nor a frequent key makes a large task.
     """
-    rows = _unknown(enriched, ledger)
-    place = F.struct(F.col(batch_order).alias("batch"), F.col("source_pos").alias("pos"), F.col("id").alias("id"))
-    own = [F.concat_ws(UNIT, F.lit("hash"), *BY_HASH), F.when(F.col("institution_transaction_id").isNotNull(), F.concat_ws(UNIT, F.lit("id"), *BY_FITID))]
-    # Every round deals the keys several times: a digest stands for each, of the collision resistance that the hashes rest on, and the id is in the place alone.
-    keys = rows.select(place.alias("place"), F.explode(F.transform(F.array_compact(F.array(*own)), lambda k: F.unhex(F.sha2(k, 256)))).alias("key"))
-    new = None
-    while True:
-        keys = settled(keys)
-        if keys.isEmpty():
-            break
-        first = keys.groupBy("key").agg(F.min("place").alias("first"))
-        won = settled(keys.join(first, "key").groupBy(F.col("place.id").alias("id")).agg(F.bool_and(F.col("place") == F.col("first")).alias("wins")).filter("wins").select("id"))
-        new = won if new is None else new.unionByName(won)
-        taken = keys.join(won, F.col("place.id") == won["id"], "left_semi").select("key").distinct()
-        gone = keys.join(taken, "key", "left_semi").select(F.col("place.id").alias("id")).distinct()
-        keys = keys.join(gone, F.col("place.id") == gone["id"], "left_anti")
-    return rows.limit(0) if new is None else rows.join(new, "id", "left_semi")
+    spark = rows.sparkSession
+    # A digest stands for each key and id. The hash is computed from the row where it is needed.
+    own = _keys(with_hash(rows), F.struct(F.col(batch_order).alias("batch"), F.col("source_pos").alias("pos"), _half(_row_id()).alias("id")), known=False)
+    held = _keys(of_accounts(ledger, rows), F.lit(None).cast(own.schema["place"].dataType), known=True)
+    keys = own.unionByName(held)
+    # Eight bytes tell the keys that may be of several rows: what is dealt for all rows is short, and only keys that may be shared go on.
+    short = keys.select(F.xxhash64("key").alias("short"), F.col("place").isNotNull().alias("own"))
+    shared = short.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("own")).filter("n > 1 and own").select("short")
+    left = stored(keys.join(shared, F.xxhash64("key") == F.col("short"), "left_semi"), f"{folder}/keys-0")
+    lost = []
+    while not left.filter("place is not null").isEmpty():
+        n = len(lost)
+        first = left.groupBy("key").agg(F.min("place").alias("first"), F.bool_or(F.col("place").isNull()).alias("held"))
+        wins = (F.col("place") == F.col("first")) & ~F.col("held")
+        placed = left.filter("place is not null").join(first, "key").select("key", "place", F.col("place.id").alias("id"), F.col("first.id").alias("behind"), "held", wins.alias("wins"))
+        placed = stored(placed, f"{folder}/placed-{n}")
+        won = placed.groupBy(F.col("id").alias("winner")).agg(F.bool_and("wins").alias("new")).filter("new").select("winner")
+        taken = F.col("held") | F.col("winner").isNotNull()
+        fate = placed.filter("not wins").select("id", "behind", "held").join(won, F.col("behind") == F.col("winner"), "left").groupBy("id").agg(F.bool_or(taken).alias("lost"))
+        fate = stored(fate, f"{folder}/lost-{n}")
+        lost.append(fate.filter("lost").select(F.col("id").alias("lost_id")))
+        waiting = fate.filter("not lost").select(F.col("id").alias("waits"))
+        left = stored(placed.join(waiting, F.col("id") == F.col("waits"), "left_semi").select("place", "key"), f"{folder}/keys-{n + 1}")
+        for done in (f"keys-{n}", f"placed-{n}"):
+            discard(spark, f"{folder}/{done}")
+    return rows.join(reduce(DataFrame.unionByName, lost), _half(_row_id()) == F.col("lost_id"), "left_anti") if lost else rows
 
 
 def publish_import(store: Store, batches: DataFrame, parsed: DataFrame, problems: DataFrame, *, imported_at: dt.datetime, mark: tuple[str, int] | None = None, attempts: int = 3) -> Snapshot:
@@ -210,18 +267,23 @@ def publish_import(store: Store, batches: DataFrame, parsed: DataFrame, problems
         if fresh.isEmpty() and not mark:
             return base
         of_fresh = fresh.select("ledger_id", F.col("id").alias("batch_id"))
-        rows, wrong = (x.join(of_fresh, ["ledger_id", "batch_id"], "left_semi") for x in (parsed, problems))
-        enriched = settled(enrich(rows))
-        held = store.read_folders("transactions", base.folders["transactions"])
-        added = {"transactions": store.write("transactions", new_of_many(enriched, held))}
-        imported = store.read_folders("transactions", [added["transactions"]]).withColumnRenamed("import_batch_id", "batch_id")
-        added["import_batches"] = store.write("import_batches", batch_records(fresh, enriched, imported, wrong, imported_at))
-        added["problems"] = store.write("problems", wrong)
+        if fresh.count() <= NAMED_BATCHES:
+            of_fresh = F.broadcast(of_fresh)
+        own, wrong = (x.join(of_fresh, ["ledger_id", "batch_id"], "left_semi") for x in (parsed, problems))
+        folder = fresh_path(store.spark, "import")
         try:
+            rows = numbered_table(own, folder)
+            held = store.read_folders("transactions", base.folders["transactions"])
+            added = {"transactions": store.write("transactions", Unfinished(new_of_many(rows, held, folder), with_ledger_columns))}
+            imported = store.read_folders("transactions", [added["transactions"]]).withColumnRenamed("import_batch_id", "batch_id")
+            added["import_batches"] = store.write("import_batches", batch_records(fresh, rows, imported, wrong, imported_at))
+            added["problems"] = store.write("problems", wrong)
             return store.publish(base, added=added, mark=mark)
         except Conflict:
             if not left:
                 raise
+        finally:
+            discard(store.spark, folder)
     raise AssertionError("no attempt")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -38,6 +38,13 @@ class Snapshot(NamedTuple):
     marks: dict[str, int]
 
 
+class Unfinished(NamedTuple):
+    """Rows to be written, and what adds the columns that are told from a row's others: it is asked once rows are in order, so that such columns are not dealt."""
+
+    rows: DataFrame
+    finish: Callable[[DataFrame], DataFrame]
+
+
 class Store:
     """Tables published below a root folder on any file system that Spark reaches."""
 
@@ -86,14 +93,14 @@ class Store:
 
     # -- writing -------------------------------------------------------------------------------
 
-    def write(self, table: str, rows: DataFrame) -> str:
+    def write(self, table: str, rows: DataFrame | Unfinished) -> str:
         """Rows in a folder of their own, which belongs to no snapshot until it is published."""
         folder = f"data/{table}-{uuid.uuid4().hex}"
         names = self.spark.createDataFrame([], self.schemas[table]).columns
-        out = rows.select(*names)
+        out, finish = rows if isinstance(rows, Unfinished) else (rows.select(*names), lambda out: out)
         if order := ORDER.get(table):
             out = out.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-        out.write.parquet(f"{self.root}/{folder}")
+        finish(out).select(*names).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return folder
 
     def publish(self, base: Snapshot, *, added: Mapping[str, str] | None = None, replaced: Mapping[str, str] | None = None, mark: tuple[str, int] | None = None) -> Snapshot:

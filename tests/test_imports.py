@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.merchants import with_merchant_key
 from ledgerloom.operators import imports, ledger
 from ledgerloom.plans import registry
-from ledgerloom.sources import schemas, snapshots, statements
+from ledgerloom.sources import schemas, shared, snapshots, statements
 from ledgerloom.streaming.imports import run_import_stream, statement_stream
 
 from .conftest import rows
@@ -207,6 +209,13 @@ def test_import_is_all_or_nothing(spark, tmp_path, monkeypatch):
     assert {r["imported_at"] for r in store.read("import_batches").collect()} == {WHEN}
 
 
+def test_an_import_leaves_only_its_store_behind(spark, tmp_path):
+    left = lambda: {p.name for p in Path(shared.shared_folder(spark).removeprefix("file:")).glob("import-*")}
+    before, store = left(), snapshots.Store(spark, str(tmp_path / "store"))
+    imports.publish_import(store, *importing(spark, "b1", "b2"), imported_at=WHEN)
+    assert left() == before and store.read("transactions").count() == 3
+
+
 def test_two_jobs_at_once(spark, tmp_path, monkeypatch):
     """The second finds the number taken, and starts again from what the first published."""
     store = snapshots.Store(spark, str(tmp_path / "store"))
