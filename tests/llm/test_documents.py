@@ -397,6 +397,17 @@ def test_pages(spark):
     assert (got[9]["n_lines"], got[9]["text"], got[10]["host"]) == (0, "", None)
 
 
+def test_pages_of_small_hosts_keep_their_own_lines(spark):
+    """On a host of fewer than ten pages every line is over a tenth; what only one page has stays there, what two have goes."""
+    items = [(i, f"http://three/{i}", f"<p>menu</p><p>own {i}</p><p>own {i}</p><p>{'pair' if i else 'alone'}</p>") for i in range(3)]
+    items += [(9, "http://one/", "<p>all</p><p>of it</p>"), (10, None, "<p>of no host</p>")]
+    items += [(20 + i, f"http://large/{i}", f"<p>{'two' if i < 2 else 'x'}</p><p>line {i}</p>") for i in range(25)]
+    got = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.clean_pages(spark.createDataFrame(items, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [(4, 1, "own 0\nown 0\nalone"), (4, 2, "own 1\nown 1"), (4, 2, "own 2\nown 2")]
+    assert got[9] == (2, 0, "all\nof it") and got[10] == (1, 0, "of no host")
+    assert got[20] == (2, 0, "two\nline 0") and got[44] == (2, 1, "line 24") and len(got) == len(items)
+
+
 # -- top-k -------------------------------------------------------------------------------------
 
 
